@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("byte_bpe", "audio_features", "language_id")
+MODULES = ("packing", "secret_scan", "byte_bpe", "audio_features", "language_id")
 
 
 def _merged(name: str) -> dict:
