@@ -24,8 +24,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A pair of ids is one integer; the largest low half marks a separator.
 PAIR_BITS = 20
 SEPARATOR = (1 << PAIR_BITS) - 1
-#: Pre-tokens kept with their ids by a worker. Longer ones than KEEP_CHARS are encoded each time.
-KEEP, KEEP_CHARS = 500_000, 48
+#: Pre-tokens kept with their ids in a generation of a worker's. Longer ones than KEEP_CHARS are encoded each time.
+KEEP, KEEP_CHARS = 400_000, 48
 
 
 class RankQueue:
@@ -105,7 +105,11 @@ class ByteBPE:
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
         self.find = regex.compile(pattern).findall
-        self.kept: dict[str, list[int]] = {}
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece by merges alone."""
@@ -128,30 +132,40 @@ class ByteBPE:
         of, starts = np.unique(ranks[live], return_index=True)
         for rank, positions in zip(of.tolist(), np.split(live, starts[1:]), strict=False):
             queue.put(rank, positions.tolist())
-        pairs = self.pairs.get
+        pairs, bucket_of = self.pairs.get, queue.buckets.get
         while (found := queue.pop()) is not None:
             rank, positions = found
+            high = rank << PAIR_BITS
             for k, at in enumerate(positions):
                 if now[at] != rank:
-                    continue
+                    continue  # stale: its pair has changed
                 gone = after[at]
                 right = after[gone]
                 token[at] = rank
                 after[at], now[gone] = right, -1
-                lower = False
                 before[right] = at
-                now[at] = new = pairs(rank << PAIR_BITS | token[right], -1)
+                lowest = rank
+                now[at] = new = pairs(high | token[right], -1)
                 if new >= 0:
-                    queue.push(new, at)
-                    lower = new < rank
+                    if (bucket := bucket_of(new)) is None:
+                        queue.push(new, at)
+                    else:
+                        bucket.append(at)
+                    if new < lowest:
+                        lowest = new
                 left = before[at]
                 if left >= 0:
                     now[left] = new = pairs(token[left] << PAIR_BITS | rank, -1)
                     if new >= 0:
-                        queue.push(new, left)
-                        lower = lower or new < rank
-                if lower and k + 1 < len(positions):
-                    queue.put(rank, positions[k + 1 :])
+                        if (bucket := bucket_of(new)) is None:
+                            queue.push(new, left)
+                        else:
+                            bucket.append(left)
+                        if new < lowest:
+                            lowest = new
+                if lowest < rank:
+                    if k + 1 < len(positions):
+                        queue.put(rank, positions[k + 1 :])
                     break
         out, own, i = [], [], 0
         while i < n:
@@ -176,22 +190,31 @@ class ByteBPE:
             out[piece] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. What is known of pre-tokens is kept in two generations: when the younger is full it becomes the older."""
         found = [self.find(t) for t in texts]
-        new = {p for ps in found for p in ps}
-        new.difference_update(self.kept)
-        coded = self.encode_pieces(new)
+        distinct = set().union(*found)
+        new = distinct.difference(self.kept)
         known = self.kept
-        if len(known) + len(coded) > KEEP:
-            # begin anew with what this batch uses
-            coded |= {p: known[p] for ps in found for p in ps if p in known}
-            known = self.kept = {}
-        known.update((p, ids) for p, ids in coded.items() if len(p) <= KEEP_CHARS)
-        long = {p: ids for p, ids in coded.items() if len(p) > KEEP_CHARS}
-        return [[i for p in ps for i in (known.get(p) or long.get(p) or coded[p])] for ps in found]
+        again = {p: self.older[p] for p in new if p in self.older}
+        coded = {p: np.array(ids, np.int32).tobytes() for p, ids in self.encode_pieces(new.difference(again)).items()}
+        known.update(again)
+        known.update(coded)
+        out = [np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for ps in found]
+        for p in coded:
+            if len(p) > KEEP_CHARS:
+                del known[p]
+        if len(known) > KEEP:
+            self.older, self.kept = known, {}
+        return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for, each id's after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids):
+            return np.zeros(0, np.uint8)
+        return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
@@ -222,11 +245,13 @@ def encode_bpe(df: DataFrame, text: str = "text", *, path: str | None = None, pa
         bpe = coder(path, pattern)
         for batch in slices(batches, "__text"):
             coded = bpe.encode(batch.column("__text").to_pylist())
-            lengths = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-            values = np.fromiter((i for ids in coded for i in ids), np.int32, lengths[-1])
-            read = [bpe.decode(values[a:b].tolist()) for a, b in zip(lengths[:-1], lengths[1:], strict=True)]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(lengths), pa.array(values)), pa.array(read, pa.binary())], names=[*keep, "ids", "decoded"])
+            values = np.concatenate(coded)
+            ends = np.cumsum([0, *map(len, coded)])
+            read = bpe.decode(values)
+            cuts = np.concatenate([[0], np.cumsum(bpe.sizes[values])])[ends]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(coded), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(read)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, decoded], names=[*keep, "ids", "decoded"])
 
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
