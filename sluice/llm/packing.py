@@ -31,6 +31,8 @@ WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
 KEEP, KEEP_CHARS = 400_000, 64
+#: A word of its own to the tokenizer, one id.
+MARK = "\x01"
 #: What str.split() takes for white space and Unicode does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -44,21 +46,40 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
+        # words in two generations: when the younger is full it becomes the older
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, encoded many at a time with a mark between each two."""
+        out = {}
+        for w in [w for w in words if MARK in w]:
+            out[w] = np.array(self.encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [w for w in words if MARK not in w] if out else words
+        parts = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
+        for part, coded in zip(parts, self.encoder.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            raw = ids.tobytes()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = {w for ws in words for w in ws}
-        if len(self.kept) > KEEP:
-            self.kept = {w: self.kept[w] for w in new if w in self.kept}
-        todo = list(new.difference(self.kept))
-        coded = dict(zip(todo, (np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
-        ids = {w: c for w, c in coded.items() if len(w) > KEEP_CHARS}
-        self.kept.update((w, c) for w, c in coded.items() if len(w) <= KEEP_CHARS)
+        new = set().union(*words).difference(self.kept)
         known = self.kept
-        if not ids:
-            return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
-        return [np.frombuffer(b"".join([known[w] if w in known else ids[w] for w in ws]), "<u4") for ws in words]
+        again = {w: self.older[w] for w in new if w in self.older}
+        coded = self.encode_words(list(new.difference(again)))
+        known.update(again)
+        known.update(coded)
+        out = [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+        for w in coded:
+            if len(w) > KEEP_CHARS:
+                del known[w]
+        if len(known) > KEEP:
+            self.older, self.kept = known, {}
+        return out
 
 
 _encoders: dict[str, WordIds] = {}
