@@ -162,17 +162,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     shared = nodes.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = written(nodes.join(shared.select("band", "low"), "band").select("band", "node", "low").distinct(), "buckets")
 
+    # the texts of all that is compared, fetched once. A merge join at every size: the ids grow with the corpus
+    texts = written(plain.hint("merge").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     pairs = written(buckets.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links, checked = written(confirm(pairs, plain, similar), "confirmed"), pairs
+    links, checked = written(confirm(pairs, texts, similar), "confirmed"), pairs
     reached, left = components(links), buckets
     for step in range(1, LEADER_ROUNDS + 1):
         left = written(_divided(left, reached), "divided")
         if step < LEADER_ROUNDS:
             pairs = written(_led(left, step).join(checked, ["a", "b"], "left_anti"), "pairs")
-            found = written(confirm(pairs, plain, similar), "confirmed")
+            found = written(confirm(pairs, texts, similar), "confirmed")
             checked = checked.unionByName(pairs)
         else:
-            found = written(compare_blocks(left, full, plain, similar), "confirmed")
+            found = written(compare_blocks(left, full, texts, similar), "confirmed")
         if not found.isEmpty():
             links = links.unionByName(found)
             reached = components(links)
