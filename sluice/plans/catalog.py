@@ -1,9 +1,22 @@
 """Every registered query of the library proper, with its oracle SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sluice.plans import relational
+
+MODULES = (relational,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of opportunities by status."""
+    return relational.status_counts(spark, sf_dir)
