@@ -12,6 +12,7 @@ window of tokens at a time, however many documents there are or how long one is.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
 KEEP, KEEP_CHARS = 900_000, 64
+#: The normalizer that is known to leave lower-case Latin-1 words as they are.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LATIN = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
 #: A word of its own to the tokenizer, one id.
 MARK = "\x01"
 #: What str.split() takes for white space and Unicode does not.
@@ -45,36 +49,47 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.encoder = Tokenizer.from_file(path)
+        # words of Latin-1 need no more of this normalizer than str.lower() does
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if spec["normalizer"] == NORMALIZER else None
         (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
         # words in two generations: when the younger is full it becomes the older
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, encoded many at a time with a mark between each two."""
-        out = {}
-        for w in [w for w in words if MARK in w]:
-            out[w] = np.array(self.encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        rest = [w for w in words if MARK not in w] if out else words
-        parts = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
-        for part, coded in zip(parts, self.encoder.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])), strict=True))
-        return out
+    def encode_words(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Puts the ids of words into out. Many are encoded at a time, with a mark between each two."""
+        latin, rest = [], []
+        for w in words:
+            if MARK in w:
+                out[w] = np.array(self.encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            elif self.plain is not None and (w.isascii() or LATIN(w)) and "<|" not in w:
+                latin.append(w)
+            else:
+                rest.append(w)
+        for encoder, own, lower in ((self.plain, latin, True), (self.encoder, rest, False)):
+            parts = [own[i : i + 1000] for i in range(0, len(own), 1000)]
+            joined = [f" {MARK} ".join(p) for p in parts]
+            for part, coded in zip(parts, encoder.encode_batch_fast([j.lower() for j in joined] if lower else joined, add_special_tokens=False) if parts else (), strict=True):
+                ids = np.array(coded.ids, "<u4")
+                cuts = 4 * np.flatnonzero(ids == self.mark)
+                raw = ids.tobytes()
+                out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*words).difference(self.kept)
         known = self.kept
-        again = {w: self.older[w] for w in new if w in self.older}
-        coded = self.encode_words(list(new.difference(again)))
-        known.update(again)
-        known.update(coded)
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
-        for w in coded:
+        new = set().union(*words).difference(known)
+        if self.older:
+            again = new & self.older.keys()
+            known.update((w, self.older[w]) for w in again)
+            new -= again
+        self.encode_words(list(new), known)
+        get = known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
+        for w in new:
             if len(w) > KEEP_CHARS:
                 del known[w]
         if len(known) > KEEP:
