@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, load, remainder, slices, written
+from sluice.llm.common import fresh_path, load, remainder, slices
 from sluice.llm.words import mix, word_hashes
 
 #: Tokens that a task counts together, and about the most pairs in a shard.
-CHUNK_TOKENS, SHARD_PAIRS = 4_000_000, 4_000_000
+CHUNK_TOKENS, SHARD_PAIRS = 2_000_000, 4_000_000
 #: Bytes of text scored together.
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 2 << 20
 BASE_ADD = 0.1
 START, END = (np.uint64(mix(np.array([k], np.uint64))[0]) for k in (0xB0, 0xE0))
 
@@ -316,7 +316,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     # an upper bound of the tokens, from the size of the texts alone
     size = plain.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     shards = max(1, -(-int(size) // (3 * SHARD_PAIRS // 2)))
-    parts = written(merge_pairs(count_pairs(plain, shards), folder, shards, shards), "word-parts")
+    parts = merge_pairs(count_pairs(plain, shards), folder, shards, shards)
     sums = merge_words(parts, folder, shards).collect()  # a row for each shard
     add = lambda c: sum(r[c] for r in sums)
     each = lambda c, n: tuple(sum(r[c][k] for r in sums) for k in range(n))
