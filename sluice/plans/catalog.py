@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import relational
+from sluice.plans import estimates, relational
 
-MODULES = (relational,)
+MODULES = (relational, estimates)
 
 
 def queries() -> dict:
@@ -18,5 +18,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of opportunities by status."""
-    return relational.status_counts(spark, sf_dir)
+    """Three-scenario bids by category."""
+    return estimates.scenario_bids(spark, sf_dir)
