@@ -140,7 +140,7 @@ def money_formats(spark, sf):
     return table(spark, sf, "part").select("p_partkey", money.compact_money(price).alias("price"), money.parse_money(written_out).alias("parsed"))
 
 
-@query(r"SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS n, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS hash FROM pages".replace('""', '"'))
+@query(r'''WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages) SELECT page_id, length(plain) AS n, md5(plain) AS hash FROM t''')
 def page_texts(spark, sf):
     plain = text.strip_html(F.col("html"))
     return table(spark, sf, "pages").select("page_id", F.length(plain).cast("long").alias("n"), F.md5(plain.cast("binary")).alias("hash"))
