@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.plans import estimates, relational
+from sluice.streaming import arrivals
 
-MODULES = (relational, estimates)
+MODULES = (relational, estimates, arrivals)
 
 
 def queries() -> dict:
