@@ -38,10 +38,10 @@ def price_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{PRICED}, s AS (SELECT opp_id, sum(coalesce(material, 0)) AS material, sum(labor) AS labor, sum(finishing) AS finishing, avg(confidence) AS confidence, count(*) FILTER (WHERE flagged) AS flagged FROM q GROUP BY 1),
 t AS (SELECT *, (material + labor + finishing + 1350) * 1.055 AS subtotal FROM s), u AS (SELECT *, subtotal * 0.12 AS overhead FROM t), v AS (SELECT *, (subtotal + overhead) * 0.1 AS profit FROM u)
-SELECT opp_id, flagged, round(confidence, 6) AS confidence, round((subtotal + overhead + profit) * 1.015, 4) AS bid FROM v""")
+SELECT opp_id, flagged, round(confidence, 6) AS confidence, round((subtotal + overhead + profit) * 1.015, 6) AS bid FROM v""")
 def roll_up(spark, sf):
     out = pricing.rolled_up(pricing.priced(lines(spark, sf)), "opp_id")
-    return out.select("opp_id", "flagged", F.round("confidence", 6).alias("confidence"), F.round("bid", 4).alias("bid"))
+    return out.select("opp_id", "flagged", F.round("confidence", 6).alias("confidence"), F.round("bid", 6).alias("bid"))
 
 
 @query(f"""{L}, c AS (SELECT *, unnest(['conservative', 'expected', 'aggressive']) AS scenario FROM lines),

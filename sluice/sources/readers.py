@@ -10,10 +10,12 @@ BAD = "_bad_record"
 
 
 def json_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): JSON objects of a schema, one a file or a line; what cannot be read is a row of bad with its text and file, and stops nothing."""
+    """(good, bad): JSON objects of a schema, one a file; what cannot be read is a row of bad with its text and file, and stops nothing."""
     whole = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    read = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("multiLine", "true").json(path).withColumn("file", F.col("_metadata.file_path"))
-    return read.where(F.col(BAD).isNull()).drop(BAD), read.where(F.col(BAD).isNotNull()).select("file", F.col(BAD).alias("record"))
+    raw = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    read = raw.withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    broken = F.col(f"r.{BAD}").isNotNull() | F.col("r").isNull()
+    return read.where(~broken).select("r.*", "file").drop(BAD), read.where(broken).select("file", F.col("value").alias("record"))
 
 
 def _cells(row: Column, tag: str) -> Column:
