@@ -24,11 +24,13 @@ from sluice.llm.words import BASE, _power, mix
 
 #: The bound: so many labelled rows, those whose ids hash lowest, are mined and train the classifier.
 SAMPLE = 16_000
-#: Features kept of those rows, and in how many of them one must occur.
-FEATURES, SUPPORT = 4000, 6
+#: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
+FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
 #: Log-odds from which a feature counts as mined for a voter.
 MINED_ODDS = 2.5
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 1e-5
+#: Bytes of text in hand at a time.
+SLICE = 1 << 20
 #: How often a human label is taken to be right.
 HUMAN = 0.98
 
@@ -131,7 +133,7 @@ def mine(sample: DataFrame) -> list:
     """(feature, the first four bytes' feature, rows that hold it, toxic ones among them, log-odds) of the sample's most telling features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20, 20_000):
+        for batch in slices(batches, "text", SLICE):
             rows, keys = features(batch.column("text").to_pylist())
             toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
             parents = np.tile(keys.reshape(len(KINDS), -1)[1], len(KINDS))
@@ -144,7 +146,9 @@ def mine(sample: DataFrame) -> list:
     total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counted = sample.select("text", "toxic").mapInArrow(run, "feature long, parent long, n long, toxic long").groupBy("feature", "parent").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= SUPPORT)
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (F.lit(total - bad) + 1.0))
-    return counted.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "feature").limit(FEATURES).collect()
+    # by how many standard errors the log-odds differ from none
+    sure = F.abs("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
+    return counted.withColumn("odds", odds).withColumn("sure", sure).where(F.col("sure") >= ERRORS).orderBy(F.desc("sure"), "feature").limit(FEATURES).collect()
 
 
 def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int) -> tuple[dict[int, float], dict]:
@@ -154,8 +158,8 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
     each human label. Human labels start the estimates and take part in them as
     one more voter that is right in HUMAN of cases.
     """
-    masks = np.array(sorted(counts), np.int64)
-    weight = np.array([counts[m] for m in masks.tolist()], np.float64)
+    masks = np.array(sorted(counts or {0: 1}), np.int64)
+    weight = np.array([counts.get(m, 1) for m in masks.tolist()], np.float64)
     votes = (masks[:, None] >> np.arange(n)) & 1
     labelled = np.array([[gold.get((m, y), 0) for y in (0, 1)] for m in masks.tolist()], np.float64)
     known = labelled.sum()
@@ -226,7 +230,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     learned = Toxicity(keys, np.array([held[int(k)] for k in keys], np.int64), np.zeros(len(keys)))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             masks, counts = np.unique(learned.votes(batch.column("text").to_pylist()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(counts)], names=["mask", "n"])
 
@@ -234,7 +238,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     combined = texts.select("text").mapInArrow(vote, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).collect()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             own = batch.column("text").to_pylist()
             rows, at = learned.hits(own)
             cuts = np.searchsorted(rows, np.arange(len(own) + 1)).astype(np.int32)
@@ -272,7 +276,7 @@ def score_toxicity(df: DataFrame, learned: Toxicity, text: str = "text", *, keep
         raise ValueError(f"keep may not name {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE):
             score = learned.scores(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 

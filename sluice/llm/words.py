@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse for i < n at least."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
+            steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps, dtype=np.uint64)
     return _powers[0], _powers[1]
