@@ -21,6 +21,8 @@ from sluice.llm.common import load, remainder, slices
 DIMENSIONS, GRAM, SEED = 512, 3, 20240607
 #: Letters fall into so many slots by code point; slot 0 is a word's edge.
 SLOTS = 1024
+#: The length that a training text's bundle is given, about.
+SCALE = 256
 #: How sharply cosines become a score.
 SHARPNESS = 40.0
 UNKNOWN = "und"
@@ -43,14 +45,15 @@ def letter_vectors() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows, codes, counts) of the n-grams of each text, and which texts have a letter."""
-    joined = "\n\n".join(texts) + "\n\n"
+    joined = "".join(f"\n{t}\n" for t in texts)
     points = np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32)
     # lower-casing may change a text's length, so lengths are taken afterwards
     lengths = np.array([len(t.lower()) + 2 for t in texts])
     rows = np.repeat(np.arange(len(texts)), lengths)
     slots = letter_slots()[points]
     has = np.bincount(rows, slots > 0, minlength=len(texts)) > 0
-    keep = np.concatenate([[True], (slots[1:] > 0) | (slots[:-1] > 0)])
+    # an edge at a text's start and after each word, however much stands between words
+    keep = np.concatenate([[True], (slots[1:] > 0) | (slots[:-1] > 0) | (rows[1:] != rows[:-1])])
     slots, rows = slots[keep], rows[keep]
     n = len(slots) - GRAM + 1
     if n <= 0:
@@ -98,6 +101,9 @@ def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -
         for batch in slices(batches, "text", 1 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             rows, codes, counts, _ = grams(batch.column("text").to_pylist())
+            # n-grams' vectors are all but orthogonal: so scaled, texts count alike whatever their length
+            size = np.sqrt(np.bincount(rows, counts.astype(np.float64) ** 2, batch.num_rows))
+            counts = np.rint(SCALE * counts / np.maximum(size, 1)[rows])
             names, of = np.unique(langs, return_inverse=True)
             both, at = np.unique(of[rows] << 30 | codes, return_inverse=True)
             summed = bundle(both >> 30, both & ((1 << 30) - 1), np.bincount(at, counts, len(both)), len(names)) if len(both) else np.zeros((len(names), DIMENSIONS))
