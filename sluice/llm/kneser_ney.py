@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import fresh_path, load, remainder, slices
-from sluice.llm.words import mix, word_hashes
+from sluice.llm.words import SLICE, mix, word_hashes
 
 #: Tokens that a task counts together, and about the most pairs in a shard.
 CHUNK_TOKENS, SHARD_PAIRS = 2_000_000, 4_000_000
-#: Bytes of text scored together.
-SCORE_BYTES = 2 << 20
 BASE_ADD = 0.1
 START, END = (np.uint64(mix(np.array([k], np.uint64))[0]) for k in (0xB0, 0xE0))
 
@@ -100,7 +98,7 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             before, after, _ = sequences(batch.column("text").cast(pa.binary()).to_pylist())
             held.append((before, after))
             tokens += len(after)
@@ -181,7 +179,7 @@ def merge_pairs(runs: DataFrame, folder: str, shards: int, words: int) -> DataFr
                 yield s, is_context, table[0][own].tobytes(), np.stack([c[own] for c in table[1:]]).astype("<u4").tobytes(), [int(t) for t in times]
                 times = [0] * 4
 
-    return runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_grouped(of, PARTIAL, [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64())]), PARTIAL)
+    return runs.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_grouped(of, PARTIAL, [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64())]), PARTIAL)
 
 
 def _grouped(of: Callable, schema: str, kinds: list[pa.DataType]) -> Callable:
@@ -227,7 +225,7 @@ def merge_words(parts: DataFrame, folder: str, words: int) -> DataFrame:
         yield group[0]["shard"], int(count.sum()), int(predicted.sum()), texts, int(before.sum()), [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())], np.sum([r["pair_counts"] for r in group], axis=0).tolist()
 
     kinds = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return parts.repartition(words, "shard").sortWithinPartitions("shard").mapInArrow(_grouped(of, SUMMARY, kinds), SUMMARY)
+    return parts.repartitionById(words, "shard").sortWithinPartitions("shard").mapInArrow(_grouped(of, SUMMARY, kinds), SUMMARY)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -347,7 +345,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", *, keep: tuple[
         raise ValueError(f"keep may not name {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SCORE_BYTES, 20_000):
+        for batch in slices(batches, "__text", SLICE):
             before, after, lengths = sequences(batch.column("__text").cast(pa.binary()).to_pylist())
             score, base, count = model.score(before, after)
             starts = np.cumsum(lengths) - lengths

@@ -12,6 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 SEED = 0x5EED
+#: Bytes of text to hash at a time: with line ends, just under a power of two, the size of the tables of powers.
+SLICE = (1 << 20) - (1 << 13)
 #: An odd base and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
