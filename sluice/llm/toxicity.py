@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import load, remainder, slices, written
-from sluice.llm.words import BASE, _power, mix
+from sluice.llm.words import BASE, SLICE, _power, mix
 
 #: The bound: so many labelled rows, those whose ids hash lowest, are mined and train the classifier.
 SAMPLE = 16_000
@@ -29,8 +29,6 @@ FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
 #: Log-odds from which a feature counts as mined for a voter.
 MINED_ODDS = 2.5
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 1e-5
-#: Bytes of text in hand at a time.
-SLICE = 1 << 20
 #: How often a human label is taken to be right.
 HUMAN = 0.98
 
