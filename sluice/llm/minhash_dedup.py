@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import load, slices, written
-from sluice.llm.words import mix, shingles
+from sluice.llm.words import SLICE, mix, shingles
 
 SHINGLE = 5
 #: Similarity in hundredths from which documents are linked.
@@ -69,7 +69,7 @@ def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, h1, h2, bands, sketch: h1 and h2 together stand for the whole shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             hashes, counts = shingles(batch.column("text").cast(pa.binary()).to_pylist(), SHINGLE)
             bands, bits = signature(hashes, counts)
             ends = np.concatenate([[0], np.cumsum(counts)])
@@ -96,7 +96,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, own = None, []
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             hashes, counts = shingles(batch.column("text").cast(pa.binary()).to_pylist(), SHINGLE)
             ends = np.cumsum(counts)
             found = []
@@ -256,7 +256,7 @@ def compare_blocks(rows: DataFrame, docs: DataFrame, texts: DataFrame, similar:
             found.clear()
             return batch
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             for row in batch.to_pylist():
                 key = row["band"], row["i"], row["j"]
                 if key != place and group:
