@@ -12,7 +12,7 @@ def zero_filled_counts(df: DataFrame, column: str, domain: Sequence[str]) -> Dat
     """The count of each value of a small domain, 0 for those that do not occur; values outside it are left out."""
     values = df.sparkSession.createDataFrame([(v,) for v in domain], f"{column} string")
     counted = df.groupBy(column).agg(F.count("*").alias("n"))
-    return F.broadcast(values).join(counted, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+    return values.join(counted, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def upper_median(values: Column) -> Column:

@@ -74,7 +74,7 @@ def allowed_categories(lines: DataFrame, codes: DataFrame, of: Mapping[str, Sequ
 def dereference(df: DataFrame, text: str, glossary: DataFrame, key: str, pattern: str = r"[A-Z]\d+\.\d+") -> DataFrame:
     """key and notes: the glossary's descriptions of the codes that a text names, each once, in order of first mention. glossary: code, description."""
     found = df.select(key, F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))).alias("place", "code"))
-    met = found.join(F.broadcast(glossary), "code")
+    met = found.join(glossary, "code")
     return met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "description"))), lambda s: s["description"]).alias("notes"))
 
 

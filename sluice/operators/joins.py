@@ -25,15 +25,27 @@ def multiset_difference(expected: DataFrame, actual: DataFrame, category: str, o
     return missing, actual.join(expected.select(category).distinct(), category, "left_anti")
 
 
+#: Versions up to which they are sent to every task; more are met by the years that they are in force.
+FEW = 1000
+
+
 def as_of_version(facts: DataFrame, versions: DataFrame, at: str, start: str, end: str, pinned: str | None = None, version: str = "version") -> DataFrame:
     """Each fact with the version in force at its time, start included and end not (null: open); a pinned version goes first.
 
-    versions is a small dimension: it is sent to every task.
+    A fact that no version is in force for, or that pins one that does not exist, has nulls.
     """
     valid = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     if pinned:
         valid = F.when(F.col(pinned).isNotNull(), F.col(pinned) == F.col(version)).otherwise(valid)
-    return facts.join(F.broadcast(versions), valid, "left")
+    if versions.limit(FEW + 1).count() <= FEW:
+        return facts.join(F.broadcast(versions), valid, "left")
+    last = facts.agg(F.max(F.year(at))).first()[0] or 0
+    by_year = versions.withColumn("__y", F.explode(F.when(F.year(start) <= last, F.sequence(F.year(start), F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))))))
+    free = facts if not pinned else facts.where(F.col(pinned).isNull())
+    out = free.join(by_year, (F.year(at) == F.col("__y")) & (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end))), "left").drop("__y")
+    if pinned:
+        out = out.unionByName(facts.where(F.col(pinned).isNotNull()).join(versions, F.col(pinned) == F.col(version), "left"))
+    return out
 
 
 def best_match(left: DataFrame, right: DataFrame, on: str, key: Sequence[str], rank: Column, ties: Sequence[str]) -> DataFrame:
@@ -53,11 +65,11 @@ def hierarchical(code: str, exact: DataFrame, prefix: DataFrame, default: str, d
 
 
 def resolve(df: DataFrame, spec: tuple, name: str = "tag") -> DataFrame:
-    """df with the tag that a hierarchical lookup finds. The two dimensions have columns code and tag and are small."""
+    """df with the tag that a hierarchical lookup finds. The two dimensions have columns code and tag."""
     code, exact, prefix, default, digits = spec
     e = exact.select(F.col("code").alias("__e"), F.col("tag").alias("__et"))
     p = prefix.select(F.col("code").alias("__p"), F.col("tag").alias("__pt"))
-    joined = df.join(F.broadcast(e), F.col(code) == F.col("__e"), "left").join(F.broadcast(p), F.substring(code, 1, digits) == F.col("__p"), "left")
+    joined = df.join(e, F.col(code) == F.col("__e"), "left").join(p, F.substring(code, 1, digits) == F.col("__p"), "left")
     return joined.withColumn(name, F.coalesce("__et", "__pt", F.lit(default))).drop("__e", "__et", "__p", "__pt")
 
 

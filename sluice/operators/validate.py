@@ -75,7 +75,7 @@ def replaced_equipment(df: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 def labor_floor(df: DataFrame, priors: DataFrame, hours: Sequence[str] = ("fab_hrs", "ironworker_hrs"), share: float = 0.5) -> DataFrame:
     """Hours above 0 that are under a share of the category's usual hours are raised to it. priors: category, and a column usual_<hours> each."""
-    out = df.join(F.broadcast(priors), "category", "left")
+    out = df.join(priors, "category", "left")
     for h in hours:
         low = (F.col(h) > 0) & (F.col(h) < share * F.col(f"usual_{h}"))
         out = _add(out.withColumn("__low", F.coalesce(low, F.lit(False))), F.col("__low"), "warning", "labor_floor", f"{h} raised to the usual floor")
@@ -100,7 +100,7 @@ def grade_check(df: DataFrame) -> DataFrame:
 
 def bracket(df: DataFrame, priors: DataFrame) -> DataFrame:
     """A quantity over 1.5 times the largest usual one, or under half of the smallest. priors: category, low, high."""
-    out = df.join(F.broadcast(priors.select("category", F.col("low").alias("__low"), F.col("high").alias("__high"))), "category", "left")
+    out = df.join(priors.select("category", F.col("low").alias("__low"), F.col("high").alias("__high")), "category", "left")
     out = _add(out, F.col("quantity") > 1.5 * F.col("__high"), "warning", "above_bracket", "more than 1.5 times the usual most")
     return _add(out, F.col("quantity") < 0.5 * F.col("__low"), "info", "below_bracket", "less than half of the usual least").drop("__low", "__high")
 
@@ -128,7 +128,7 @@ def overlaps(df: DataFrame, key: str) -> DataFrame:
 def section_coverage(df: DataFrame, sections: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Findings on sections of a run none of whose expected categories has a line. sections: key, section; expected: section, category."""
     have = df.select(key, "category").distinct()
-    asked = sections.join(F.broadcast(expected), "section")
+    asked = sections.join(expected, "section")
     met = asked.join(have, [key, "category"], "left_semi").select(key, "section").distinct()
     gone = asked.select(key, "section").distinct().join(met, [key, "section"], "left_anti")
     return gone.select(key, F.lit("warning").alias("severity"), F.lit("spec_uncovered").alias("category"), F.concat(F.lit("no line for section "), "section").alias("finding"), F.lit(None).cast("int").alias("related_line"))

@@ -65,3 +65,14 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("won", [("p",)], None), ("new", [("q",)], None)], "s string, docs array<struct<path:string>>, gone timestamp")
     out = sinks.purge(df, F.col("s") == "won", "docs", "gone", F.lit("2024-01-01").cast("timestamp")).orderBy("s").collect()
     assert [len(r["docs"]) for r in out] == [1, 0] and out[1]["gone"] is not None
+
+
+def test_as_of_beyond_a_broadcast(spark, monkeypatch):
+    from sluice.operators import joins
+
+    versions = spark.createDataFrame([(1, "1990-01-01", "1996-06-01"), (2, "1996-06-01", "1998-01-01"), (3, "1998-01-01", None), (4, "2050-01-01", None)], "version int, start string, end string").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    facts = spark.createDataFrame([(1, "1996-05-31", None), (2, "1996-06-01", None), (3, "2001-01-01", None), (4, "1980-01-01", None), (5, "1990-01-01", 3), (6, "1990-01-01", 9)], "id int, d string, pin int").withColumn("d", F.col("d").cast("date"))
+    want = {1: 1, 2: 2, 3: 3, 4: None, 5: 3, 6: None}
+    for few in (1000, 1):
+        monkeypatch.setattr(joins, "FEW", few)
+        assert {r["id"]: r["version"] for r in joins.as_of_version(facts, versions, "d", "start", "end", "pin").collect()} == want
