@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PAIR_BITS = 20
 SEPARATOR = (1 << PAIR_BITS) - 1
 #: Pre-tokens kept with their ids in a generation of a worker's. Longer ones than KEEP_CHARS are encoded each time.
-KEEP, KEEP_CHARS = 400_000, 48
+KEEP, KEEP_CHARS = 200_000, 48
 
 
 class RankQueue:

@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
-KEEP, KEEP_CHARS = 900_000, 64
+KEEP, KEEP_CHARS = 200_000, 64
 #: The normalizer that is known to leave lower-case Latin-1 words as they are.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 LATIN = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
