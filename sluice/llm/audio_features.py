@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, slices
+from sluice.llm.common import few_rows, load, slices
 
 RATE, UP, DOWN = 16_000, 1, 2
 TAPS = 32
@@ -185,7 +185,7 @@ def audio_features(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] =
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*keep, *names])
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = few_rows(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, {RESULT}")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, slices, tokenizer_file
+from sluice.llm.common import few_rows, load, slices, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A pair of ids is one integer; the largest low half marks a separator.
@@ -253,7 +253,7 @@ def encode_bpe(df: DataFrame, text: str = "text", *, path: str | None = None, pa
             decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(coded), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(read)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, decoded], names=[*keep, "ids", "decoded"])
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = few_rows(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, ids array<int>, decoded binary")
 

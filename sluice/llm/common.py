@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,8 +56,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows in an Arrow batch between Spark and Python; long texts must not add up.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, whose session from now on sends no more than so many rows at a time to Python."""
+    if int(df.sparkSession.conf.get(ARROW_ROWS)) > rows:
+        df.sparkSession.conf.set(ARROW_ROWS, str(rows))
+    return df
+
+
 def slices(batches, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096):
-    """Arrow batches cut so that each holds at most max_bytes of text, or one row."""
+    """Arrow batches cut so that each holds at most max_bytes of text, or one row. At the end, freed memory goes back to the system: workers live on."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -68,3 +82,6 @@ def slices(batches, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096):
             total += n
         if len(sizes) > start:
             yield batch.slice(start, len(sizes) - start)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

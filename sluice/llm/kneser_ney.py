@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, load, remainder, slices
+from sluice.llm.common import few_rows, fresh_path, load, remainder, slices
 from sluice.llm.words import SLICE, mix, word_hashes
 
 #: Tokens that a task counts together, and about the most pairs in a shard.
@@ -309,7 +309,7 @@ class Model:
 def train(texts: DataFrame, text: str = "text") -> Model:
     """The model of all rows of texts; null counts as empty, which is an end after a start. Files stay in the shared folder."""
     spark = texts.sparkSession
-    plain = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = few_rows(texts).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     folder = fresh_path(spark, "kneser-ney")
     # an upper bound of the tokens, from the size of the texts alone
     size = plain.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
@@ -352,7 +352,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", *, keep: tuple[
             sums = [pa.array(lengths), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), model.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *sums], names=[*keep, *names])
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = few_rows(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, remainder, slices
+from sluice.llm.common import few_rows, load, remainder, slices
 
 DIMENSIONS, GRAM, SEED = 512, 3, 20240607
 #: Letters fall into so many slots by code point; slot 0 is a word's edge.
@@ -112,7 +112,7 @@ def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -
         for name, vector in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], names=["lang", "dimension", "value"])
 
-    source = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    source = few_rows(df).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     parts = source.mapInArrow(run, "lang string, dimension int, value long")
     return parts.groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
 
@@ -158,7 +158,7 @@ def identify_language(df: DataFrame, prototypes: tuple[list[str], np.ndarray], t
             made = [pa.array(labels[best], pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*keep, "lang_pred", "score"])
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = few_rows(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, slices, written
+from sluice.llm.common import few_rows, load, slices, written
 from sluice.llm.words import SLICE, mix, shingles
 
 SHINGLE = 5
@@ -153,7 +153,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     its component_id is null and it is kept. Columns other than these two are
     not read.
     """
-    plain = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = few_rows(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = written(signatures(plain, "doc_id", "text"), "signatures")
     full = docs.where("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))

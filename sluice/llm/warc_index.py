@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, load, slices, written
+from sluice.llm.common import few_rows, fresh_path, load, slices, written
 
 #: Bytes of compressed records after which a task begins its next archive.
 ARCHIVE_BYTES = 64 << 20
@@ -253,7 +253,7 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
-    plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce((F.lit(EPOCH) + F.col(page_id) if ts is None else ts).cast("long"), F.lit(EPOCH)).alias("ts"))
+    plain = few_rows(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce((F.lit(EPOCH) + F.col(page_id) if ts is None else ts).cast("long"), F.lit(EPOCH)).alias("ts"))
     runs = written(write_archives(plain, folder, min_bytes=min_bytes), "capture-runs")
     index = written(merge_runs(runs, runs.count()), "capture-index")
     return read_archives(index, folder), index
