@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import load, remainder, slices, written
+from sluice.llm.common import few_rows, load, remainder, slices, written
 from sluice.llm.words import BASE, SLICE, _power, mix
 
 #: The bound: so many labelled rows, those whose ids hash lowest, are mined and train the classifier.
@@ -27,17 +27,17 @@ SAMPLE = 16_000
 #: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
 FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
 #: Log-odds from which a feature counts as mined for a voter.
-MINED_ODDS = 2.5
-ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 1e-5
+MINED_ODDS = 2.0
+ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 0.1
 #: How often a human label is taken to be right.
-HUMAN = 0.98
+HUMAN = 0.995
 
 #: Seed word lists, in lower case, by what they say.
 LEXICONS = {
     "stupidity": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile imbeciles fool fools halfwit cretin dimwit brainless",
     "contempt": "pathetic worthless disgusting loser losers useless despicable repulsive vile contemptible hopeless laughable ugly",
     "dehumanising": "scum trash clown clowns vermin garbage filth filthy parasite parasites pig pigs rat rats subhuman cockroach",
-    "abuse": "bitch bastard asshole jerk creep whore slut prick shut hate kill die",
+    "abuse": "bitch bastard asshole jerk creep whore slut prick shut hate kill",
     "german": "idiot dummkopf trottel arschloch abschaum versager wertlos dreck drecksau miststück schwachkopf vollidiot hure",
     "french": "idiot imbécile connard connasse salaud salope crétin abruti ordure raclure minable pourriture",
     "spanish": "idiota imbécil estúpido estúpida basura escoria inútil cabrón puta asqueroso asquerosa patético payaso mierda",
@@ -193,7 +193,7 @@ def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, width: int)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights[at], n), -30, 30)))
         error = p - target
-        moved = 0.9 * moved - RATE * (np.bincount(at, error[rows], width) / n + DECAY * weights)
+        moved = 0.9 * moved - RATE * (np.bincount(at, error[rows], width) + DECAY * weights) / n
         moved_bias = 0.9 * moved_bias - RATE * error.mean()
         weights, bias = weights + moved, bias + moved_bias
     return weights, bias
@@ -208,7 +208,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     # ids of a bounded sample: small enough to send to every task
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = documents.select("doc_id", F.col(text).alias("text")).where("text is not null")
+    texts = few_rows(documents).select("doc_id", F.col(text).alias("text")).where("text is not null")
     sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")
 
     held = seeds()
@@ -216,7 +216,8 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     # a beginning that tells stands for the words that begin so: they would only share its weight
     telling = {r["feature"] for r in told if r["odds"] >= MINED_ODDS}
     told = [r for r in told if r["parent"] == r["feature"] or r["parent"] not in telling]
-    own = {int(r["feature"]) & 0xFFFFFFFFFFFFFFFF for r in told}
+    # seed words are features too, however few labels there are
+    own = set(held) | {int(r["feature"]) & 0xFFFFFFFFFFFFFFFF for r in told}
     for r in told:
         key = int(r["feature"]) & 0xFFFFFFFFFFFFFFFF
         if r["odds"] >= MINED_ODDS:
@@ -278,7 +279,7 @@ def score_toxicity(df: DataFrame, learned: Toxicity, text: str = "text", *, keep
             score = learned.scores(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = few_rows(df).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, score double, predicted int")
 
