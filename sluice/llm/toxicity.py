@@ -26,8 +26,8 @@ from sluice.llm.words import BASE, SLICE, _power, mix
 SAMPLE = 16_000
 #: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
 FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
-#: Log-odds from which a feature counts as mined for a voter.
-MINED_ODDS = 2.0
+#: Log-odds from which a feature counts as mined for a voter, and from which a beginning stands for the words that begin so.
+MINED_ODDS, PURE_ODDS = 2.0, 4.0
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 0.1
 #: How often a human label is taken to be right.
 HUMAN = 0.995
@@ -44,15 +44,21 @@ LEXICONS = {
 }
 #: Mined features are dealt to so many voters for each kind.
 MINED_VOTERS = 2
-KINDS = ("word", "begins4", "begins5")
+#: Words, their first 4 and 5 bytes, and first 4 bytes that a text has in two and in four words at least.
+KINDS = ("word", "begins4", "begins5", "twice", "often")
+TWICE, OFTEN = 2, 4
 #: The last one votes for clean: no list and no pattern has a hit.
 PATTERNS = ("several", "shouting", "exclaiming", "nothing")
 VOTERS = (*LEXICONS, *(f"{k}{i}" for k in KINDS for i in range(MINED_VOTERS)), *PATTERNS)
 EXCLAIM = re.compile(r"!\s?!\s?!")
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) for every word of letters: its hash and those of its first 4 and 5 bytes, in lower case. The two lowest bits are the kind."""
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, parent): hashes of words of letters, in lower case, of how they begin, and of beginnings that come again.
+
+    The three lowest bits are the kind; the parent of a word is its first four
+    bytes, that of what comes again is itself.
+    """
     raw = np.frombuffer(("\n".join(texts) + "\n").lower().encode("utf-8", "replace"), np.uint8)
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]])))
@@ -66,8 +72,13 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for kind, most in enumerate((None, 4, 5)):
         stop = ends if most is None else np.minimum(starts + most, ends)
-        out.append((mix((sums[stop] - sums[starts]) * inverse[starts] + (stop - starts).astype(np.uint64)) & ~np.uint64(3)) | np.uint64(kind))
-    return np.tile(rows, 3), np.concatenate(out)
+        out.append((mix((sums[stop] - sums[starts]) * inverse[starts] + (stop - starts).astype(np.uint64)) & ~np.uint64(7)) | np.uint64(kind))
+    order = np.lexsort((out[1], rows))
+    r, begins = rows[order], out[1][order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (begins[1:] != begins[:-1])]))
+    counts = np.diff(np.concatenate([first, [len(r)]]))
+    again = [(r[first][counts >= least], (begins[first][counts >= least] & ~np.uint64(7)) | np.uint64(KINDS.index(kind))) for kind, least in (("twice", TWICE), ("often", OFTEN))]
+    return np.concatenate([np.tile(rows, 3), *(x for x, _ in again)]), np.concatenate([*out, *(k for _, k in again)]), np.concatenate([np.tile(out[1], 3), *(k for _, k in again)])
 
 
 def _hash(word: str) -> int:
@@ -86,7 +97,7 @@ class Toxicity:
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, place of a known feature), each once."""
-        rows, keys = features(texts)
+        rows, keys, _ = features(texts)
         if not len(self.keys):
             return rows[:0], rows[:0]
         marked = np.zeros(1 << 18, bool)
@@ -132,9 +143,8 @@ def mine(sample: DataFrame) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            rows, keys = features(batch.column("text").to_pylist())
+            rows, keys, parents = features(batch.column("text").to_pylist())
             toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-            parents = np.tile(keys.reshape(len(KINDS), -1)[1], len(KINDS))
             order = np.lexsort((keys, rows))
             rows, keys, parents = rows[order], keys[order], parents[order]
             once = np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])
@@ -214,14 +224,14 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     held = seeds()
     told = mine(sample)
     # a beginning that tells stands for the words that begin so: they would only share its weight
-    telling = {r["feature"] for r in told if r["odds"] >= MINED_ODDS}
+    telling = {r["feature"] for r in told if r["odds"] >= PURE_ODDS}
     told = [r for r in told if r["parent"] == r["feature"] or r["parent"] not in telling]
     # seed words are features too, however few labels there are
     own = set(held) | {int(r["feature"]) & 0xFFFFFFFFFFFFFFFF for r in told}
     for r in told:
         key = int(r["feature"]) & 0xFFFFFFFFFFFFFFFF
         if r["odds"] >= MINED_ODDS:
-            voter = VOTERS.index(f"{KINDS[key & 3]}{(key >> 8) % MINED_VOTERS}")
+            voter = VOTERS.index(f"{KINDS[key & 7]}{(key >> 8) % MINED_VOTERS}")
             held[key] = held.get(key, 0) | 1 << voter
         else:
             held.setdefault(key, 0)

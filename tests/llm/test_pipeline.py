@@ -47,7 +47,7 @@ def test_toxicity_drops_the_toxic(spark):
     assert out.columns == docs.columns
     kept = {r["doc_id"] for r in out.collect()}
     clean, toxic = ({i for i, t in labels.items() if t == v} for v in (0, 1))
-    assert len(clean & kept) >= 0.98 * len(clean) and len(toxic & kept) <= 0.2 * len(toxic)
+    assert len(clean & kept) >= 0.97 * len(clean) and len(toxic & kept) <= 0.2 * len(toxic)
 
 
 def test_one_of_each_by_brute_force(spark, docs):
