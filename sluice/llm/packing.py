@@ -31,7 +31,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
-KEEP, KEEP_CHARS = 120_000, 64
+KEEP, KEEP_CHARS = 450_000, 64
 #: The normalizer that is known to leave lower-case Latin-1 words as they are.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 LATIN = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
@@ -172,7 +172,7 @@ def pack_documents(df: DataFrame, text: str = "text", *, key: str = "doc_id", pa
             waiting.clear()
 
         held, key_kind = 0, pa.int64()
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", 4 << 20):
             key_kind = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column("__text").to_pylist()), strict=True):
                 ids = np.append(ids, np.array([end], "<u4"))
