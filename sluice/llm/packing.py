@@ -78,8 +78,18 @@ class WordIds:
                 raw = ids.tobytes()
                 out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
 
+    def _folded(self, text: str) -> str:
+        """A Latin-1 text in lower case, so that fewer words differ; any other as it is."""
+        if self.plain is None or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        words = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in map(self._folded, texts)]
         known = self.kept
         new = set().union(*words).difference(known)
         if self.older:
