@@ -40,6 +40,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(folder: str):
+    """The file system of a folder, and the folder's path on it; a plain path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
     path = fresh_path(df.sparkSession, name)

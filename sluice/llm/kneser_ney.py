@@ -18,7 +18,6 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import few_rows, fresh_path, load, remainder, slices
+from sluice.llm.common import few_rows, file_system, fresh_path, load, remainder, slices
 from sluice.llm.words import SLICE, mix, word_hashes
 
 #: Tokens that a task counts together, and about the most pairs in a shard.
@@ -111,15 +110,9 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInArrow(run, RUN)
 
 
-def _files(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def store(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     """Writes arrays, one after the other behind their lengths, then gives the file its name: a repeated attempt puts the same in its place."""
-    files, base = _files(folder)
+    files, base = file_system(folder)
     files.create_dir(base, recursive=True)
     attempt = f"{base}/{name}.{TaskContext.get().taskAttemptId()}"
     with files.open_output_stream(attempt, compression=None) as out:
@@ -129,12 +122,25 @@ def store(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     files.move(attempt, f"{base}/{name}")
 
 
-@lru_cache(maxsize=4096)
+#: What a worker has mapped of the model that it scores with.
+_mapped: dict[str, dict[str, list[np.ndarray]]] = {}
+
+
 def mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a stored file, memory-mapped. A file that is not local is copied first, and the copy has no name once it is mapped."""
+    """The arrays of a stored file, memory-mapped once for each worker and model; another model's are let go."""
+    if folder not in _mapped:
+        _mapped.clear()
+        _mapped[folder] = {}
+    if name not in _mapped[folder]:
+        _mapped[folder][name] = _map(folder, name, kinds)
+    return _mapped[folder][name]
+
+
+def _map(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """A file that is not local is copied first, and the copy has no name once it is mapped."""
     from pyarrow import fs
 
-    files, base = _files(folder)
+    files, base = file_system(folder)
     path = f"{base}/{name}"
     if not isinstance(files, fs.LocalFileSystem):
         with tempfile.NamedTemporaryFile(delete=False) as copy, files.open_input_stream(path, compression=None) as source:
@@ -318,18 +324,17 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     sums = merge_words(parts, folder, shards).collect()  # a row for each shard
     add = lambda c: sum(r[c] for r in sums)
     each = lambda c, n: tuple(sum(r[c][k] for r in sums) for k in range(n))
-    found = frozenset(r[0] for r in pa_names(folder, "pairs-"))
+    found = frozenset(stored_shards(folder, "pairs-"))
     return Model(folder, shards, shards, found, frozenset(r["shard"] for r in sums), add("tokens"), add("words"), add("texts"), add("pairs"), each("before_counts", 5), each("pair_counts", 4))
 
 
-def pa_names(folder: str, prefix: str) -> list[tuple[int, str]]:
-    """Numbers and names of the files in folder that begin with prefix."""
+def stored_shards(folder: str, prefix: str) -> list[int]:
+    """Numbers of the shards whose files are in folder."""
     from pyarrow import fs
 
-    files, base = _files(folder)
+    files, base = file_system(folder)
     found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    names = [f.base_name for f in found if f.base_name.startswith(prefix) and "." not in f.base_name]
-    return [(int(n.removeprefix(prefix)), n) for n in names]
+    return [int(f.base_name.removeprefix(prefix)) for f in found if f.base_name.startswith(prefix) and "." not in f.base_name]
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "text", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -24,7 +24,6 @@ KINDS = (
 HINTS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 ENTROPY = "entropy"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates hold a letter and a digit.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character class, its pattern and the bits that the window must reach. The first class that fits counts.
@@ -103,12 +102,11 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError(f"df may not have {sorted(clash)}")
     source = df.withColumn("__secret_text", F.coalesce(F.col(text), F.lit("")))
     base = source.withColumn("base_spans", F.concat(*(_matches("__secret_text", *k) for k in KINDS)))
-    # a digit and a letter within one candidate
+    # most texts have no run that long, and are not split
     hint = r"[A-Za-z0-9+/_=-]{20}"
     candidates = F.transform(_matches("__secret_text", "candidate", CANDIDATE, 0, 20), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__secret_text"), s["start"] + 1, s["end"] - s["start"]).alias("word")))
-    digits = F.col("__secret_text").rlike(r"[0-9+/_=-][A-Za-z+/_=-]*[0-9]|[0-9]")
     extra = F.filter(
-        F.when(digits & F.col("__secret_text").rlike(hint), candidates).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>")),
+        F.when(F.col("__secret_text").rlike(hint), candidates).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>")),
         lambda c: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & _suspicious(c["word"]),
     )
     both = base.withColumn("spans", F.concat("base_spans", F.transform(extra, lambda c: F.struct(F.lit(ENTROPY).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import few_rows, fresh_path, load, slices, written
+from sluice.llm.common import few_rows, file_system, fresh_path, load, slices, written
 
 #: Bytes of compressed records after which a task begins its next archive.
 ARCHIVE_BYTES = 64 << 20
@@ -126,13 +126,6 @@ def _id(reference: str) -> int | None:
     return int(found) if found else None
 
 
-def _files(folder: str):
-    """A file system and the folder's path on it; a plain path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html, ts) as records under folder; returns their captures, a sorted run for each task.
 
@@ -145,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
     joined = sized.join(groups, "__sha", "left").select("page_id", "url", "html", "ts", F.expr("case when page_id > __first then __first end").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _files(folder)
+        files, base = file_system(folder)
         files.create_dir(base, recursive=True)
         # a repeated attempt writes files of its own; only those of the attempt that ends well are in the index
         task, number, out, name, offset, captures = TaskContext.get(), 0, None, "", 0, []
@@ -223,7 +216,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _files(folder)
+        files, base = file_system(folder)
         opened, source = "", None
         for batch in batches:
             rows = []
