@@ -84,6 +84,72 @@ def test_kneser_ney_on_odd_rows(odd, empty):
     assert all(r["n_known"] == 0 and r["base_score"] == 0.0 for r in kneser_ney.score_texts(odd, nothing).collect())
 
 
+def plain_model_of(order, texts):
+    """A model of any order in dictionaries: a function of the words before a word and the word."""
+    grams = {order: Counter()}
+    for t in texts:
+        s = ["<s>"] * (order - 1) + [*WORD.findall((t or "").translate(LOWER)), "</s>"]
+        grams[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    cuts = {n: kneser_ney.discounts([sum(c == k for c in grams[n].values()) for k in (1, 2, 3, 4)]) for n in grams}
+    follow = {n: defaultdict(list) for n in grams}
+    for n in grams:
+        for g, c in grams[n].items():
+            follow[n][g[:-1]].append(c)
+
+    def p(n, before, w):
+        lower = p(n - 1, before[1:], w) if n > 1 else 1 / (len(grams[1]) + 1)
+        counts = follow[n][before]
+        if not counts:
+            return lower
+        c = grams[n][(*before, w)]
+        return (c - cuts[n][min(c, 3)] + sum(cuts[n][min(k, 3)] for k in counts) * lower) / sum(counts)
+
+    return lambda before, w: p(order, before, w)
+
+
+def check_order(rows, order, train):
+    p, words = plain_model_of(order, train), Counter(w for t in train for w in [*WORD.findall((t or "").translate(LOWER)), "</s>"])
+    for r in rows:
+        s = ["<s>"] * (order - 1) + [*WORD.findall((r["text"] or "").translate(LOWER)), "</s>"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(s) - order + 1, sum(words[w] > 0 for w in s[order - 1 :]), sum(words.values()))
+        want = sum(math.log10(p(tuple(s[i : i + order - 1]), s[i + order - 1])) for i in range(len(s) - order + 1))
+        assert math.isclose(r["score"], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize(("order", "shard"), [(3, 4_000_000), (3, 300), (4, 300)])
+def test_higher_orders_by_brute_force(spark, monkeypatch, order, shard):
+    monkeypatch.setattr(kneser_ney, "SHARD_PAIRS", shard)
+    docs = load(spark, SF, "documents").select("doc_id", "text").where("doc_id % 5 = 0")
+    texts = [r["text"] for r in docs.collect()] + ["a b c"] * 700 + [None, "", "a b d", "b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    learned = kneser_ney.train(df.where("doc_id % 3 > 0"), order=order)
+    rows = kneser_ney.score_texts(df, learned, keep=("doc_id", "text")).collect()
+    check_order([r for r in rows if r["doc_id"] % 7 == 0], order, [t for i, t in enumerate(texts) if i % 3])
+
+
+def test_registered_order_3_uses_two_words_before(spark):
+    query = kneser_ney.QUERIES["op3_kneser_ney_3"]
+    texts = {r["doc_id"]: r["text"] for r in load(spark, SF, "documents").collect()}
+    rows = [r.asDict() | {"text": texts[r["doc_id"]]} for r in query(spark, SF).collect()]
+    check_order([r for r in rows if r["doc_id"] % 9 == 0], 3, [r["text"] for r in rows if not r["held_out"]])
+
+
+def test_orders_on_odd_rows(odd, empty):
+    learned = kneser_ney.train(odd, order=3)
+    check_order(kneser_ney.score_texts(odd, learned, keep=("doc_id", "text")).collect(), 3, [r["text"] for r in odd.collect()])
+    nothing = kneser_ney.train(empty, order=3)
+    assert all(r["n_known"] == 0 and r["base_score"] == 0.0 for r in kneser_ney.score_texts(odd, nothing).collect())
+
+
+def test_rows_that_do_not_fit_one_number():
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, 5, 500) for _ in range(3)]
+    few, many = kneser_ney.distinct(columns, 5), kneser_ney.distinct(columns, 1 << 22)
+    assert all((a == b).all() for a, b in zip([*few[0], few[1]], [*many[0], many[1]], strict=True))
+
+
 def test_language_id_held_out(spark):
     found = language_id.op10_language_id(spark, SF).join(load(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     right, n = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
