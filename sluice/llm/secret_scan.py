@@ -2,9 +2,9 @@
 
 Three fixed patterns give the base spans. On top of them, candidate strings are
 scanned with a sliding window: the counts of the characters in the window are
-kept as the window moves, and with them its Shannon entropy. A candidate whose
-highest window passes the bar of its character class, and that no allow-list
-entry covers, is a span of kind entropy.
+kept as the window moves, and with them its Shannon entropy. Base spans are cut
+out of candidates first. A piece whose highest window passes the bar of its
+character class, and that no allow-list entry covers, is a span of kind entropy.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ KINDS = (
 HINTS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 ENTROPY = "entropy"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WINDOW = 20
 #: Character class, its pattern and the bits that the window must reach. The first class that fits counts.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("upper", r"^[A-Z0-9]+$", 3.6), ("mixed", r"^[A-Za-z0-9+/_=-]+$", 3.7))
@@ -91,26 +92,38 @@ def _suspicious(candidate: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(candidate) >= bar)
 
 
+def _pieces(candidate: Column, base: Column) -> Column:
+    """array<struct<start,end>>: what base spans, ordered by start, leave of a candidate, in pieces of LEAST characters or more."""
+    touching = F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"]))
+    begin = F.struct(candidate["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("pieces"))
+
+    def with_piece(acc: Column, end: Column) -> Column:
+        return F.when(end - acc["at"] >= LEAST, F.array_append(acc["pieces"], F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(acc["pieces"])
+
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), with_piece(acc, b["start"]).alias("pieces"))
+    return F.aggregate(touching, begin, step, lambda acc: with_piece(acc, candidate["end"]))
+
+
 def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """df with base_spans and spans, arrays of struct<kind, start, end> in code points, end exclusive.
 
     Both are ordered by start and then by kind (assign, access, hex, entropy). A
-    null or empty text has none. Entropy spans that overlap a base span are left
-    out. df may not have columns of these names; nothing else of it changes.
+    null or empty text has none. Entropy spans do not overlap base spans: what
+    those leave of a candidate is tested piece by piece. df may not have columns of these names; nothing else of it changes.
     """
     if clash := {"base_spans", "spans", "__secret_text"} & set(df.columns):
         raise ValueError(f"df may not have {sorted(clash)}")
     source = df.withColumn("__secret_text", F.coalesce(F.col(text), F.lit("")))
-    base = source.withColumn("base_spans", F.concat(*(_matches("__secret_text", *k) for k in KINDS)))
+    base = source.withColumn("base_spans", F.concat(*(_matches("__secret_text", *k) for k in KINDS))).withColumn("base_spans", _ordered("base_spans"))
     # most texts have no run that long, and are not split
-    hint = r"[A-Za-z0-9+/_=-]{20}"
-    candidates = F.transform(_matches("__secret_text", "candidate", CANDIDATE, 0, 20), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__secret_text"), s["start"] + 1, s["end"] - s["start"]).alias("word")))
+    hint = rf"[A-Za-z0-9+/_=-]{{{LEAST}}}"
+    candidates = F.flatten(F.transform(_matches("__secret_text", "candidate", CANDIDATE, 0, LEAST), lambda c: _pieces(c, F.col("base_spans"))))
     extra = F.filter(
-        F.when(F.col("__secret_text").rlike(hint), candidates).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>")),
-        lambda c: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & _suspicious(c["word"]),
+        F.when(F.col("__secret_text").rlike(hint), candidates).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
+        lambda c: _suspicious(F.substring(F.col("__secret_text"), c["start"] + 1, c["end"] - c["start"])),
     )
     both = base.withColumn("spans", F.concat("base_spans", F.transform(extra, lambda c: F.struct(F.lit(ENTROPY).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
-    return both.withColumn("base_spans", _ordered("base_spans")).withColumn("spans", _ordered("spans")).drop("__secret_text")
+    return both.withColumn("spans", _ordered("spans")).drop("__secret_text")
 
 
 def _ordered(spans: str) -> Column:
