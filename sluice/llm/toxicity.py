@@ -209,11 +209,20 @@ def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, width: int)
     return weights, bias
 
 
+def draw(rows: DataFrame) -> DataFrame:
+    """SAMPLE distinct rows of doc_id and text, those that hash lowest; only hashes are ordered and sent around."""
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    lowest = hashed.select("h").distinct().orderBy("h").limit(SAMPLE)
+    return hashed.join(F.broadcast(lowest), "h").dropDuplicates(["h"]).drop("h")
+
+
 def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxicity:
     """What documents (doc_id, text) and labels (doc_id, toxic 0 or 1) teach. Votes are counted over all documents.
 
     Rows with a null id, text or label teach nothing; of labels that repeat an id
-    the largest counts. Without labels, the seed lists and patterns vote alone.
+    the largest counts. Without labels, the seed lists and patterns vote alone, and
+    a sample of all texts with the posterior labels of their votes trains the
+    classifier. Without any text, seed words have a fixed weight.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     # ids of a bounded sample: small enough to send to every task
@@ -253,19 +262,26 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
             cuts = np.searchsorted(rows, np.arange(len(own) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(learned.votes(own)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))], names=["toxic", "mask", "at"])
 
-    placed = sample.select("toxic", "text").mapInArrow(place, "toxic long, mask long, at array<int>").toArrow().combine_chunks()
+    def placed_in(rows: DataFrame) -> pa.Table:
+        return rows.select("toxic", "text").mapInArrow(place, "toxic long, mask long, at array<int>").toArrow().combine_chunks()
+
+    placed = placed_in(sample)
     masks, toxic = placed["mask"].to_numpy(), placed["toxic"].to_numpy()
     gold: dict[tuple[int, int], int] = {}
     for m, y in zip(masks.tolist(), toxic.tolist(), strict=True):
         gold[m, y] = gold.get((m, y), 0) + 1
     posterior, estimated = label_model({r["mask"]: r["n"] for r in combined} | {}, gold, len(VOTERS))
     learned.accuracy = estimated
+    if not len(masks):
+        # no label: -1
+        placed = placed_in(draw(texts).withColumn("toxic", F.lit(-1).cast("long")))
+        masks, toxic = placed["mask"].to_numpy(), placed["toxic"].to_numpy()
     if not len(masks):
         spoken = learned.voters > 0
         learned.weights, learned.bias = np.where(spoken, 4.0, 0.0), -2.0
         return learned
     evidence = np.array([posterior.get(m, 0.5) for m in masks.tolist()])
-    odds = np.log(np.clip(evidence, 1e-6, 1 - 1e-6) / np.clip(1 - evidence, 1e-6, 1)) + np.where(toxic == 1, 1, -1) * np.log(HUMAN / (1 - HUMAN))
+    odds = np.log(np.clip(evidence, 1e-6, 1 - 1e-6) / np.clip(1 - evidence, 1e-6, 1)) + np.select([toxic == 1, toxic == 0], [1, -1], 0) * np.log(HUMAN / (1 - HUMAN))
     lists = placed["at"].combine_chunks() if isinstance(placed["at"], pa.ChunkedArray) else placed["at"]
     at = lists.flatten().to_numpy()
     rows = np.repeat(np.arange(len(masks)), lists.value_lengths().to_numpy())

@@ -203,6 +203,19 @@ def test_toxicity_learns_stems(spark):
     assert hit >= 0.9 * sum(truth.values()) and sum(got.values()) - hit <= 0.02 * len(got)
 
 
+def test_toxicity_without_labels_trains_on_posteriors(spark):
+    docs, labels = made(600, 2)
+    harsh = ["you pathetic idiot scum", "stupid worthless vermin jerk", "moron you disgusting garbage bitch"]
+    texts = [t for (_, t), (_, toxic) in zip(docs, labels, strict=True) if not toxic]
+    texts = [f"{t} {harsh[i % 3]}" if i % 12 == 0 else f"{t} {['kill', 'garbage', 'ugly'][i % 3]}" if i % 12 == 1 else t for i, t in enumerate(texts)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    absent = spark.createDataFrame([(10_000 + i, 1) for i in range(20)], "doc_id long, toxic int")
+    for given in (absent.where("false"), absent):
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, toxicity.train(d, given)).collect()}
+        assert not any(got[i] for i in got if i % 12)
+        assert sum(got[i] for i in got if i % 12 == 0) >= 0.9 * len([i for i in got if i % 12 == 0])
+
+
 def test_label_model_discounts_voters_that_agree():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.3
