@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import few_rows, load, remainder, slices, written
 from sluice.llm.words import BASE, SLICE, _power, mix
 
-#: The bound: so many labelled rows, those whose ids hash lowest, are mined and train the classifier.
+#: The bound: so many distinct labelled rows, those that hash lowest, train the classifier. All are mined and counted.
 SAMPLE = 16_000
 #: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
 FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
@@ -138,8 +138,8 @@ def seeds() -> dict[int, int]:
     return out
 
 
-def mine(sample: DataFrame) -> list:
-    """(feature, the first four bytes' feature, rows that hold it, toxic ones among them, log-odds) of the sample's most telling features."""
+def mine(labelled: DataFrame) -> list:
+    """(feature, the first four bytes' feature, rows that hold it, toxic ones among them, log-odds) of the labelled rows' most telling features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -151,8 +151,8 @@ def mine(sample: DataFrame) -> list:
             names, first, of = np.unique(keys[once], return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(parents[once][first].view(np.int64)), pa.array(np.bincount(of, minlength=len(names))), pa.array(np.bincount(of, toxic[rows[once]], len(names)).astype(np.int64))], names=["feature", "parent", "n", "toxic"])
 
-    total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counted = sample.select("text", "toxic").mapInArrow(run, "feature long, parent long, n long, toxic long").groupBy("feature", "parent").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= SUPPORT)
+    total, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counted = labelled.select("text", "toxic").mapInArrow(run, "feature long, parent long, n long, toxic long").groupBy("feature", "parent").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= SUPPORT)
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (F.lit(total - bad) + 1.0))
     # by how many standard errors the log-odds differ from none
     sure = F.abs("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
@@ -219,19 +219,18 @@ def draw(rows: DataFrame) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxicity:
     """What documents (doc_id, text) and labels (doc_id, toxic 0 or 1) teach. Votes are counted over all documents.
 
-    Rows with a null id, text or label teach nothing; of labels that repeat an id
+    Labelled rows are mined, and their votes counted by label, in full; a sample of
+    them trains the classifier. Rows with a null id, text or label teach nothing; of labels that repeat an id
     the largest counts. Without labels, the seed lists and patterns vote alone, and
     a sample of all texts with the posterior labels of their votes trains the
     classifier. Without any text, seed words have a fixed weight.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    # ids of a bounded sample: small enough to send to every task
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = few_rows(documents).select("doc_id", F.col(text).alias("text")).where("text is not null")
-    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")
+    labelled = written(texts.join(known, "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
 
     held = seeds()
-    told = mine(sample)
+    told = mine(labelled)
     # a beginning that tells stands for the words that begin so: they would only share its weight
     telling = {r["feature"] for r in told if r["odds"] >= PURE_ODDS}
     told = [r for r in told if r["parent"] == r["feature"] or r["parent"] not in telling]
@@ -252,8 +251,15 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
             masks, counts = np.unique(learned.votes(batch.column("text").to_pylist()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(counts)], names=["mask", "n"])
 
+    def vote_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            masks, toxic = learned.votes(batch.column("text").to_pylist()), batch.column("toxic").to_numpy()
+            (masks, toxic), counts = np.unique(np.stack([masks, toxic]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(toxic), pa.array(counts)], names=["mask", "toxic", "n"])
+
     # at most 2 ** len(VOTERS) combinations, whatever the corpus holds
     combined = texts.select("text").mapInArrow(vote, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).collect()
+    judged = labelled.select("text", "toxic").mapInArrow(vote_by_label, "mask long, toxic long, n long").groupBy("mask", "toxic").agg(F.sum("n").alias("n")).collect()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -265,11 +271,9 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     def placed_in(rows: DataFrame) -> pa.Table:
         return rows.select("toxic", "text").mapInArrow(place, "toxic long, mask long, at array<int>").toArrow().combine_chunks()
 
-    placed = placed_in(sample)
+    placed = placed_in(draw(labelled))
     masks, toxic = placed["mask"].to_numpy(), placed["toxic"].to_numpy()
-    gold: dict[tuple[int, int], int] = {}
-    for m, y in zip(masks.tolist(), toxic.tolist(), strict=True):
-        gold[m, y] = gold.get((m, y), 0) + 1
+    gold = {(r["mask"], r["toxic"]): r["n"] for r in judged}
     posterior, estimated = label_model({r["mask"]: r["n"] for r in combined} | {}, gold, len(VOTERS))
     learned.accuracy = estimated
     if not len(masks):

@@ -216,6 +216,27 @@ def test_toxicity_without_labels_trains_on_posteriors(spark):
         assert sum(got[i] for i in got if i % 12 == 0) >= 0.9 * len([i for i in got if i % 12 == 0])
 
 
+def test_toxicity_mines_and_counts_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    docs, labels = made(1500, 3)
+    toxic = [i for i, y in labels if y]
+    docs = [(i, f"{t} qwyxel" if i in toxic[:12] else t) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    # labels of documents that are not there take no room
+    lab = spark.createDataFrame(labels + [(100_000 + i, 0) for i in range(5000)], "doc_id long, toxic int")
+    told = []
+    model = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda counts, gold, n: told.append(gold) or model(counts, gold, n))
+    placed = []
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, at, target, width: placed.append(len(target)) or fit(rows, at, target, width))
+    learned = toxicity.train(d, lab)
+    # the word or how it begins
+    assert np.isin(toxicity.features(["qwyxel"])[1], learned.keys).any()
+    assert sum(told[0].values()) == 1500 and sum(n for (_, y), n in told[0].items() if y) == len(toxic)
+    assert placed == [60]
+
+
 def test_label_model_discounts_voters_that_agree():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.3
