@@ -22,7 +22,8 @@ from sluice.llm.words import SLICE, mix, shingles
 SHINGLE = 5
 #: Similarity in hundredths from which documents are linked.
 SIMILAR = 75
-#: A pair of similarity 0.75 shares no band with probability (1 - 0.75 ** 6) ** 48, under 1 in 10,000.
+#: A pair of large sets of similarity 0.75 shares no band with probability (1 - 0.75 ** 6) ** 48, under 1 in 10,000.
+#: Of m in n nested shingles both extremes agree with m (m - 1) / (n (n - 1)): 1 in 608 at 3 of 4, 3,019 at 6 of 8, 6,214 at 12 of 16.
 BANDS, VALUES = 48, 6
 PERMUTATIONS = BANDS * VALUES // 2
 SEED = 75_000
