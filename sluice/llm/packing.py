@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,16 @@ WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
 KEEP, KEEP_CHARS = 450_000, 64
-#: The normalizer that is known to leave lower-case Latin-1 words as they are.
+#: The normalizer and the cut into words that are known: words of Latin-1 letters need no more of them than str.lower() does.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LATIN = re.compile("[\x21-\x7e\xa1-\xff]+").fullmatch
 #: A word of its own to the tokenizer, one id.
 MARK = "\x01"
-#: What str.split() takes for white space and Unicode does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Where the known cut into words cuts anyhow, a space may stand: fewer words differ then.
+BEFORE_TAIL = r"([a-zA-Z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:;=?@\[-`{}~])"
+#: White space to Unicode beyond what Arrow splits at.
+WHITE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordIds:
@@ -52,8 +55,12 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.encoder = Tokenizer.from_file(path)
-        # words of Latin-1 need no more of this normalizer than str.lower() does
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if spec["normalizer"] == NORMALIZER else None
+        known = spec["normalizer"] == NORMALIZER
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if known else None
+        first, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        self.lettered = None
+        if known and first == {"type": "Split", "pattern": {"Regex": LETTERS}, "behavior": "Removed", "invert": True}:
+            self.lettered = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
         (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
         # words in two generations: when the younger is full it becomes the older
         self.kept: dict[str, bytes] = {}
@@ -61,15 +68,15 @@ class WordIds:
 
     def encode_words(self, words: list[str], out: dict[str, bytes]) -> None:
         """Puts the ids of words into out. Many are encoded at a time, with a mark between each two."""
-        latin, rest = [], []
+        letters, latin, rest = [], [], []
         for w in words:
-            if MARK in w:
+            if not w or MARK in w:
                 out[w] = np.array(self.encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
             elif self.plain is not None and (w.isascii() or LATIN(w)) and "<|" not in w:
-                latin.append(w)
+                (letters if self.lettered is not None and w.isalpha() else latin).append(w)
             else:
                 rest.append(w)
-        for encoder, own, lower in ((self.plain, latin, True), (self.encoder, rest, False)):
+        for encoder, own, lower in ((self.lettered, letters, True), (self.plain, latin, True), (self.encoder, rest, False)):
             parts = [own[i : i + 1000] for i in range(0, len(own), 1000)]
             joined = [f" {MARK} ".join(p) for p in parts]
             for part, coded in zip(parts, encoder.encode_batch_fast([j.lower() for j in joined] if lower else joined, add_special_tokens=False) if parts else (), strict=True):
@@ -79,7 +86,10 @@ class WordIds:
                 out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)])), strict=True))
 
     def _folded(self, text: str) -> str:
-        """A Latin-1 text in lower case, so that fewer words differ; any other as it is."""
+        """A Latin-1 text in lower case, so that fewer words differ; any other as it is. White space is what Arrow splits at."""
+        if text.isascii():
+            return text if self.plain is None or "<|" in text else text.lower()
+        text = WHITE.sub(" ", text)
         if self.plain is None or "<|" in text:
             return text
         try:
@@ -88,23 +98,35 @@ class WordIds:
             return text
         return text.lower()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [WHITE.split(t) if SEPARATORS.search(t) else t.split() for t in map(self._folded, texts)]
-        known = self.kept
-        new = set().union(*words).difference(known)
-        if self.older:
-            again = new & self.older.keys()
-            known.update((w, self.older[w]) for w in again)
-            new -= again
-        self.encode_words(list(new), known)
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
-        for w in new:
+    def learn(self, words: list[str]) -> None:
+        """Keeps the ids of words in the younger generation."""
+        new = set(words).difference(self.kept)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.kept.update(again)
+        self.encode_words(list(new.difference(again)), self.kept)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        folded = pa.array([self._folded(t) for t in texts], pa.large_string())
+        if self.lettered is not None:
+            folded = pc.replace_substring_regex(folded, BEFORE_TAIL, r"\1 \2")
+        split = pc.ascii_split_whitespace(folded)
+        words = split.flatten().dictionary_encode()
+        forms = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(forms)
+        coded = list(map(self.kept.__getitem__, forms))
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        # each word's ids, and where among those of all words they go
+        out = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])]
+        for w in forms:
             if len(w) > KEEP_CHARS:
-                del known[w]
-        if len(known) > KEEP:
-            self.older, self.kept = known, {}
-        return out
+                del self.kept[w]
+        if len(self.kept) > KEEP:
+            self.older, self.kept = self.kept, {}
+        return out, np.diff(ends[split.offsets.to_numpy()])
 
 
 _encoders: dict[str, WordIds] = {}
@@ -151,8 +173,9 @@ def pack_documents(df: DataFrame, text: str = "text", *, key: str = "doc_id", pa
 
     A document is its token ids and then the id end, so a null or empty text is
     one token. Tokens of a document beyond the last multiple of capacity are
-    packed with others; those before fill sequences of their own. Rows with
-    equal or null keys are packed each by itself. Other columns are left out.
+    packed with others; those before fill sequences of their own. Cost is balanced
+    among the sequences of one window of tokens of a task, which is what is packed
+    together, not among all sequences. Rows with equal or null keys are packed each by itself. Other columns are left out.
     """
     path = path or tokenizer_file(VOCABULARY)
     kind = df.schema[key].dataType
@@ -162,44 +185,63 @@ def pack_documents(df: DataFrame, text: str = "text", *, key: str = "doc_id", pa
             _encoders[path] = WordIds(path)
         encoder = _encoders[path]
         base, made = TaskContext.get().partitionId() << 36, 0
-        rows: list[tuple] = []
+        # keys, first places, lengths, and ids of what waits to be packed together
         waiting: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [key_kind, *[pa.int64()] * 5, pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            rows.clear()
-            return batch
-
-        def flush() -> None:
-            nonlocal made
-            pieces = assign(np.array([len(w[3]) for w in waiting], np.int64), capacity, linear, quadratic)
-            for item, start, n, at, offset in sorted(pieces, key=lambda p: (p[3], p[4])):
-                doc, first, tokens, ids = waiting[item]
-                rows.append((doc, first + start, n, tokens, base + made + at, offset, ids[start : start + n].tobytes()))
-            made += 1 + max((p[3] for p in pieces), default=-1)
+        held = 0
+
+        def out(keys: pa.Array, start: np.ndarray, n: np.ndarray, tokens: np.ndarray, sequence: np.ndarray, offset: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pieces of n ids from the place at in ids."""
+            for a in range(0, len(n), 4096):
+                own = slice(a, a + 4096)
+                ends = np.concatenate([[0], np.cumsum(n[own])])
+                part = ids[np.arange(ends[-1]) + np.repeat(at[own] - ends[:-1], n[own])]
+                binary = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(part)])
+                columns = [keys[a : a + 4096], *(pa.array(c[own]) for c in (start, n, tokens, sequence, offset)), binary]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made, held
+            keys = pa.concat_arrays([w[0] for w in waiting])
+            first, tokens, n = (np.concatenate([w[k] for w in waiting]) for k in (1, 2, 3))
+            ids = np.concatenate([w[4] for w in waiting])
+            places = np.cumsum(n) - n
+            pieces = np.array(assign(n, capacity, linear, quadratic), np.int64).reshape(-1, 5)
+            item, start, size, sequence, offset = pieces[np.lexsort((pieces[:, 4], pieces[:, 3]))].T
+            yield from out(keys.take(pa.array(item)), first[item] + start, size, tokens[item], base + made + sequence, offset, ids, places[item] + start)
+            made += 1 + int(sequence.max(initial=-1))
             waiting.clear()
+            held = 0
 
-        held, key_kind = 0, pa.int64()
         for batch in slices(batches, "__text", 4 << 20):
-            key_kind = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column("__text").to_pylist()), strict=True):
-                ids = np.append(ids, np.array([end], "<u4"))
-                whole = len(ids) // capacity * capacity
-                for start in range(0, whole, capacity):
-                    rows.append((doc, start, capacity, len(ids), base + made, 0, ids[start : start + capacity].tobytes()))
-                    made += 1
-                if whole < len(ids):
-                    waiting.append((doc, whole, len(ids), ids[whole:]))
-                    held += len(ids) - whole
+            keys = batch.column(0)
+            ids, counts = encoder.encode(batch.column("__text").to_numpy(zero_copy_only=False).tolist())
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+            tokens = counts + 1
+            places = np.cumsum(tokens) - tokens
+            whole = tokens // capacity
+            if whole.any():
+                item = np.repeat(np.arange(len(tokens)), whole)
+                start = (np.arange(len(item)) - np.repeat(np.cumsum(whole) - whole, whole)) * capacity
+                same = np.full(len(item), capacity, np.int64)
+                yield from out(keys.take(pa.array(item)), start, same, tokens[item], base + made + np.arange(len(item)), same * 0, ids, places[item] + start)
+                made += len(item)
+            begin = 0
+            rest = tokens % capacity
+            while begin < len(tokens):
+                # up to the document that fills the window
+                stop = min(len(tokens), begin + 1 + int(np.searchsorted(np.cumsum(rest[begin:]), window - held)))
+                own = np.flatnonzero(rest[begin:stop]) + begin
+                if len(own):
+                    n = rest[own]
+                    ends = np.cumsum(n)
+                    at = places[own] + whole[own] * capacity
+                    waiting.append((keys.take(pa.array(own)), whole[own] * capacity, tokens[own], n, ids[np.arange(ends[-1]) + np.repeat(at - ends + n, n)]))
+                    held += int(ends[-1])
                 if held >= window:
-                    flush()
-                    held = 0
-                if len(rows) >= 4096:
-                    yield out()
-        flush()
-        yield out()
+                    yield from flush()
+                begin = stop
+        if waiting:
+            yield from flush()
 
     source = few_rows(df).select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     return source.mapInArrow(run, f"`{key}` {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -67,10 +67,38 @@ def test_odd_rows_encode(odd, empty):
 
 def test_words_are_the_tokenizer_s():
     words = packing.WordIds(tokenizer_file(packing.VOCABULARY))
-    texts = [*HARD, "a\x01b \x01 c"]
+    marks = "".join(map(chr, range(1, 256)))
+    texts = [*HARD, "a\x01b \x01 c", "foo,'s bar's b,'ll a'b .x,y 's,t 'll,a a<|b|>c x>y don't,", marks, " ".join(f"a{m}b {m}a{m} é{m}'s" for m in marks), "naïve***&&& \u0130, \u00e9\u0301. e\u0301! \u01c5."]
     for _ in range(2):
-        for ids, e in zip(words.encode(texts), words.encoder.encode_batch(texts, add_special_tokens=False), strict=True):
-            assert ids.tolist() == e.ids
+        ids, counts = words.encode(texts)
+        for own, e in zip(np.split(ids, np.cumsum(counts)[:-1]), words.encoder.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.tolist() == e.ids
+
+
+def test_generations_of_packed_words(monkeypatch):
+    monkeypatch.setattr(packing, "KEEP", 5)
+    words = packing.WordIds(tokenizer_file(packing.VOCABULARY))
+    for text in HARD + HARD:
+        assert words.encode([text])[0].tolist() == words.encoder.encode(text, add_special_tokens=False).ids
+
+
+def test_query_packs_the_whole_table(spark):
+    from sluice.llm.common import load
+
+    words = packing.WordIds(tokenizer_file(packing.VOCABULARY))
+    docs = {r["doc_id"]: [*words.encoder.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in load(spark, "/root/testdata/sf0.001", "documents").collect()}
+    got, used = defaultdict(list), defaultdict(int)
+    for r in packing.op2_packing(spark, "/root/testdata/sf0.001").collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        used[r["sequence_id"]] += r["length"]
+    assert got.keys() == docs.keys() and max(used.values()) <= 2048
+    assert 2048 * len(used) - sum(used.values()) < 2048 * 2
+    for doc, ids in docs.items():
+        at = 0
+        for start, n, crc, tokens in sorted(got[doc]):
+            assert start == at and tokens == len(ids) and crc == zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())
+            at += n
+        assert at == len(ids)
 
 
 def test_assignment_is_balanced():
