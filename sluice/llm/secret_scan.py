@@ -271,15 +271,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), base AS (SELECT *, s + length(hit) AS e FROM s WHERE kind <> 'candidate'
 ), cand AS (SELECT *, s + length(hit) AS e FROM s WHERE kind = 'candidate'
 ), points AS (
-  SELECT doc_id, s AS c_start, e AS c_end, hit, s AS at FROM cand
+  SELECT doc_id, s AS c_start, e AS c_end, hit, s AS pos FROM cand
   UNION SELECT c.doc_id, c.s, c.e, c.hit, b.e FROM cand c JOIN base b ON b.doc_id = c.doc_id AND b.e >= c.s AND b.e < c.e
 ), cut AS (
-  SELECT p.doc_id, p.at, p.c_start, p.hit, least(any_value(p.c_end), coalesce(min(b.s), any_value(p.c_end))) AS e
-  FROM points p LEFT JOIN base b ON b.doc_id = p.doc_id AND b.e > p.at
-  GROUP BY p.doc_id, p.at, p.c_start, p.hit
-  HAVING coalesce(min(b.s) > p.at, true)
+  SELECT p.doc_id, p.pos, p.c_start, p.hit, least(any_value(p.c_end), coalesce(min(b.s), any_value(p.c_end))) AS e
+  FROM points p LEFT JOIN base b ON b.doc_id = p.doc_id AND b.e > p.pos
+  GROUP BY p.doc_id, p.pos, p.c_start, p.hit
+  HAVING coalesce(min(b.s) > p.pos, true)
 ), piece AS (
-  SELECT doc_id, at AS s, e, substr(hit, CAST(at - c_start + 1 AS BIGINT), CAST(e - at AS BIGINT)) AS w FROM cut WHERE e - at >= {LEAST}
+  SELECT doc_id, pos AS s, e, substr(hit, CAST(pos - c_start + 1 AS BIGINT), CAST(e - pos AS BIGINT)) AS w FROM cut WHERE e - pos >= {LEAST}
 ), odd AS (
   SELECT * FROM piece
   WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
