@@ -4,8 +4,9 @@ Many voters look at each text: word lists, word lists and word beginnings mined
 from labelled rows, and patterns. A generative label model, fitted by expectation
 maximisation on how often each combination of votes occurs in the whole corpus,
 estimates each voter's accuracy and, given the class, the voters' correlations,
-which discount voters that say the same. Its posterior labels train a linear
-classifier, which scores every whole text.
+which discount voters that say the same; a human label is one more vote, of estimated
+accuracy. The posterior labels of texts with and without a human label train a
+linear classifier, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from pyspark.sql import functions as F
 from sluice.llm.common import few_rows, load, remainder, slices, written
 from sluice.llm.words import BASE, SLICE, _power, mix
 
-#: The bound: so many distinct labelled rows, those that hash lowest, train the classifier. All are mined and counted.
+#: The bound: so many distinct labelled texts, and as many of all texts, those that hash lowest, train the classifier. All are mined and counted.
 SAMPLE = 16_000
+#: Slots of the bitmap of labelled ids, which bounds what is broadcast: 64 in a row. Where they fill up, more texts than labelled ones meet the labels.
+SLOTS = 1 << 23
 #: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
 FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
 #: Log-odds from which a feature counts as mined for a voter, and from which a beginning stands for the words that begin so.
 MINED_ODDS, PURE_ODDS = 2.0, 4.0
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 0.1
-#: How often a human label is taken to be right.
-HUMAN = 0.995
+#: How often a human label is right, to begin with, and the range in which the estimate stays.
+HUMAN, HUMAN_RANGE = 0.99, (0.98, 0.995)
+#: What a text without a label weighs beside one with a label, in estimates and in training.
+UNLABELLED = 0.1
 
 #: Seed word lists, in lower case, by what they say.
 LEXICONS = {
@@ -159,21 +164,23 @@ def mine(labelled: DataFrame) -> list:
     return counted.withColumn("odds", odds).withColumn("sure", sure).where(F.col("sure") >= ERRORS).orderBy(F.desc("sure"), "feature").limit(FEATURES).collect()
 
 
-def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int) -> tuple[dict[int, float], dict]:
-    """The probability of toxic for each combination of votes, and what was estimated.
+def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int) -> tuple[dict[tuple[int, int], float], dict]:
+    """The probability of toxic for each combination of votes and label, -1 for none, and what was estimated.
 
     counts: how often each combination occurs in the corpus; gold: how often with
-    each human label. Human labels start the estimates and take part in them as
-    one more voter that is right in HUMAN of cases.
+    each human label. The human is one more voter, whose two accuracies are
+    estimated with the others; it abstains where there is no label.
     """
-    masks = np.array(sorted(counts or {0: 1}), np.int64)
-    weight = np.array([counts.get(m, 1) for m in masks.tolist()], np.float64)
+    known: dict[int, int] = {}
+    for (mask, _), times in gold.items():
+        known[mask] = known.get(mask, 0) + times
+    rows = {(m, -1): max(0, times - known.get(m, 0)) for m, times in (counts or {0: 1}).items()} | gold
+    masks, labels, weight = (np.array(c) for c in zip(*((m, y, times) for (m, y), times in sorted(rows.items())), strict=True))
+    weight = np.where(labels < 0, UNLABELLED if gold else 1.0, 1.0) * weight
     votes = (masks[:, None] >> np.arange(n)) & 1
-    labelled = np.array([[gold.get((m, y), 0) for y in (0, 1)] for m in masks.tolist()], np.float64)
-    known = labelled.sum()
     # a start: labelled combinations by their labels, others by whether more than one voter speaks
-    q = (labelled[:, 1] + np.where(votes.sum(axis=1) >= 2, 0.9, 0.02)) / (labelled.sum(axis=1) + 1)
-    rates, discount, prior = np.zeros((2, n)), np.ones(n), 0.1
+    q = np.select([labels == 1, labels == 0], [HUMAN, 1 - HUMAN], np.where(votes.sum(axis=1) >= 2, 0.9, 0.02))
+    rates, discount, prior, human = np.zeros((2, n)), np.ones(n), 0.1, [HUMAN, HUMAN]
     correlation = np.eye(n)
     for _ in range(ROUNDS):
         of = np.stack([1 - q, q]) * weight
@@ -187,24 +194,27 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
             correlation += np.clip(cov / np.outer(spread, spread), -1, 1) * of[y].sum() / max(1.0, of.sum())
         np.fill_diagonal(correlation, 1)
         discount = 1 / np.maximum(correlation, 0).sum(axis=0)
-        # a voter that abstains says nothing
-        evidence = np.log(prior / (1 - prior)) + votes @ (np.log(rates[1] / rates[0]) * discount)
-        human = np.log(HUMAN / (1 - HUMAN)) * (labelled[:, 1] - labelled[:, 0]) / np.maximum(1, labelled.sum(axis=1)) * (1 if known else 0)
-        q = 1 / (1 + np.exp(-np.clip(evidence + human, -30, 30)))
-    free = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
-    return dict(zip(masks.tolist(), free.tolist(), strict=True)), {"prior": prior, "rates": rates, "correlation": correlation, "discount": discount}
-
-
-def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps; rows and at place the features that are there."""
-    n = len(target)
-    weights, bias = np.zeros(width), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / np.clip(1 - target.mean(), 1e-3, 0.999)))
+        # ten more labels, HUMAN of them right, steady the human's two accuracies
+        human = [float(np.clip((of[y][labels == y].sum() + 10 * HUMAN) / (of[y][labels >= 0].sum() + 10), *HUMAN_RANGE)) for y in (0, 1)]
+        # a voter's silence is evidence for clean at most: that the one for clean is silent, others say already. A human's is none
+        silence = np.minimum(0, np.log((1 - rates[1]) / (1 - rates[0])))
+        evidence = np.log(prior / (1 - prior)) + votes @ (np.log(rates[1] / rates[0]) * discount) + (1 - votes) @ (silence * discount)
+        evidence += np.select([labels == 1, labels == 0], [np.log(human[1] / (1 - human[0])), np.log((1 - human[1]) / human[0])], 0)
+        q = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+    found = dict(zip(zip(masks.tolist(), labels.tolist(), strict=True), q.tolist(), strict=True))
+    return found, {"prior": prior, "rates": rates, "correlation": correlation, "discount": discount, "human": human}
+
+
+def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of weighted texts by accelerated gradient steps; rows and at place the features that are there."""
+    n, mean = weight.sum(), np.average(target, weights=weight)
+    weights, bias = np.zeros(width), float(np.log(np.clip(mean, 1e-3, 0.999) / np.clip(1 - mean, 1e-3, 0.999)))
     moved, moved_bias = np.zeros(width), 0.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights[at], n), -30, 30)))
-        error = p - target
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights[at], len(target)), -30, 30)))
+        error = (p - target) * weight
         moved = 0.9 * moved - RATE * (np.bincount(at, error[rows], width) + DECAY * weights) / n
-        moved_bias = 0.9 * moved_bias - RATE * error.mean()
+        moved_bias = 0.9 * moved_bias - RATE * error.sum() / n
         weights, bias = weights + moved, bias + moved_bias
     return weights, bias
 
@@ -216,18 +226,29 @@ def draw(rows: DataFrame) -> DataFrame:
     return hashed.join(F.broadcast(lowest), "h").dropDuplicates(["h"]).drop("h")
 
 
+def with_labels(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of labelled texts. A bitmap of the labelled ids, of at most SLOTS / 64 rows, keeps the other texts out of the shuffle."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
+    word, bit = F.floor(slot / 64).cast("int"), (slot % 64).cast("int")
+    marked = known.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks"))
+    likely = texts.withColumn("word", word).join(F.broadcast(marked), "word").where(F.call_function("bit_get", "marks", bit) == 1)
+    # a merge join at every size: texts are never broadcast, and labels grow with them
+    return likely.select("doc_id", "text").hint("merge").join(known, "doc_id").select("doc_id", "text", "toxic")
+
+
 def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxicity:
     """What documents (doc_id, text) and labels (doc_id, toxic 0 or 1) teach. Votes are counted over all documents.
 
-    Labelled rows are mined, and their votes counted by label, in full; a sample of
-    them trains the classifier. Rows with a null id, text or label teach nothing; of labels that repeat an id
-    the largest counts. Without labels, the seed lists and patterns vote alone, and
-    a sample of all texts with the posterior labels of their votes trains the
-    classifier. Without any text, seed words have a fixed weight.
+    Labelled rows are mined, and their votes counted by label, in full. The label
+    model's posteriors of two samples train the classifier: of labelled texts, whose
+    label is one vote among the others, and of all texts, by their voters alone.
+    Rows with a null id, text or label teach nothing; of labels that repeat an id
+    the largest counts. Without labels, the seed lists and patterns vote alone.
+    Without any text, seed words have a fixed weight.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     texts = few_rows(documents).select("doc_id", F.col(text).alias("text")).where("text is not null")
-    labelled = written(texts.join(known, "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
+    labelled = written(with_labels(texts, known), "toxicity-labelled")
 
     held = seeds()
     told = mine(labelled)
@@ -271,27 +292,22 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     def placed_in(rows: DataFrame) -> pa.Table:
         return rows.select("toxic", "text").mapInArrow(place, "toxic long, mask long, at array<int>").toArrow().combine_chunks()
 
-    placed = placed_in(draw(labelled))
+    # those of all texts have the posterior of their votes alone: -1 for no label
+    placed = pa.concat_tables([placed_in(draw(labelled)), placed_in(draw(texts).withColumn("toxic", F.lit(-1).cast("long")))]).combine_chunks()
     masks, toxic = placed["mask"].to_numpy(), placed["toxic"].to_numpy()
     gold = {(r["mask"], r["toxic"]): r["n"] for r in judged}
-    posterior, estimated = label_model({r["mask"]: r["n"] for r in combined} | {}, gold, len(VOTERS))
-    learned.accuracy = estimated
-    if not len(masks):
-        # no label: -1
-        placed = placed_in(draw(texts).withColumn("toxic", F.lit(-1).cast("long")))
-        masks, toxic = placed["mask"].to_numpy(), placed["toxic"].to_numpy()
+    posterior, learned.accuracy = label_model({r["mask"]: r["n"] for r in combined}, gold, len(VOTERS))
     if not len(masks):
         spoken = learned.voters > 0
         learned.weights, learned.bias = np.where(spoken, 4.0, 0.0), -2.0
         return learned
-    evidence = np.array([posterior.get(m, 0.5) for m in masks.tolist()])
-    odds = np.log(np.clip(evidence, 1e-6, 1 - 1e-6) / np.clip(1 - evidence, 1e-6, 1)) + np.select([toxic == 1, toxic == 0], [1, -1], 0) * np.log(HUMAN / (1 - HUMAN))
+    target = np.array([posterior[key] for key in zip(masks.tolist(), toxic.tolist(), strict=True)])
     lists = placed["at"].combine_chunks() if isinstance(placed["at"], pa.ChunkedArray) else placed["at"]
     at = lists.flatten().to_numpy()
     rows = np.repeat(np.arange(len(masks)), lists.value_lengths().to_numpy())
     trained = np.array([int(k) in own for k in keys])[at]
     rows, at = rows[trained], at[trained]
-    learned.weights, learned.bias = fit_linear(rows, at, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), len(keys))
+    learned.weights, learned.bias = fit_linear(rows, at, target, np.where(toxic < 0, UNLABELLED if gold else 1.0, 1.0), len(keys))
     return learned
 
 

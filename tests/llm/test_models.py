@@ -229,12 +229,13 @@ def test_toxicity_mines_and_counts_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "label_model", lambda counts, gold, n: told.append(gold) or model(counts, gold, n))
     placed = []
     fit = toxicity.fit_linear
-    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, at, target, width: placed.append(len(target)) or fit(rows, at, target, width))
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, at, target, weight, width: placed.append((toxic_rows(weight), len(target))) or fit(rows, at, target, weight, width))
+    toxic_rows = lambda weight: int((weight == 1).sum())
     learned = toxicity.train(d, lab)
     # the word or how it begins
     assert np.isin(toxicity.features(["qwyxel"])[1], learned.keys).any()
     assert sum(told[0].values()) == 1500 and sum(n for (_, y), n in told[0].items() if y) == len(toxic)
-    assert placed == [60]
+    assert placed == [(60, 120)]
 
 
 def test_label_model_discounts_voters_that_agree():
@@ -247,10 +248,41 @@ def test_label_model_discounts_voters_that_agree():
     gold = Counter(zip(masks[:500].tolist(), y[:500].astype(int).tolist(), strict=True))
     posterior, told = toxicity.label_model(counts, gold, 5)
     assert told["discount"][0] < 0.5 < told["discount"][3]
-    predicted = np.array([posterior[int(m)] for m in masks]) > 0.5
+    predicted = np.array([posterior[int(m), -1] for m in masks]) > 0.5
     assert (predicted == y).mean() > 0.85
 
 
+def test_labels_meet_their_texts(spark, monkeypatch):
+    texts = spark.range(3000).selectExpr("id % 2500 as doc_id", "concat('t', id) as text").unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    known = spark.range(0, 9000, 3).selectExpr("id as doc_id", "id % 2 as toxic")
+    for slots in (64, 1 << 12, 1 << 23):
+        monkeypatch.setattr(toxicity, "SLOTS", slots)
+        got = sorted(map(tuple, toxicity.with_labels(texts, known).collect()))
+        assert got == sorted((i % 2500, f"t{i}", i % 2500 % 2) for i in range(3000) if i % 2500 % 3 == 0)
+
+
+def test_human_accuracy_is_estimated():
+    rng = np.random.default_rng(1)
+    y = rng.random(20_000) < 0.3
+    votes = np.stack([np.where(y, rng.random(len(y)) < p, rng.random(len(y)) < 0.03) for p in (0.9, 0.85, 0.8, 0.8)], axis=1)
+    masks = votes @ (1 << np.arange(4))
+    counts = {int(m): int(c) for m, c in zip(*np.unique(masks, return_counts=True), strict=True)}
+    said = np.where(rng.random(len(y)) < 0.015, 1 - y, y).astype(int)
+    _, told = toxicity.label_model(counts, Counter(zip(masks[:9000].tolist(), said[:9000].tolist(), strict=True)), 4)
+    assert all(abs(h - 0.985) < 0.006 for h in told["human"]) and abs(told["prior"] - 0.3) < 0.02
+
+
+def test_held_out_toxicity(spark):
+    """Of the labelled table, and beside it what the voters' list alone would do."""
+    from sluice.llm.common import load, remainder
+
+    labels = load(spark, "/root/testdata/sf0.01", "labels")
+    rows = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert len(rows) == labels.where(remainder("doc_id", 5) == 0).count()
+    assert 2 * hit >= 0.8 * (sum(r["predicted"] for r in rows) + sum(r["toxic"] for r in rows))
+
+
 def test_toxicity_on_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(1, 0), (6, 1), (6, 0), (None, 1), (7, None), (99, 1)], "doc_id long, toxic int")
     learned = toxicity.train(odd, labels)
