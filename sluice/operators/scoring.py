@@ -9,18 +9,35 @@ from pyspark.sql import functions as F
 
 #: A rule table of our own; callers give theirs.
 CONFIG = {
-    "codes": ("MACHINERY", "BUILDING"),
-    "low": 50_000.0,
+    "codes": ("332312", "332323", "238120"),
+    "low": 10_000.0,
     "high": 300_000.0,
-    "primary": ("urgent", "machinery"),
-    "secondary": ("high", "building"),
-    "overseas": ("nation_7", "nation_9"),
-    "near": ("nation_1", "nation_2"),
-    "disqualify": ("not specified",),
-    "supply_only": ("5-low",),
+    "primary": ("welding", "handrail", "steel fabrication"),
+    "secondary": ("ladder", "canopy"),
+    "disqualify": ("nadcap",),
     "near_bonus": 15,
     "far_penalty": 20,
 }
+#: Words of places abroad or off the mainland, and of cities and states that are near.
+OVERSEAS = ("japan", "korea", "germany", "overseas", "foreign", "oconus", "far east", "pacific", "europe", "middle east", "guam", "puerto rico", "hawaii", "alaska")
+NEAR_CITIES = (
+    "chicago", "milwaukee", "madison", "green bay", "racine", "kenosha", "rockford", "peoria", "springfield", "indianapolis", "detroit",
+    "grand rapids", "minneapolis", "st. paul", "des moines", "st. louis", "fort wayne", "south bend", "gary", "joliet", "aurora", "naperville",
+    "great lakes", "waukegan", "duluth", "lansing", "ann arbor", "davenport", "quad cities", "dubuque", "cedar rapids", "champaign", "kalamazoo",
+    "bloomington", "normal", "elgin", "cicero", "evanston", "oak park",
+)
+NEAR_STATES = ("wisconsin", "wi", "illinois", "il", "indiana", "in", "michigan", "mi", "iowa", "ia", "minnesota", "mn", "missouri", "mo", "ohio", "oh", "kentucky", "ky")
+#: What texts say about wages, supply, parts, visits, drawings and other trades.
+PAYROLL = ("davis-bacon", "davis bacon", "certified payroll", "prevailing wage")
+SUPPLY = ("supply only", "supply-only", "supplies only", "material supply")
+PARTS = ("proposed procurement for nsn", "national stock number", "dla troop support", "dla land and maritime", "dla aviation", "in repair/modification of")
+CATALOG_NUMBER, CATALOG_TITLE = r"^\d{2}--", r"^[A-Z][A-Z ,\-/]{3,}$"
+VISIT = ("site visit", "pre-bid conference", "pre-proposal conference", "mandatory walk", "mandatory inspection")
+DRAWINGS = ("drawings", "prints", "blueprints", "shop drawings", "specifications attached", "see attached", "per plans", "per specification", "scope of work attached", "sow attached")
+OTHER_TRADES = (
+    "concrete pour", "repaving", "asphalt", "roofing", "roof replacement", "hvac", "plumbing", "electrical contractor", "painting services",
+    "janitorial", "landscaping", "mowing", "demolition only", "fall protection engineering", "fall protection program",
+)
 
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
@@ -32,16 +49,26 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def near(place: Column, tokens: Sequence[str]) -> Column:
-    """True for a place with a token, false for another that says where it is, null otherwise."""
-    return F.when(place.isNull() | (F.trim(place) == ""), F.lit(None).cast("boolean")).otherwise(F.array_contains(F.array(*map(F.lit, tokens)), F.lower(place)))
+def near(place: Column, tokens: Sequence[str] = (*NEAR_CITIES, *NEAR_STATES)) -> Column:
+    """True for a place that holds a token anywhere, false for another that looks like a place (a comma, or two letters alone), null otherwise."""
+    looks_like_one = F.contains(place, F.lit(",")) | F.lower(place).rlike(r"\b[a-z]{2}\b")
+    return F.when(F.coalesce(place, F.lit("")) == "", F.lit(None).cast("boolean")).when(any_of(place, tokens), F.lit(True)).when(looks_like_one, F.lit(False))
 
 
-def signals(df: DataFrame, config: Mapping = CONFIG, *, code: str, low: str, high: str, text: Column, place: str) -> DataFrame:
-    """df with signals, an array of struct<label, delta, fired> in a fixed order, and score: the fired deltas' sum within 0 and 100."""
+def signals(df: DataFrame, config: Mapping = CONFIG, *, code: str, low: str, high: str, title: str, description: str, place: str) -> DataFrame:
+    """df with signals, an array of struct<label, delta, fired> in a fixed order, and score: the fired deltas' sum within 0 and 100.
+
+    Texts are a title and a description; nulls say nothing, a null place counts as
+    on the mainland and as unknown.
+    """
+    text = F.concat_ws(" ", title, description)
+    name = F.trim(F.coalesce(title, F.lit("")))
     vmax, vmin = F.coalesce(high, low), F.coalesce(low, high)
-    is_near = near(F.col(place), config["near"])
-    domestic = ~any_of(F.col(place), config["overseas"])
+    is_near = near(F.col(place))
+    far = F.coalesce(~is_near, F.lit(False))
+    domestic = ~any_of(F.col(place), OVERSEAS)
+    visit, drawn = any_of(text, VISIT), any_of(text, DRAWINGS)
+    catalog = name.rlike(CATALOG_NUMBER) | (name.rlike(CATALOG_TITLE) & (F.length(name) < 40))
     rules = [
         ("code", 30, F.col(code).isin(*config["codes"])),
         ("value", 20, vmax.between(config["low"], config["high"])),
@@ -49,11 +76,17 @@ def signals(df: DataFrame, config: Mapping = CONFIG, *, code: str, low: str, hig
         ("secondary", 10, any_of(text, config["secondary"])),
         ("domestic", 10, domestic),
         ("near", config["near_bonus"], is_near),
-        ("out_of_region", -config["far_penalty"], ~is_near & domestic),
+        ("out_of_region", -config["far_penalty"], far & domestic),
+        ("payroll", -15, any_of(text, PAYROLL)),
         ("too_small", -25, vmax < 5000),
         ("too_large", -20, vmin > 2_000_000),
-        ("supply_only", -20, any_of(text, config["supply_only"])),
+        ("supply_only", -20, any_of(text, SUPPLY)),
         ("disqualified", -15, any_of(text, config["disqualify"])),
+        ("parts", -30, any_of(text, PARTS) | catalog),
+        ("far_site_visit", -20, far & visit & ~drawn),
+        ("far_with_drawings", -5, far & visit & drawn),
+        ("far", -5, far & ~visit),
+        ("other_trade", -20, any_of(text, OTHER_TRADES)),
     ]
     found = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(delta).alias("delta"), F.coalesce(fired, F.lit(False)).alias("fired")) for label, delta, fired in rules))
     total = F.aggregate("signals", F.lit(0), lambda acc, s: acc + F.when(s["fired"], s["delta"]).otherwise(0))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import estimates, packages, relational
+from sluice.plans import estimates, intake, packages, relational
 from sluice.streaming import arrivals
 
-MODULES = (relational, estimates, packages, arrivals)
+MODULES = (relational, estimates, packages, intake, arrivals)
 
 
 def queries() -> dict:

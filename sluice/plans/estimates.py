@@ -66,36 +66,6 @@ def confidence_by_source(spark, sf):
     return lines(spark, sf).groupBy("source_kind", "band").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("confidence"))
 
 
-SCORE = """least(100, greatest(0, CASE WHEN source IN ('MACHINERY', 'BUILDING') THEN 30 ELSE 0 END + CASE WHEN value BETWEEN 50000 AND 300000 THEN 20 ELSE 0 END
- + CASE WHEN lower(title) LIKE '%urgent%' OR lower(title) LIKE '%machinery%' THEN 20 ELSE 0 END + CASE WHEN lower(title) LIKE '%high%' OR lower(title) LIKE '%building%' THEN 10 ELSE 0 END
- + CASE WHEN contains(lower(place), 'nation_7') OR contains(lower(place), 'nation_9') THEN 0 ELSE 10 END
- + CASE WHEN lower(place) IN ('nation_1', 'nation_2') THEN 15 ELSE 0 END
- - CASE WHEN lower(place) NOT IN ('nation_1', 'nation_2') AND NOT (contains(lower(place), 'nation_7') OR contains(lower(place), 'nation_9')) THEN 20 ELSE 0 END
- - CASE WHEN value < 5000 THEN 25 ELSE 0 END - CASE WHEN value > 2000000 THEN 20 ELSE 0 END
- - CASE WHEN contains(lower(title), '5-low') THEN 20 ELSE 0 END - CASE WHEN contains(lower(title), 'not specified') THEN 15 ELSE 0 END))"""
-
-
-def _scored(spark, sf):
-    return scoring.signals(opportunities(spark, sf).drop("score"), code="source", low="value", high="value", text=F.col("title"), place="place")
-
-
-@query(f"{O} SELECT opp_id, CAST({SCORE} AS INTEGER) AS score FROM opportunities")
-def opportunity_scores(spark, sf):
-    return _scored(spark, sf).select("opp_id", "score")
-
-
-@query(f"{O} SELECT 'code' AS label, count(*) FILTER (WHERE source IN ('MACHINERY', 'BUILDING')) AS n FROM opportunities UNION ALL SELECT 'value', count(*) FILTER (WHERE value BETWEEN 50000 AND 300000) FROM opportunities UNION ALL SELECT 'near', count(*) FILTER (WHERE lower(place) IN ('nation_1', 'nation_2')) FROM opportunities UNION ALL SELECT 'too_small', count(*) FILTER (WHERE value < 5000) FROM opportunities")
-def fired_signals(spark, sf):
-    each = _scored(spark, sf).select(F.explode("signals").alias("s")).where(F.col("s.label").isin("code", "value", "near", "too_small"))
-    return each.groupBy("s.label").agg(F.count_if("s.fired").alias("n"))
-
-
-@query(f"{O}, r AS (SELECT opp_id, status, score AS old, CAST({SCORE} AS INTEGER) AS new_score FROM opportunities) SELECT status, count(*) AS changed FROM r WHERE old <> new_score GROUP BY 1")
-def rescored(spark, sf):
-    both = scoring.signals(opportunities(spark, sf).withColumnRenamed("score", "old"), code="source", low="value", high="value", text=F.col("title"), place="place")
-    return scoring.changed(both, [("old", "score")]).groupBy("status").agg(F.count("*").alias("changed"))
-
-
 @query(f"""{O} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN contains(lower(title), 'machinery') THEN 'review' WHEN deadline < {NOW} THEN 'expired' WHEN value < 20000 THEN 'too_small' WHEN contains(lower(title), 'furniture') OR contains(lower(title), 'household') THEN 'other_trade' ELSE 'open' END AS outcome FROM opportunities) GROUP BY 1""")
 def triage_outcomes(spark, sf):
     reasons = [("expired", F.col("deadline") < as_of()), ("too_small", F.col("value") < 20000), ("other_trade", scoring.any_of(F.col("title"), ("furniture", "household")))]
