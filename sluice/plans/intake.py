@@ -293,3 +293,137 @@ def assemblies(spark: SparkSession, sf: str) -> DataFrame:
   WHEN '3/8" X 12" STRINGER PL' THEN 'PL 3/8 x 12' WHEN '  odd   one ' THEN 'odd one' ELSE item END AS designation, count(*) AS n FROM pages_of GROUP BY 1, 2""")
 def designations(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).groupBy("item", intake.designation(F.col("item")).alias("designation")).agg(F.count("*").alias("n"))
+
+
+# ---- checks, manifests and variances
+
+
+V = "l_partkey + l_suppkey"
+LINES = {
+    "run": "l_orderkey",
+    "line_no": "l_linenumber",
+    "category": pick("l_partkey", "structural_beam", "stair", "railing", "lintel", "hm_frame"),
+    "description": pick(V, "beam F1", "existing to remain ladder", "600S162-54 studs", "stair L2 and F1", "railing, verify in field", "demolish lintel", None, "frame F1", "plate"),
+    "source_kind": pick(V, "drawing", "spec", "manual"),
+    "source_section": pick("l_suppkey", "S-101", "D-101", "05 50 00", None),
+    "source_evidence": pick("l_partkey + l_linenumber", "provide galvanized railing at stair two", "2 EA per schedule", "bent plate   closure angle", "no such words anywhere here at all", "", None, "V.I.F. dimensions"),
+    "page_text": pick("l_suppkey + l_linenumber", "Provide galvanized railing at stair two. Bent plate closure angle.", "", "galvanized railing only"),
+    "quantity": "l_quantity",
+    "quantity_band": pick("l_partkey", "point", "range"),
+    "material_grade": pick("l_suppkey", "A992", "A36", None, "A500 Gr. B"),
+    "steel_shape_designation": pick(V, "W12X26", "HSS4X4X1/4", "L3X3X1/4", None, "C8X11.5", "362S137-43"),
+    "fab_hrs": "CAST(l_linenumber AS DOUBLE)",
+    "ironworker_hrs": "l_quantity * 0.1D",
+    "confidence": "CASE l_partkey % 5 WHEN 0 THEN NULL ELSE CAST(0.4D + l_tax * 5 AS DOUBLE) END",
+    "flagged": "l_suppkey % 11 = 0",
+    "in_scope": "CASE l_suppkey % 5 WHEN 0 THEN NULL ELSE true END",
+    "total_weight_lbs": "CASE l_partkey % 8 WHEN 0 THEN NULL ELSE l_quantity * 40 END",
+}
+DUCK = {k: v.replace("0.1D", "CAST(0.1 AS DOUBLE)").replace("0.4D", "0.4") for k, v in LINES.items()}
+E_LINES = "WITH " + _sql("lines_of", "lineitem", DUCK)
+USUAL = {"structural_beam": (4.0, 2.0), "stair": (10.0, 8.0)}
+USUAL_QUANTITY = {"railing": (10.0, 20.0), "lintel": (30.0, 32.0)}
+
+
+def estimate_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(*(F.expr(e).alias(n) for n, e in LINES.items()))
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    hours = spark.createDataFrame([(k, *v) for k, v in USUAL.items()], "category string, usual_fab_hrs double, usual_ironworker_hrs double")
+    quantity = spark.createDataFrame([(k, *v) for k, v in USUAL_QUANTITY.items()], "category string, low double, high double")
+    return validate.validate_lines(estimate_lines(spark, sf), equipment=("stair",), usual_hours=hours, brackets=quantity)
+
+
+EXIST = "regexp_matches(concat_ws(' ', description, source_evidence), '(?i)\\b(etr|existing to remain|exist\\.? to remain|to be removed|demolish|demolition|salvage)\\b')"
+WORDS = "list_filter(list_distinct(regexp_split_to_array(q, '[^a-z0-9./''\"-]+')), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$'))"
+UNSURE = "regexp_matches(concat_ws(' ', source_evidence, description), '(?i)(field[ -]verify|verify in field|\\bv\\.?i\\.?f\\.?\\b|confirm on site|by others to confirm)')"
+COLD = "regexp_matches(concat_ws(' ', steel_shape_designation, description), '(?i)\\b\\d{3,4}[sjtf]\\d{3}-\\d{2,3}\\b')"
+CHAIN = f"""{E_LINES}, a AS (SELECT *, lower(trim(regexp_replace(coalesce(source_evidence, ''), '\\s+', ' ', 'g'))) AS q, lower(trim(regexp_replace(coalesce(page_text, ''), '\\s+', ' ', 'g'))) AS t FROM lines_of),
+b AS (SELECT *, source_kind <> 'manual' AND length(q) > 0 AND length(t) > 0 AND NOT (length(q) >= 12 AND contains(t, q[:80]))
+    AND coalesce(len(list_filter({WORDS}, lambda w: contains(t, w))) / nullif(len({WORDS}), 0), 0) < 0.5 AS fabricated,
+  quantity_band = 'point' AND NOT regexp_matches(coalesce(source_evidence, ''), '(?i)(schedule|\\d+''-?\\d*|\\d+\\s*(ea|each)\\b)') AS weak, {EXIST} AS marked FROM a),
+c AS (SELECT *, coalesce(regexp_matches(source_section, '(?i)^D-?\\d'), false) AND NOT marked AS demo_sheet,
+  CASE category WHEN 'structural_beam' THEN 2.0 WHEN 'stair' THEN 5.0 END AS fab_floor, CASE category WHEN 'structural_beam' THEN 1.0 WHEN 'stair' THEN 4.0 END AS iron_floor,
+  NOT (NOT marked AND coalesce(in_scope, true)) AND category = 'stair' AS back FROM b),
+d AS (SELECT *, material_grade IS NOT NULL AND coalesce(CASE WHEN steel_shape_designation LIKE 'W%' THEN material_grade NOT LIKE '%A992%' AND material_grade NOT LIKE '%A572%'
+    WHEN steel_shape_designation LIKE 'HSS%' THEN material_grade NOT LIKE '%A500%' WHEN steel_shape_designation LIKE 'L%' THEN material_grade <> 'A36' WHEN steel_shape_designation LIKE 'C%' THEN material_grade <> 'A36' END, false) AS wrong_grade,
+  coalesce(fab_hrs > 0 AND fab_hrs < fab_floor, false) AS low_fab, coalesce(ironworker_hrs > 0 AND ironworker_hrs < iron_floor, false) AS low_iron,
+  coalesce({COLD}, false) AS cold, coalesce({UNSURE}, false) AS unsure FROM c)"""
+
+
+@query(CHAIN + """ SELECT category, CASE WHEN weak THEN 'range' ELSE quantity_band END AS band, (NOT marked AND coalesce(in_scope, true)) OR back AS in_scope,
+  (((flagged OR fabricated OR marked OR demo_sheet) AND NOT back) OR cold OR unsure) AS flagged, count(*) AS n,
+  round(sum(CASE WHEN low_fab THEN fab_floor ELSE fab_hrs END), 6) AS fab_hrs, round(sum(CASE WHEN low_iron THEN iron_floor ELSE ironworker_hrs END), 6) AS ironworker_hrs,
+  round(sum(CASE WHEN unsure THEN least(coalesce(confidence, 0), 0.5) ELSE confidence END), 6) AS confidence
+FROM d GROUP BY 1, 2, 3, 4""")
+def validated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    sums = [F.round(F.sum(c), 6).alias(c) for c in ("fab_hrs", "ironworker_hrs", "confidence")]
+    return _validated(spark, sf).groupBy("category", F.col("quantity_band").alias("band"), "in_scope", "flagged").agg(F.count("*").alias("n"), *sums)
+
+
+@query(CHAIN + " SELECT name AS category, severity, count(*) AS n, min(line_no) AS first_line FROM d, (VALUES " + ", ".join(f"('{n}', '{s}')" for n, s in (
+    ("fabricated_quote", "error"), ("band_downgrade", "warning"), ("etr_in_scope", "error"), ("demolition_sheet", "warning"), ("demo_replaced", "info"), ("labor_floor_fab", "warning"), ("labor_floor_iron", "warning"),
+    ("grade_mismatch", "warning"), ("above_bracket", "warning"), ("below_bracket", "info"), ("cold_formed", "warning"), ("field_verify", "warning"))) + """) k(name, severity)
+WHERE CASE name WHEN 'fabricated_quote' THEN fabricated WHEN 'band_downgrade' THEN weak WHEN 'etr_in_scope' THEN marked WHEN 'demolition_sheet' THEN demo_sheet WHEN 'demo_replaced' THEN back
+  WHEN 'labor_floor_fab' THEN low_fab WHEN 'labor_floor_iron' THEN low_iron WHEN 'grade_mismatch' THEN wrong_grade WHEN 'cold_formed' THEN cold WHEN 'field_verify' THEN unsure
+  WHEN 'above_bracket' THEN coalesce(quantity > 1.5 * CASE category WHEN 'railing' THEN 20 WHEN 'lintel' THEN 32 END, false)
+  WHEN 'below_bracket' THEN coalesce(quantity < 0.5 * CASE category WHEN 'railing' THEN 10 WHEN 'lintel' THEN 30 END, false) END GROUP BY 1, 2""")
+def line_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = validate.findings(_validated(spark, sf), "run")
+    hours = F.when(F.startswith("finding", F.lit("fab")), "labor_floor_fab").otherwise("labor_floor_iron")
+    return found.groupBy(F.when(F.col("category") == "labor_floor", hours).otherwise(F.col("category")).alias("category"), "severity").agg(F.count("*").alias("n"), F.min("related_line").alias("first_line"))
+
+
+@query(f"""{E_LINES}, w AS (SELECT run, sum(coalesce(total_weight_lbs, 0)) AS weight, 50 + run % 400 AS area, CASE run % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'office' ELSE 'barn' END AS building FROM lines_of GROUP BY 1)
+SELECT run, CASE WHEN weight / area < CASE building WHEN 'school' THEN 6 ELSE 7 END THEN 'density_below' ELSE 'density_above' END AS category FROM w
+WHERE building <> 'barn' AND weight > 0 AND (weight / area < CASE building WHEN 'school' THEN 6 ELSE 7 END OR weight / area > CASE building WHEN 'school' THEN 14 ELSE 15 END)""")
+def run_density(spark: SparkSession, sf: str) -> DataFrame:
+    found = estimate_lines(spark, sf)
+    areas = found.select("run").distinct().select("run", (50 + F.col("run") % 400).alias("area"), F.expr("case run % 3 when 0 then 'school' when 1 then 'office' else 'barn' end").alias("building"))
+    return validate.density(found, areas, "run").select("run", "category")
+
+
+@query(f"""{E_LINES}, s AS (SELECT DISTINCT run, e.section, e.wanted FROM lines_of, (VALUES ('05 51 00', 'stair'), ('05 12 00', 'structural_beam'), ('05 12 00', 'column'), ('05 52 00', 'railing')) e(section, wanted) WHERE run % 4 = CASE section WHEN '05 51 00' THEN 0 WHEN '05 12 00' THEN 1 ELSE 2 END)
+SELECT run, 'no line for section ' || section AS finding FROM s GROUP BY run, section HAVING NOT bool_or(EXISTS (SELECT 1 FROM lines_of l WHERE l.run = s.run AND l.category = s.wanted))""")
+def uncovered_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = estimate_lines(spark, sf)
+    expected = spark.createDataFrame([("05 51 00", "stair"), ("05 12 00", "structural_beam"), ("05 12 00", "column"), ("05 52 00", "railing")], "section string, category string")
+    asked = found.select("run", F.expr("case run % 4 when 0 then '05 51 00' when 1 then '05 12 00' when 2 then '05 52 00' end").alias("section")).where("section is not null").distinct()
+    return validate.section_coverage(found, asked, expected, "run").select("run", "finding")
+
+
+CODE = "regexp_replace(section, '[^0-9]', '', 'g')"
+MANIFEST = f"""{G}, sec AS (SELECT DISTINCT package, 'section' AS kind, {CODE}[1:2] || ' ' || {CODE}[3:4] || ' ' || {CODE}[5:6] AS ref FROM pages_of WHERE length({CODE}) >= 6),
+sect AS (SELECT *, CASE WHEN ref IN ('05 12 00', '05 50 00', '05 51 00') THEN 'included' WHEN ref LIKE '23%' THEN 'n_a' WHEN ref LIKE '09%' THEN 'excluded' ELSE 'judgment' END AS tag, false AS needs_vision FROM sec),
+sh AS (SELECT package, 'sheet' AS kind, sheet AS ref, CASE WHEN sheet LIKE 'S%' OR sheet LIKE 'A%' THEN 'included' WHEN sheet LIKE 'M%' OR sheet LIKE 'FP%' THEN 'excluded' ELSE 'judgment' END AS tag, max("items") AS items, bool_or(raster) AS raster FROM pages_of WHERE sheet <> '' GROUP BY 1, 2, 3, 4),
+sch AS (SELECT DISTINCT package, 'schedule' AS kind, schedule AS ref, CASE WHEN schedule IN ('door', 'lintel') THEN 'included' WHEN schedule = 'window' THEN 'excluded' WHEN schedule = 'finish' THEN 'n_a' ELSE 'judgment' END AS tag, false AS needs_vision FROM pages_of),
+man AS (SELECT * FROM sect UNION ALL SELECT package, kind, ref, tag, (tag = 'included' AND (items < 80 OR raster)) OR tag = 'judgment' FROM sh UNION ALL SELECT * FROM sch)"""
+
+
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages(spark, sf)
+    sheets = found.where("sheet <> ''").select("package", "sheet", "items", "raster")
+    return coverage.manifest(found.select("package", F.col("section").alias("code")), sheets, found.select("package", "schedule"), "package")
+
+
+@query(f"""{MANIFEST} SELECT package, kind, {", ".join(f"count(*) FILTER (WHERE tag = '{t}') AS {t}" for t in ("included", "excluded", "n_a", "judgment"))},
+  count(*) FILTER (WHERE needs_vision) AS needs_vision, count(*) FILTER (WHERE needs_vision OR tag = 'judgment') AS unresolved FROM man GROUP BY 1, 2""")
+def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.tag_counts(_manifest(spark, sf), "package")
+
+
+@query(f"""{MANIFEST}, x AS (SELECT DISTINCT package, unnest(CASE ref WHEN '05 12 00' THEN ['column', 'structural_beam'] WHEN '05 50 00' THEN ['lintel', 'misc_metal'] ELSE ['stair'] END) AS category FROM man WHERE kind = 'section' AND tag = 'included')
+SELECT package, string_agg(category, ',' ORDER BY category) AS categories FROM x GROUP BY 1""")
+def expected_by_package(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.expected_categories(_manifest(spark, sf), "package").withColumn("categories", F.array_join("categories", ","))
+
+
+@query(f"""{MANIFEST} SELECT package, 'uncovered_' || kind AS category, ref FROM man m WHERE tag = 'included'
+  AND NOT EXISTS (SELECT 1 FROM pages_of p WHERE p.package = m.package AND m.kind = 'schedule' AND p.schedule = m.ref AND p.page = 1)
+  AND NOT EXISTS (SELECT 1 FROM pages_of p WHERE p.package = m.package AND m.kind = 'sheet' AND p.sheet = m.ref AND p.page = 2 AND length(p.description) >= 12)""")
+def manifest_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages(spark, sf)
+    covered = found.where("page = 1").select("package", F.lit("schedule").alias("kind"), F.col("schedule").alias("ref"))
+    excluded = found.where("page = 2 and sheet is not null").select("package", F.lit("sheet").alias("kind"), F.col("sheet").alias("ref"), F.col("description").alias("reason"))
+    return coverage.uncovered(_manifest(spark, sf), covered, excluded, "package").select("package", "category", "ref")
