@@ -29,6 +29,8 @@ PERMUTATIONS = BANDS * VALUES // 2
 SEED = 75_000
 #: 64-bit words of four bits for each value.
 SKETCH = BANDS * VALUES * 4 // 64
+#: Parts of a bucket that what holds for all of it is sent to.
+SALTS = 64
 #: Rounds in which each bucket is compared with a leader, before all that is left of it is compared.
 LEADER_ROUNDS = 3
 #: Comparisons of one leader that a task makes one after the other.
@@ -161,7 +163,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     whole = written(full.select("doc_id", "n_shingles", "h1", "h2").join(sets, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "node"), "members")
     nodes = full.join(sets.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = written(nodes.join(shared.select("band", "low"), "band").select("band", "node", "low").distinct(), "buckets")
+    # rows that repeat an id may repeat here; pairs are made distinct. So a large bucket's rows can be split over tasks
+    buckets = written(nodes.join(shared.select("band", "low"), "band").select("band", "node", "low"), "buckets")
 
     # the texts of all that is compared, fetched once. A merge join at every size: the ids grow with the corpus
     texts = written(plain.hint("merge").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
@@ -184,11 +187,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_band(rows: DataFrame, each: list[Column], over: list[Column], keep: str = "true") -> DataFrame:
+    """rows with what is aggregated over their bucket: over of each. Buckets are dealt by band and SALTS parts of their nodes, so that a large one is in no single task."""
+    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(node), {SALTS})"))
+    parts = salted.groupBy("band", "salt").agg(*each)
+    whole = parts.groupBy("band").agg(*over).where(keep)
+    return salted.join(parts.select("band", "salt").join(whole, "band"), ["band", "salt"]).drop("salt")
+
+
 def _divided(buckets: DataFrame, reached: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component, with the component."""
     named = buckets.select("band", "node").join(reached, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    parted = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return named.join(parted, "band")
+    extremes = [F.min("component").alias("low"), F.max("component").alias("high")]
+    return _with_band(named, extremes, [F.min("low").alias("low"), F.max("high").alias("high")], "low < high").select("band", "node", "component")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -197,14 +208,19 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def _led(rows: DataFrame, step: int) -> DataFrame:
     """Each node of a bucket with the bucket's leader of this round, where their components differ."""
-    leader = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(step)).alias("h"), F.col("node").alias("leader"), F.col("component").alias("of"))).alias("l")).select("band", "l.leader", "l.of")
-    return rows.join(leader, "band").where("component <> of").select(*_ordered("leader", "node")).distinct()
+    first = F.min(F.struct(F.xxhash64("node", "band", F.lit(step)).alias("h"), F.col("node").alias("leader"), F.col("component").alias("of"))).alias("l")
+    led = _with_band(rows, [first], [F.min("l").alias("l")]).select("node", "component", "l.leader", "l.of")
+    return led.where("component <> of").select(*_ordered("leader", "node")).distinct()
 
 
 def least_agreeing(similar: int) -> int:
-    """Values of a sketch that agree in any pair worth confirming: six deviations below what the similarity gives. At s, s + (1 - s) / 16 agree."""
+    """Values of a sketch that agree in any pair worth confirming: six deviations below what the similarity gives.
+
+    At s, s + (1 - s) / 16 agree. The two values of a permutation may depend on each
+    other wholly, which makes the variance at most twice that of independent ones.
+    """
     n, p = BANDS * VALUES, similar / 100 + (1 - similar / 100) / 16
-    return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+    return int(n * p - 6 * (2 * n * p * (1 - p)) ** 0.5)
 
 
 def compare_blocks(rows: DataFrame, docs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -216,8 +232,9 @@ def compare_blocks(rows: DataFrame, docs: DataFrame, texts: DataFrame, similar:
     """
     known = docs.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
     sized = rows.join(known, "node")
-    cuts = sized.groupBy("band").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks"))
-    placed = sized.join(cuts, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.greatest(F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.ceil(F.sum("nodes") / BLOCK_NODES)).alias("blocks")
+    cut = _with_band(sized, [F.sum("n_shingles").alias("shingles"), F.count("*").alias("nodes")], [blocks])
+    placed = cut.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "bands", "sketch")
     met = asked.join(texts, asked.node == texts.doc_id).select(*asked.columns, "text")
     least = least_agreeing(similar)

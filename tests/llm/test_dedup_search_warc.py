@@ -184,3 +184,21 @@ def test_small_payloads_are_responses(spark):
     records, _ = warc_index.archive_pages(df, min_bytes=3)
     assert {r["page_id"]: r["refers_to"] for r in records.collect()} == {1: None, 2: None, 3: None, 4: 3}
     assert warc_index.archive_pages(df.where("false"))[0].count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Thousands of pairs of similarity 0.75 to 0.80, each alone in the table."""
+    rng = np.random.default_rng(11)
+    texts, want = [], []
+    for i in range(3000):
+        n = int(rng.integers(60, 160))
+        words = [f"w{i}x{j}" for j in range(n + 4)]
+        # the first of two texts has n shingles; the second lacks the last ones, of which 0.75 to 0.80 stay
+        keep = int(rng.integers(-(-75 * n // 100), 80 * n // 100 + 1))
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: keep + 4]))]
+        assert 100 * keep >= 75 * n
+        want.append(2 * i)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df).collect()}
+    recall = sum(found[i + 1] == i for i in want) / len(want)
+    assert recall >= 0.998, recall
