@@ -6,6 +6,10 @@ term (component). For a query, the sum over terms of the larger of weight times
 maximum and weight times minimum bounds every score in the block. Blocks are taken
 in order of that bound, scored through the forward index, until it falls below the
 query's k-th score.
+
+Parts of the index are searched in rounds, each of about as many parts as all
+before it; a round starts from the k-th scores that are known by then. So of each
+query a round returns about k rows, however many parts it searches.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ def quantised(vector: str | Column, scale: int = SCALE) -> Column:
     return F.when(~bad, F.transform(v, lambda x: F.floor(scale * x.cast("double"))))
 
 
-def _packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Consecutive rows (id, v) packed: part, n, width, ids, matrix; part is unique."""
+def _packed(vectors: DataFrame, rows: int, block: int) -> DataFrame:
+    """Consecutive rows (id, v) packed: part, n, width, ids, matrix, and the largest and smallest values of each block; part is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, vectors = TaskContext.get().partitionId() << 32, [], []
@@ -44,7 +48,8 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
             matrix = np.zeros((len(vectors), width), np.int64)
             for i, v in enumerate(vectors):
                 matrix[i, : len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(ids)]), pa.array([width]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([_bytes(matrix)])], names=["part", "n", "width", "ids", "matrix"])
+            extremes = [_bytes(np.stack([f(matrix[a : a + block], axis=0) for a in range(0, len(ids), block)])) for f in (np.max, np.min)]
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(ids)]), pa.array([width]), *(pa.array([x]) for x in (np.array(ids, "<i8").tobytes(), _bytes(matrix), *extremes))], names=["part", "n", "width", "ids", "matrix", "high", "low"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
@@ -56,7 +61,7 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
         if ids:
             yield out()
 
-    return vectors.mapInArrow(run, "part long, n long, width long, ids binary, matrix binary")
+    return vectors.mapInArrow(run, "part long, n long, width long, ids binary, matrix binary, high binary, low binary")
 
 
 def _bytes(matrix: np.ndarray) -> bytes:
@@ -73,29 +78,39 @@ def _matrix(raw: bytes, n: int, width: int) -> np.ndarray:
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
     """The fastest kind of number in which inner products of these rows are exact."""
     top = int(np.abs(a).max(initial=0).astype(object)) * int(np.abs(b).max(initial=0).astype(object)) * max(1, a.shape[1])
+    if top >= 1 << 63:
+        raise OverflowError("inner products may not fit in 64 bits")
     return np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
 
 
-def search_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, id, score) of each query's k best in this part, and how many blocks were scored.
+def _padded(matrix: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(matrix, ((0, 0), (0, width - matrix.shape[1])))
+
+
+def search_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK, *, extremes: tuple[np.ndarray, np.ndarray] | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, id, score) of each query's k best in this part that reach its floor, and how many blocks were scored.
 
-    Equal scores go to the smaller id. A vector with the query's own id is left out.
+    Equal scores go to the smaller id. A vector with the query's own id is left
+    out. extremes: the largest and smallest values of each block, if they are known.
     """
     width = max(queries.shape[1], vectors.shape[1])
-    queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, vectors))
+    if extremes is None:
+        extremes = tuple(np.stack([f(vectors[a : a + block], axis=0) for a in range(0, len(ids), block)]) for f in (np.max, np.min))
+    queries, vectors, *extremes = (_padded(m, width) for m in (queries, vectors, *extremes))
     kind = _exact(queries, vectors)
     q, x = queries.astype(kind), vectors.astype(kind)
     cuts = range(0, len(ids), block)
-    high, low = (np.stack([f(x[a : a + block], axis=0) for a in cuts]) for f in (np.max, np.min))
+    high, low = (m.astype(kind) for m in extremes)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
     empty = np.iinfo(np.int64).min
     best_score, best_id = np.full((len(q), k), empty), np.zeros((len(q), k), np.int64)
+    floors = np.full(len(q), empty) if floor is None else floor
     scored, active = 0, np.arange(len(q))
     for step in range(len(cuts)):
         at = order[active, step]
         # bounds fall along a query's order: below the k-th score nothing can follow
-        active = active[bounds[active, at] >= best_score[active, -1]]
+        active = active[bounds[active, at] >= np.maximum(best_score[active, -1], floors[active])]
         if not len(active):
             break
         at = order[active, step]
@@ -105,8 +120,8 @@ def search_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
             scores = (q[rows] @ x[own].T).astype(np.int64)
             scores[query_ids[rows][:, None] == ids[own][None, :]] = empty
             scored += len(rows)
-            floor = np.maximum(best_score[rows, -1], np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else empty + 1)
-            i, j = np.nonzero(scores >= np.maximum(floor, empty + 1)[:, None])
+            least = np.maximum(best_score[rows, -1], np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else empty + 1)
+            i, j = np.nonzero(scores >= np.maximum(np.maximum(least, floors[rows]), empty + 1)[:, None])
             who = np.concatenate([np.repeat(np.arange(len(rows)), k), i])
             value = np.concatenate([best_score[rows].ravel(), scores[i, j]])
             name = np.concatenate([best_id[rows].ravel(), ids[own][j]])
@@ -119,33 +134,81 @@ def search_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
     return row, best_id[row, place], best_score[row, place], scored
 
 
+def _batches(queries: DataFrame, count: int) -> DataFrame:
+    """Queries (id, v) in count batches by a hash of their ids: batch, qids, qwidth, qmatrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vectors = None, [], []
+
+        def out() -> pa.RecordBatch:
+            width = max(map(len, vectors))
+            matrix = np.stack([np.pad(v, (0, width - len(v))) for v in vectors])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, np.array(ids, "<i8").tobytes(), width, _bytes(matrix))], names=["batch", "qids", "qwidth", "qmatrix"])
+
+        for rows in batches:
+            for batch, i, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_numpy(zero_copy_only=False), strict=True):
+                if batch != at and ids:
+                    yield out()
+                    ids, vectors = [], []
+                at = batch
+                ids.append(i)
+                vectors.append(np.asarray(v, np.int64))
+        if ids:
+            yield out()
+
+    dealt = queries.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("batch"), "id", "v")
+    return dealt.repartition("batch").sortWithinPartitions("batch", "id").mapInArrow(run, "batch long, qids binary, qwidth long, qmatrix binary")
+
+
 def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank from 1, vec_id, score: each query's k highest inner products, ties to the smaller id.
 
     Null ids and vectors that are null or hold null or non-finite components take
     no part. Vectors of unequal length count as padded with 0. Rows of vectors
     that repeat an id are candidates each; of queries that repeat an id, the
-    smallest vector counts. Every query meets every part of the index, as one
+    smallest vector counts. Vectors whose inner products may not fit in 64 bits
+    are an error. Every batch of queries meets every part of the index, as one
     packed row with another: rows are never paired.
     """
     clean = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("v")).where("id is not null and v is not null")
-    index = written(_packed(clean(vectors), BLOCK * PART), "vector-index")
-    asked = written(_packed(clean(queries).groupBy("id").agg(F.min("v").alias("v")), BATCH), "query-index").withColumnsRenamed({"part": "batch", "n": "qn", "width": "qwidth", "ids": "qids", "matrix": "qmatrix"})
-    # one row for each part and batch of queries: the stated query set against all rows, in blocks
-    parts = index.agg(F.collect_list("part").alias("parts"))
-    pairs = asked.select("batch").crossJoin(parts).select("batch", F.explode("parts").alias("part"))
-    met = pairs.repartition("part", "batch").join(index, "part").join(asked, "batch")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = written(_packed(clean(vectors), BLOCK * PART, BLOCK), "vector-index")
+    asked = written(clean(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    count = max(1, -(-asked.count() // BATCH))
+    asked = written(_batches(asked, count), "query-index")
+    # a part's round: the first has about one part, each later one as many as all before it
+    rounds = max(0, index.count() - 1).bit_length()
+    level = F.greatest(F.lit(0), rounds - F.floor(F.log2(F.lit(2.0**rounds) / (1 + F.pmod(F.xxhash64("part"), F.lit(1 << rounds))))))
+    placed = index.withColumn("round", level.cast("int"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 query_ids = np.frombuffer(r["qids"], "<i8")
-                row, name, score, _ = search_part(query_ids, _matrix(r["qmatrix"], r["qn"], r["qwidth"]), np.frombuffer(r["ids"], "<i8"), _matrix(r["matrix"], r["n"], r["width"]), k)
+                floor = np.full(len(query_ids), np.iinfo(np.int64).min)
+                for i, least in zip(r["known"] or (), r["least"] or (), strict=True):
+                    floor[np.searchsorted(query_ids, i)] = least
+                blocks = -(-r["n"] // BLOCK)
+                extremes = tuple(_matrix(r[m], blocks, r["width"]) for m in ("high", "low"))
+                row, name, score, _ = search_part(query_ids, _matrix(r["qmatrix"], len(query_ids), r["qwidth"]), np.frombuffer(r["ids"], "<i8"), _matrix(r["matrix"], r["n"], r["width"]), k, extremes=extremes, floor=floor)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(name), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = met.select("qids", "qmatrix", "qn", "qwidth", "ids", "matrix", "n", "width").mapInArrow(run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = None
+    for step in range(rounds + 1):
+        own = placed.where(F.col("round") == step).drop("round")
+        # the stated query set against all rows, in blocks: one row for each part and batch of queries
+        met = own.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("batch")).repartition("part", "batch").join(own, "part").join(asked, "batch")
+        if best is None:
+            met = met.withColumns({"known": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("array<long>")})
+        else:
+            # of queries with k rows by now, the k-th score; at most BATCH or so in a batch
+            full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
+            floors = full.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).alias("batch")).agg(F.collect_list(F.struct("query_id", "least")).alias("f"))
+            met = met.join(floors.select("batch", F.col("f.query_id").alias("known"), F.col("f.least").alias("least")), "batch", "left")
+        found = met.select("qids", "qmatrix", "qwidth", "ids", "matrix", "n", "width", "high", "low", "known", "least").mapInArrow(search, "query_id long, vec_id long, score long")
+        candidates = found if best is None else best.drop("rank").unionByName(found)
+        ranked = candidates.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        best = ranked if step == rounds else written(ranked, "best")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
