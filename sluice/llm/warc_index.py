@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ from sluice.llm.common import few_rows, file_system, fresh_path, load, slices, w
 ARCHIVE_BYTES = 64 << 20
 #: Rows of the index in one range of keys.
 RANGE_ROWS = 200_000
+#: Bytes of an archive that a task reads at least.
+READ_BYTES = 8 << 20
 RECORD = "urn:sluice:page:"
 EPOCH = 1_704_067_200
 
@@ -74,14 +77,14 @@ class LoserTree:
 
 
 def url_key(url: str | None) -> str:
-    """Host labels from the right, then the path and query: captures of a host lie together. A null URL has the empty key."""
+    """Host labels from the right, in lower case, then the path and query as they are: captures of a host lie together. A null URL has the empty key."""
     if not url:
         return ""
     try:
-        parts = urlsplit(url.strip().lower())
+        parts = urlsplit(url.strip())
         host, port = parts.hostname or "", parts.port
     except ValueError:
-        return url.strip().lower()
+        return url.strip()
     host = re.sub(r"^www\d*\.", "", host)
     labels = ",".join(reversed(host.split(".")))
     return f"{labels}{f':{port}' if port else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}"
@@ -172,13 +175,14 @@ def _order(row: tuple) -> tuple:
 
 
 def merge_runs(captures: DataFrame, rows: int, *, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The captures in order of URL key, timestamp and page id, over all partitions.
+    """The captures with range_no and place, by which they are in order of URL key, timestamp and page id.
 
-    Ranges of the whole order, not of keys alone, hold range_rows or so each,
-    however many captures one URL has. In a range, the rows of each run are still
-    in order, and a loser tree merges them.
+    Files of a table are read in any order, so the order is in these two columns: all
+    of a range goes before the next range, and in it rows go by place. Ranges of the
+    whole order, not of keys alone, hold range_rows or so each, which is what a task
+    has in hand, however many captures one URL has. Spark sorts a range's rows by run
+    and place in the run, and a loser tree merges the runs.
     """
-    names = [c.split()[0] for c in CAPTURE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list[tuple]] = {}
@@ -187,18 +191,25 @@ def merge_runs(captures: DataFrame, rows: int, *, range_rows: int = RANGE_ROWS)
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs.setdefault(row[7], []).append(row)
-        for own in runs.values():
-            own.sort(key=lambda r: r[8])  # the place in the run: linear on what has come in order
-        merged, held = iter(LoserTree(runs.values(), _order)), []
-        for row in merged:
+        own, at, held = TaskContext.get().partitionId(), 0, []
+
+        def out() -> pa.RecordBatch:
+            whole = _batch(held, schema)
+            places = [pa.array(np.full(len(held), own)), pa.array(np.arange(at - len(held), at))]
+            return pa.RecordBatch.from_arrays([*whole.columns, *places], names=[*schema.names, "range_no", "place"])
+
+        for row in LoserTree(runs.values(), _order):
             held.append(row)
+            at += 1
             if len(held) == 10_000:
-                yield _batch(held, schema)
+                yield out()
                 held = []
         if held:
-            yield _batch(held, schema)
+            yield out()
 
-    return captures.repartitionByRange(max(1, -(-rows // range_rows)), "urlkey", "ts", "page_id").mapInArrow(run, CAPTURE).select(*names)
+    names = [c.split()[0] for c in CAPTURE.split(", ")]
+    dealt = captures.select(*names).repartitionByRange(max(1, -(-rows // range_rows)), "urlkey", "ts", "page_id").sortWithinPartitions("run", "seq")
+    return dealt.mapInArrow(run, f"{CAPTURE}, range_no long, place long")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -209,7 +220,7 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """The records that index names, read from the archives; those of one archive in one pass over it.
+    """The records that index names, read from the archives; those of one stretch of an archive in one pass over it.
 
     Length and digest of a response are taken from its payload, those of a
     revisit from the record, which has no payload.
@@ -235,11 +246,14 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, READ)
+    # dealt by bytes of the archives: adaptive plans see the index only, and leave an explicit number alone
+    total = index.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    return index.select("file", "offset", "length").repartition(max(1, -(-total // READ_BYTES)), "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", ts: Column | None = None, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(records read back, capture index in global order) of pages, whose archives are written to the shared folder now.
+    """(records read back, capture index) of pages, whose archives are written to the shared folder now. The index is in order by range_no and place.
 
     ts is the capture time in seconds; by default a page's id counts seconds from
     2024-01-01. Repeated rows are records each; columns beside the three are left out.

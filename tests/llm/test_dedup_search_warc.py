@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -140,6 +141,24 @@ def test_blocks_are_pruned_and_large_numbers_exact():
     assert names.tolist() == [1, 2] and scores.tolist() == [2**60 + 2] * 2
 
 
+def test_products_beyond_64_bits_are_an_error():
+    with pytest.raises(OverflowError):
+        topk_search.search_part(np.array([1]), np.array([[2**40]]), np.array([2]), np.array([[2**40]]), 1)
+
+
+def test_rounds_start_from_known_scores(spark, monkeypatch):
+    """Many parts: later rounds return few rows, and ties across parts still go to smaller ids."""
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    monkeypatch.setattr(topk_search, "PART", 1)
+    monkeypatch.setattr(topk_search, "BATCH", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk_search.top_k_search(df, df.where("vec_id % 20 = 0"), 5).collect())
+    whole = [(i, 64 * np.array(v, int)) for i, v in rows]
+    assert got == plain_top(whole, [w for w in whole if w[0] % 20 == 0], 5)
+
+
 def test_search_bears_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 0.0]), (5, [1.0]), (6, [0.5, 0.5, 0.5]), (6, [0.25, 0.5, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -156,7 +175,7 @@ def test_loser_tree_merges():
 
 
 def test_url_keys():
-    assert warc_index.url_key("https://WWW.Example.com:8080/A/b?x=1#top") == "com,example:8080)/a/b?x=1"
+    assert warc_index.url_key("https://WWW.Example.com:8080/A/b?x=1#top") == "com,example:8080)/A/b?x=1"
     assert warc_index.url_key(None) == "" and warc_index.url_key("http://[bad") == "http://[bad"
 
 
@@ -171,12 +190,22 @@ def test_archives_round_trip(spark, monkeypatch):
         raw = (html or "").encode()
         want.append((i or 0, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if first[i] is not None else "response", first[i]))
     assert got == sorted(want, key=lambda w: w[:4])
-    rows = index.collect()
+    rows = index.orderBy("range_no", "place").collect()
     order = [(r["urlkey"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in rows]
     assert order == sorted(order) and len(rows) == len(pages)
-    merged = warc_index.merge_runs(index, len(pages), range_rows=3).collect()
-    order = [(r["urlkey"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in merged]
-    assert order == sorted(order)
+
+
+def test_the_index_is_in_order_as_it_is_read(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "RANGE_ROWS", 20)
+    monkeypatch.setattr(warc_index, "READ_BYTES", 2000)
+    monkeypatch.setattr(warc_index, "merge_runs", partial(warc_index.merge_runs, range_rows=20))
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["http://a.org/", "http://b.org/", f"http://c.org/{rng.randrange(30)}"]), f"page {i % 90} " * rng.randrange(1, 40)) for i in range(400)]
+    records, index = warc_index.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    got = index.orderBy("range_no", "place").collect()
+    order = [(r["urlkey"], r["ts"], r["page_id"]) for r in got]
+    assert order == sorted(order) and len(got) == 400 and len({r["range_no"] for r in got}) > 10
+    assert sorted(r["page_id"] for r in records.collect()) == list(range(400))
 
 
 def test_small_payloads_are_responses(spark):
