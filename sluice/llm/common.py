@@ -28,9 +28,11 @@ def remainder(doc_id: str | Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs, where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs, where it is unset, one of our own. On a cluster it must be set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

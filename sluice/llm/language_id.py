@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import few_rows, load, remainder, slices
+from sluice.llm.words import mix
 
-DIMENSIONS, GRAM, SEED = 512, 3, 20240607
-#: Letters fall into so many slots by code point; slot 0 is a word's edge.
-SLOTS = 1024
+DIMENSIONS, GRAM, SEED = 1024, 3, 20240607
+#: Bits of a code point; 0 is a word's edge.
+POINT_BITS = 21
 #: The length that a training text's bundle is given, about.
 SCALE = 256
 #: How sharply cosines become a score.
@@ -29,18 +30,16 @@ UNKNOWN = "und"
 
 
 @lru_cache
-def letter_slots() -> np.ndarray:
-    """The slot of each code point: 0 for what is no letter."""
-    points = np.arange(0x110000)
-    letters = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
-    return np.where(letters, 1 + points % (SLOTS - 1), 0).astype(np.int64)
+def letters() -> np.ndarray:
+    """Each code point if it is a letter, else 0."""
+    is_letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+    return np.where(is_letter, np.arange(0x110000), 0)
 
 
-@lru_cache
-def letter_vectors() -> np.ndarray:
-    """place x slot x dimension: each letter's vector, rotated by its place in the n-gram."""
-    base = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIMENSIONS), np.int8) * 2 - 1
-    return np.stack([np.roll(base, GRAM - 1 - place, axis=1) for place in range(GRAM)])
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """letter x dimension: a vector of +1 and -1 of its own for each code point, from hashed bits."""
+    words = mix(mix(points.astype(np.uint64) + np.uint64(SEED))[:, None] + np.arange(DIMENSIONS // 64, dtype=np.uint64))
+    return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1).astype(np.int8) * 2 - 1
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +49,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     # lower-casing may change a text's length, so lengths are taken afterwards
     lengths = np.array([len(t.lower()) + 2 for t in texts])
     rows = np.repeat(np.arange(len(texts)), lengths)
-    slots = letter_slots()[points]
+    slots = letters()[points]
     has = np.bincount(rows, slots > 0, minlength=len(texts)) > 0
     # an edge at a text's start and after each word, however much stands between words
     keep = np.concatenate([[True], (slots[1:] > 0) | (slots[:-1] > 0) | (rows[1:] != rows[:-1])])
@@ -61,19 +60,24 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return empty, empty, empty, has
     code = np.zeros(n, np.int64)
     for place in range(GRAM):
-        code = code * SLOTS + slots[place : place + n]
+        code = code << POINT_BITS | slots[place : place + n]
     inside = (slots[1 : 1 + n] > 0) & (rows[:n] == rows[GRAM - 1 :])
-    both, counts = np.unique(rows[:n][inside] << 30 | code[inside], return_counts=True)
-    return both >> 30, both & ((1 << 30) - 1), counts, has
+    return *counted(rows[:n][inside], code[inside], np.ones(int(inside.sum()))), has
+
+
+def counted(rows: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (row, code) with their summed weights."""
+    names, at = np.unique(codes, return_inverse=True)
+    both, of = np.unique(rows * max(1, len(names)) + at, return_inverse=True)
+    return both // max(1, len(names)), names[both % max(1, len(names))], np.bincount(of, weights, len(both))
 
 
 def bound(codes: np.ndarray) -> np.ndarray:
-    """The vector of each n-gram."""
-    vectors = letter_vectors()
-    out = vectors[GRAM - 1][codes % SLOTS]
-    for place in range(GRAM - 2, -1, -1):
-        codes = codes // SLOTS
-        out = out * vectors[place][codes % SLOTS]
+    """The vector of each n-gram: the product of its letters' vectors, each rotated by its place."""
+    out = np.ones((len(codes), DIMENSIONS), np.int8)
+    for place in range(GRAM):
+        points, at = np.unique(codes >> POINT_BITS * (GRAM - 1 - place) & ((1 << POINT_BITS) - 1), return_inverse=True)
+        out *= np.roll(letter_vectors(points), GRAM - 1 - place, axis=1)[at]
     return out
 
 
@@ -105,8 +109,7 @@ def language_prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -
             size = np.sqrt(np.bincount(rows, counts.astype(np.float64) ** 2, batch.num_rows))
             counts = np.rint(SCALE * counts / np.maximum(size, 1)[rows])
             names, of = np.unique(langs, return_inverse=True)
-            both, at = np.unique(of[rows] << 30 | codes, return_inverse=True)
-            summed = bundle(both >> 30, both & ((1 << 30) - 1), np.bincount(at, counts, len(both)), len(names)) if len(both) else np.zeros((len(names), DIMENSIONS))
+            summed = bundle(*counted(of[rows], codes, counts), len(names))
             for name, vector in zip(names, summed, strict=True):
                 totals[name] = totals.get(name, 0) + np.rint(vector).astype(np.int64)
         for name, vector in totals.items():

@@ -159,13 +159,20 @@ def test_language_id_held_out(spark):
 def test_bundle_is_the_sum_of_bound_grams():
     rows, codes, counts, has = language_id.grams(["abca", "É", "", "1 2"])
     assert has.tolist() == [True, True, False, False]
-    vectors = language_id.letter_vectors()
-    slots = language_id.letter_slots()
-    text = [0, *(int(slots[ord(c)]) for c in "abca"), 0]
-    want = sum(np.prod([vectors[k][text[i + k]].astype(int) for k in range(3)], axis=0) for i in range(len(text) - 2))
+    text = np.array([0, *map(ord, "abca"), 0])
+    vectors = language_id.letter_vectors(text).astype(int)
+    want = sum(np.prod([np.roll(vectors[i + k], 2 - k) for k in range(3)], axis=0) for i in range(len(text) - 2))
     assert (language_id.bundle(rows, codes, counts, 4)[0] == want).all()
 
 
+def test_letters_have_vectors_of_their_own():
+    # code points that agree in their lower bits, and the whole of a script
+    points = np.array([97, 97 + 1023, 97 + 1024, *range(0x4E00, 0x4F00)])
+    vectors = language_id.letter_vectors(points).astype(int)
+    cosines = vectors @ vectors.T / vectors.shape[1] - np.eye(len(points))
+    assert np.abs(cosines).max() < 0.25
+
+
 def test_language_id_on_odd_rows(odd, empty):
     learned = language_id.collect_prototypes(language_id.language_prototypes(odd))
     rows = {r["doc_id"]: r for r in language_id.identify_language(odd, learned).collect()}
