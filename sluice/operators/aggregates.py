@@ -21,14 +21,19 @@ def upper_median(values: Column) -> Column:
     return F.coalesce(F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")), F.lit(0.0))
 
 
-def upper_median_by(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """key, n and upper median by exact rank, without gathering a key's values in one place in memory."""
+def upper_median_by(df: DataFrame, key: Sequence[str], value: str, width: float = 1.0) -> DataFrame:
+    """key, n and upper median by exact rank. Equal values are counted first; then ranges of width find the range of the middle, and only its values are put in order."""
     from pyspark.sql import Window as W
 
-    known = df.where(F.col(value).isNotNull())
-    w = W.partitionBy(*key)
-    placed = known.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
-    return placed.where("__r = floor(__n / 2) + 1").select(*key, F.col("__n").alias("n"), F.col(value).alias("median"))
+    counted = df.where(F.col(value).isNotNull()).withColumn("__range", F.floor(F.col(value) / width)).groupBy(*key, "__range", value).agg(F.count("*").alias("__n"))
+    ranges = counted.groupBy(*key, "__range").agg(F.sum("__n").alias("__rows"))
+    w = W.partitionBy(*key).orderBy("__range")
+    placed = ranges.withColumn("__upto", F.sum("__rows").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("__rows").over(W.partitionBy(*key)))
+    middle = F.floor(F.col("n") / 2) + 1
+    own = placed.where((F.col("__upto") >= middle) & (F.col("__upto") - F.col("__rows") < middle)).select(*key, "__range", "n", (F.col("__upto") - F.col("__rows")).alias("__before"))
+    inside = counted.join(own, [*key, "__range"])
+    upto = F.col("__before") + F.sum("__n").over(W.partitionBy(*key).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return inside.withColumn("__at", upto).where((F.col("__at") >= middle) & (F.col("__at") - F.col("__n") < middle)).select(*key, "n", F.col(value).alias("median"))
 
 
 def difference(actual: Column, predicted: Column) -> Column:

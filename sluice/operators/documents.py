@@ -52,15 +52,18 @@ def first_page(pages: DataFrame, key: str, page: str, text: str, patterns: Mappi
 def key_then_like(messages: DataFrame, threads: DataFrame, id_column: str, subject: str, at: str) -> DataFrame:
     """messages with thread_id: by the id they answer, else the newest thread before them of the same subject without reply marks.
 
-    messages: message, answers, subject, at; threads: thread_id, message_id, subject, at.
+    messages: message (distinct), answers, subject, at; threads: thread_id, message_id,
+    subject, at. Messages and threads of a subject meet in time order, day by day.
     """
     from sluice.functions.text import subject_base
+    from sluice.operators.windows import last_before
 
     by_id = threads.select(F.col("message_id").alias("__m"), F.col("thread_id").alias("__by_id"))
     first = messages.join(by_id, F.col(id_column) == F.col("__m"), "left").drop("__m")
-    named = threads.select(F.lower(subject_base(F.col("subject"))).alias("__s"), F.col("thread_id").alias("__by_subject"), F.col("at").alias("__t"))
-    open_ = first.where("__by_id is null").withColumn("__b", F.lower(subject_base(F.col(subject))))
-    met = open_.join(named, (F.col("__b") == F.col("__s")) & (F.col("__b") != "") & (F.col("__t") <= F.col(at)), "left").groupBy("message").agg(F.max(F.struct("__t", "__by_subject")).alias("__n")).select("message", F.col("__n.__by_subject").alias("__by_subject"))
+    base = lambda c: F.nullif(F.lower(subject_base(F.col(c))), F.lit(""))
+    named = threads.select(base("subject").alias("__s"), F.col("at").alias(at), F.col("thread_id").alias("__by_subject")).where(F.col(at).isNotNull())
+    open_ = first.where("__by_id is null").select("message", at, base(subject).alias("__s"))
+    met = last_before(open_.where("__s is not null"), named.where("__s is not null"), "__s", at, "__by_subject", F.to_date(at)).select("message", "__by_subject")
     return first.join(met, "message", "left").withColumn("thread_id", F.coalesce("__by_id", "__by_subject")).drop("__by_id", "__by_subject")
 
 

@@ -17,41 +17,49 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, side.alias("side"))
 
 
-def multiset_difference(expected: DataFrame, actual: DataFrame, category: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(missing, unexpected): expected rows beyond the count of their category in actual, and actual rows of categories that nothing expects."""
-    placed = expected.withColumn("ordinal", F.row_number().over(W.partitionBy(category).orderBy(*order)))
-    have = actual.groupBy(category).agg(F.count("*").alias("have"))
-    missing = placed.join(have, category, "left").where(F.col("ordinal") > F.coalesce("have", F.lit(0))).drop("have")
-    return missing, actual.join(expected.select(category).distinct(), category, "left_anti")
+def multiset_difference(expected: DataFrame, have: DataFrame, category: str, order: Sequence[str], bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """(missing, unexpected): expected rows beyond the count of their category in have (category, have), and categories there that nothing expects.
 
+    bucket must not fall along the order: a category's rows are numbered bucket by bucket.
+    """
+    from sluice.operators.windows import numbered_in_buckets
 
-#: Versions up to which they are sent to every task; more are met by the years that they are in force.
-FEW = 1000
+    placed = numbered_in_buckets(expected, [category], bucket, order, "ordinal")
+    missing = placed.join(have, category, "left").where(F.col("ordinal") > F.coalesce("have", F.lit(0))).drop("have")
+    return missing, have.join(expected.select(category).distinct(), category, "left_anti")
 
 
 def as_of_version(facts: DataFrame, versions: DataFrame, at: str, start: str, end: str, pinned: str | None = None, version: str = "version") -> DataFrame:
     """Each fact with the version in force at its time, start included and end not (null: open); a pinned version goes first.
 
-    A fact that no version is in force for, or that pins one that does not exist, has nulls.
+    Versions meet facts by the days that they are in force, an equality however many
+    of either there are. A fact that no version is in force for, or that pins one
+    that does not exist, has nulls.
     """
-    valid = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    if pinned:
-        valid = F.when(F.col(pinned).isNotNull(), F.col(pinned) == F.col(version)).otherwise(valid)
-    if versions.limit(FEW + 1).count() <= FEW:
-        return facts.join(F.broadcast(versions), valid, "left")
-    last = facts.agg(F.max(F.year(at))).first()[0] or 0
-    by_year = versions.withColumn("__y", F.explode(F.when(F.year(start) <= last, F.sequence(F.year(start), F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))))))
+    first, last = facts.agg(F.min(F.to_date(at)), F.max(F.to_date(at))).first()
+    begins, ends = F.greatest(F.to_date(start), F.lit(first)), F.least(F.coalesce(F.to_date(end), F.lit(last)), F.lit(last))
+    by_day = versions.where(begins <= ends).withColumn("__day", F.explode(F.sequence(begins, ends)))
     free = facts if not pinned else facts.where(F.col(pinned).isNull())
-    out = free.join(by_year, (F.year(at) == F.col("__y")) & (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end))), "left").drop("__y")
+    out = free.join(by_day, (F.to_date(at) == F.col("__day")) & (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end))), "left").drop("__day")
     if pinned:
         out = out.unionByName(facts.where(F.col(pinned).isNotNull()).join(versions, F.col(pinned) == F.col(version), "left"))
     return out
 
 
-def best_match(left: DataFrame, right: DataFrame, on: str, key: Sequence[str], rank: Column, ties: Sequence[str]) -> DataFrame:
-    """Each left row, which key tells from others, with its partner of lowest rank; ties go by the columns named."""
-    placed = left.join(right, on, "left").withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(rank, *ties)))
-    return placed.where("__n = 1").drop("__n")
+def best_of_two(left: DataFrame, right: DataFrame, on: str, narrow: tuple[str, str], order: Sequence[Column | str]) -> DataFrame:
+    """Each left row with its best partner in order: of those with the same on and narrow (a column of each side), else of those with the same on.
+
+    Partners are cut down to one for each key before they are joined.
+    """
+    own, theirs = narrow
+    columns = [c for c in right.columns if c not in (on, theirs)]
+    best = lambda key, name: right.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").select(*key, F.struct(theirs, *columns).alias(name))
+    exact = best([on, theirs], "__exact")
+    # the best of a key is among the best of its narrow keys
+    wide = exact.select(on, "__exact.*").withColumn("__n", F.row_number().over(W.partitionBy(on).orderBy(*order))).where("__n = 1").select(on, F.struct(theirs, *columns).alias("__wide"))
+    met = left.join(exact.withColumnRenamed(theirs, "__narrow"), (left[on] == exact[on]) & (F.col(own) == F.col("__narrow")), "left").drop(exact[on])
+    found = met.join(wide, on, "left").withColumn("__found", F.coalesce("__exact", "__wide"))
+    return found.select(*left.columns, "__found.*")
 
 
 def nearest(value: Column, points: Sequence[float]) -> Column:

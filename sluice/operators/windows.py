@@ -19,6 +19,37 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], n
     return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)))
 
 
+def numbered_in_buckets(df: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[Column | str], name: str = "n") -> DataFrame:
+    """As numbered, for keys with very many rows: each bucket is numbered by itself, and starts behind the counts of those before it.
+
+    bucket must not fall along the order, and a bucket's rows are one task's.
+    """
+    placed = df.withColumn("__bucket", bucket)
+    sizes = placed.groupBy(*key, "__bucket").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("__before", before).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__bucket").alias("__of"), "__before")
+    local = numbered(placed, [*key, "__bucket"], order, "__local")
+    same = F.col("__bucket").eqNullSafe(F.col("__of"))
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(offsets, same).withColumn(name, (F.col("__local") + F.col("__before")).cast("int")).select(*df.columns, name)
+
+
+def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str, bucket: Column) -> DataFrame:
+    """rows with value: that of the latest mark of their key at or before them, the larger of equally late ones; null for none.
+
+    Rows and marks meet in time order in each bucket of at, never in pairs; a bucket
+    starts from the last mark of those before it. bucket must not fall with at.
+    """
+    both = rows.withColumn("__row", F.lit(1)).unionByName(marks.select(key, at, value).withColumn("__row", F.lit(0)), allowMissingColumns=True).withColumn("__bucket", bucket)
+    mark = F.when(F.col("__row") == 0, F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
+    last = both.groupBy(key, "__bucket").agg(F.max(mark).alias("__last"))
+    carried = last.withColumn("__carried", F.max("__last").over(W.partitionBy(key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))).select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), "__carried")
+    here = both.withColumn("__here", F.max(mark).over(W.partitionBy(key, "__bucket").orderBy(at, "__row").rowsBetween(W.unboundedPreceding, 0)))
+    met = here.where("__row = 1").join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__of")), "left")
+    return met.withColumn(value, F.coalesce("__here", "__carried")["value"]).select(*(c for c in rows.columns if c != value), value)
+
+
 def gap_clusters(df: DataFrame, key: Sequence[str], at: Column, gap: float, ties: Sequence[str], name: str = "cluster") -> DataFrame:
     """Clusters of a key's rows: a new one begins where a row is more than gap after the row before it."""
     w = W.partitionBy(*key).orderBy(at, *ties)

@@ -93,7 +93,7 @@ def overlapping_lines(spark, sf):
 
 @query(f"{O} SELECT opp_id, 'PRP-' || CAST(year(created) AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(created) ORDER BY created, opp_id) AS VARCHAR), 6, '0') AS number FROM opportunities")
 def number_per_year(spark, sf):
-    placed = windows.numbered(opportunities(spark, sf).withColumn("year", F.year("created")), ["year"], ["created", "opp_id"])
+    placed = windows.numbered_in_buckets(opportunities(spark, sf).withColumn("year", F.year("created")), ["year"], F.to_date("created"), ["created", "opp_id"])
     return placed.select("opp_id", F.concat(F.lit("PRP-"), F.col("year").cast("string"), F.lit("-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("number"))
 
 
@@ -185,8 +185,8 @@ def reconcile_marks(spark, sf):
 def missing_items(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_type").alias("category"), "p_partkey")
     sold = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey").where("category <> 'PROMO'")
-    half = windows.numbered(sold, ["category"], ["p_partkey"]).withColumn("all", F.count("*").over(W.partitionBy("category"))).where("n <= floor(`all` / 2)")
-    missing, _ = joins.multiset_difference(part, half.select("category", "p_partkey"), "category", ["p_partkey"])
+    have = sold.groupBy("category").agg(F.floor(F.count("*") / 2).alias("have"))
+    missing, _ = joins.multiset_difference(part, have, "category", ["p_partkey"], F.floor(F.col("p_partkey") / 100_000))
     return missing.groupBy("category").agg(F.count("*").alias("missing"), F.min("ordinal").alias("first_missing"))
 
 
@@ -212,8 +212,7 @@ def nearest_column(spark, sf):
 def prior_by_priority(spark, sf):
     asked = lines(spark, sf).select("category", "assembly").distinct()
     priors = table(spark, sf, "part").select(F.col("p_type").alias("category"), "p_partkey", "p_brand", "p_retailprice")
-    rank = F.when(F.col("p_brand") == F.col("assembly"), 0).otherwise(1)
-    return joins.best_match(asked, priors, "category", ["category", "assembly"], rank, [F.desc("p_retailprice"), "p_partkey"]).select("category", "assembly", "p_partkey", "p_retailprice")
+    return joins.best_of_two(asked, priors, "category", ("assembly", "p_brand"), [F.desc("p_retailprice"), "p_partkey"]).select("category", "assembly", "p_partkey", "p_retailprice")
 
 
 SECTION_TAGS = [("SMALL", "included"), ("PROMO", "excluded")]

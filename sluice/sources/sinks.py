@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.joins import insert_absent, merge_latest
 
 
 def append_absent(spark: SparkSession, rows: DataFrame, path: str, key: Sequence[str]) -> int:
-    """Appends rows whose key the table at path does not have; returns how many. Of rows that share a key one is written."""
+    """Appends rows whose key the table at path does not have; returns how many. Of rows that share a key one is written. One writer at a time."""
     fresh = rows.dropDuplicates(list(key))
     if _exists(spark, path):
         fresh = insert_absent(fresh, spark.read.parquet(path), key)
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    fresh.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return int(seen.get["n"])
 
 
 def upsert_version(spark: SparkSession, changes: DataFrame, path: str, version: int, key: Sequence[str], order: Sequence[Column]) -> None:

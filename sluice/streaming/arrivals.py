@@ -13,8 +13,12 @@ from sluice.sources.sinks import latest, upsert_version
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a stream's state: under spark.checkpoint.dir, or a temporary one in local runs where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    """A folder of its own for a stream's state: under spark.checkpoint.dir, or a temporary one in local runs where it is unset. On a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sluice-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -67,12 +67,36 @@ def test_sinks(spark, tmp_path):
     assert [len(r["docs"]) for r in out] == [1, 0] and out[1]["gone"] is not None
 
 
-def test_as_of_beyond_a_broadcast(spark, monkeypatch):
+def test_as_of_by_days(spark):
     from sluice.operators import joins
 
     versions = spark.createDataFrame([(1, "1990-01-01", "1996-06-01"), (2, "1996-06-01", "1998-01-01"), (3, "1998-01-01", None), (4, "2050-01-01", None)], "version int, start string, end string").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
     facts = spark.createDataFrame([(1, "1996-05-31", None), (2, "1996-06-01", None), (3, "2001-01-01", None), (4, "1980-01-01", None), (5, "1990-01-01", 3), (6, "1990-01-01", 9)], "id int, d string, pin int").withColumn("d", F.col("d").cast("date"))
     want = {1: 1, 2: 2, 3: 3, 4: None, 5: 3, 6: None}
-    for few in (1000, 1):
-        monkeypatch.setattr(joins, "FEW", few)
-        assert {r["id"]: r["version"] for r in joins.as_of_version(facts, versions, "d", "start", "end", "pin").collect()} == want
+    assert {r["id"]: r["version"] for r in joins.as_of_version(facts, versions, "d", "start", "end", "pin").collect()} == want
+    assert joins.as_of_version(facts.where("false"), versions, "d", "start", "end", "pin").count() == 0
+
+
+def test_numbers_and_marks_over_buckets(spark):
+    from sluice.operators import windows
+
+    rows = [(i, "a" if i % 3 else None, (i * 7) % 40) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, k string, v int").repartition(4)
+    got = {r["id"]: r["n"] for r in windows.numbered_in_buckets(df, ["k"], F.floor(F.col("v") / 8), ["v", "id"]).collect()}
+    for key in ("a", None):
+        own = sorted((v, i) for i, k, v in rows if k == key)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    marks = [("a", 5, 1), ("a", 5, 2), ("a", 17, 3), (None, 0, 9), ("a", 100, 4), ("b", 1, 5)]
+    found = windows.last_before(df, spark.createDataFrame(marks, "k string, v int, mark int"), "k", "v", "mark", F.floor(F.col("v") / 8)).collect()
+    assert len(found) == 60
+    for r in found:
+        before = [(at, m) for k, at, m in marks if k == r["k"] and at <= r["v"]]
+        assert r["mark"] == (max(before)[1] if before else None)
+
+
+def test_upper_median_over_ranges(spark):
+    from sluice.operators import aggregates
+
+    rows = [("x", float(i % 17) / 4) for i in range(101)] + [("y", 3.0), ("y", 9.5), ("z", None)]
+    got = {r["k"]: (r["n"], r["median"]) for r in aggregates.upper_median_by(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {"x": (101, sorted(v for k, v in rows if k == "x")[50]), "y": (2, 9.5)}
