@@ -29,7 +29,7 @@ PERMUTATIONS = BANDS * VALUES // 2
 SEED = 75_000
 #: 64-bit words of four bits for each value.
 SKETCH = BANDS * VALUES * 4 // 64
-#: Parts of a bucket that what holds for all of it is sent to.
+#: Parts of a bucket, or of a group of copies, that what holds for all of it is sent to.
 SALTS = 64
 #: Rounds in which each bucket is compared with a leader, before all that is left of it is compared.
 LEADER_ROUNDS = 3
@@ -160,7 +160,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     docs = written(signatures(plain, "doc_id", "text"), "signatures")
     full = docs.where("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    whole = written(full.select("doc_id", "n_shingles", "h1", "h2").join(sets, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "node"), "members")
+    copies = _with_group(full.select("doc_id", "n_shingles", "h1", "h2"), ["h1", "h2", "n_shingles"], "doc_id", [F.min("doc_id").alias("node")], [F.min("node").alias("node")])
+    whole = written(copies.select("doc_id", "n_shingles", "node"), "members")
     nodes = full.join(sets.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # rows that repeat an id may repeat here; pairs are made distinct. So a large bucket's rows can be split over tasks
@@ -187,19 +188,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _with_band(rows: DataFrame, each: list[Column], over: list[Column], keep: str = "true") -> DataFrame:
-    """rows with what is aggregated over their bucket: over of each. Buckets are dealt by band and SALTS parts of their nodes, so that a large one is in no single task."""
-    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(node), {SALTS})"))
-    parts = salted.groupBy("band", "salt").agg(*each)
-    whole = parts.groupBy("band").agg(*over).where(keep)
-    return salted.join(parts.select("band", "salt").join(whole, "band"), ["band", "salt"]).drop("salt")
+def _with_group(rows: DataFrame, key: list[str], member: str, each: list[Column], over: list[Column], keep: str = "true") -> DataFrame:
+    """rows with what is aggregated over their group: over of each. Groups are dealt by key and SALTS parts of their members, so that a large one is in no single task."""
+    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64({member}), {SALTS})"))
+    parts = salted.groupBy(*key, "salt").agg(*each)
+    whole = parts.groupBy(*key).agg(*over).where(keep)
+    return salted.join(parts.select(*key, "salt").join(whole, key), [*key, "salt"]).drop("salt")
 
 
 def _divided(buckets: DataFrame, reached: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component, with the component."""
     named = buckets.select("band", "node").join(reached, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     extremes = [F.min("component").alias("low"), F.max("component").alias("high")]
-    return _with_band(named, extremes, [F.min("low").alias("low"), F.max("high").alias("high")], "low < high").select("band", "node", "component")
+    return _with_group(named, ["band"], "node", extremes, [F.min("low").alias("low"), F.max("high").alias("high")], "low < high").select("band", "node", "component")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -209,7 +210,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 def _led(rows: DataFrame, step: int) -> DataFrame:
     """Each node of a bucket with the bucket's leader of this round, where their components differ."""
     first = F.min(F.struct(F.xxhash64("node", "band", F.lit(step)).alias("h"), F.col("node").alias("leader"), F.col("component").alias("of"))).alias("l")
-    led = _with_band(rows, [first], [F.min("l").alias("l")]).select("node", "component", "l.leader", "l.of")
+    led = _with_group(rows, ["band"], "node", [first], [F.min("l").alias("l")]).select("node", "component", "l.leader", "l.of")
     return led.where("component <> of").select(*_ordered("leader", "node")).distinct()
 
 
@@ -233,7 +234,7 @@ def compare_blocks(rows: DataFrame, docs: DataFrame, texts: DataFrame, similar:
     known = docs.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
     sized = rows.join(known, "node")
     blocks = F.greatest(F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.ceil(F.sum("nodes") / BLOCK_NODES)).alias("blocks")
-    cut = _with_band(sized, [F.sum("n_shingles").alias("shingles"), F.count("*").alias("nodes")], [blocks])
+    cut = _with_group(sized, ["band"], "node", [F.sum("n_shingles").alias("shingles"), F.count("*").alias("nodes")], [blocks])
     placed = cut.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "bands", "sketch")
     met = asked.join(texts, asked.node == texts.doc_id).select(*asked.columns, "text")
