@@ -121,7 +121,7 @@ def reflowed(text: Column, labels: Sequence[str]) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", ""), r"&[a-z]+;", " ")
     known = "|".join(sorted(labels, key=len, reverse=True))
     out = F.regexp_replace(out, rf"\s*\b({known})\s*:\s*", "\n\n$1: ")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def award(raw: Column) -> Column:

@@ -13,8 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROW_GAP = 12.0
-#: Kinds of schedules in their order, with the labels that their header rows have.
-HEADERS = {"door": ("mark", "width", "height", "material", "frame", "room"), "lintel": ("mark", "size", "bearing", "length"), "finish": ("room", "floor", "base", "wall", "ceiling")}
+#: How far beside a label a word of the next row may stand that belongs to it.
+UNDER = 40.0
+#: Kinds of schedules in their order, with the labels that their header rows have, how many at least, those of which some are needed, and how many of these.
+HEADERS = {
+    "door_schedule": (("number", "room", "width", "height", "type", "material", "frame", "hardware", "finish"), 4, ("frame", "hardware"), 1),
+    "lintel_schedule": (("mark", "lintel", "size", "span", "bearing", "angle", "plate", "opening"), 3, ("lintel", "span", "bearing"), 1),
+    "embed_schedule": (("mark", "embed", "plate", "studs", "anchor", "detail", "thickness"), 3, ("embed", "studs", "anchor"), 1),
+    "frame_schedule": (("mark", "frame", "type", "size", "material", "profile", "gauge", "jamb"), 3, ("frame", "jamb"), 1),
+    "beam_schedule": (("mark", "beam", "size", "span", "reaction", "camber", "shape"), 3, ("beam", "reaction", "camber"), 1),
+    "equipment_schedule": (("mark", "description", "manufacturer", "model", "item", "quantity", "qty", "remarks", "equipment"), 3, ("mark", "description"), 2),
+}
 PREFIXES = {"A": "architectural", "S": "structural", "M": "mechanical", "E": "electrical", "P": "plumbing", "C": "civil", "D": "demolition", "FP": "fire_protection"}
 PAGE = ("file", "page")
 
@@ -26,20 +35,36 @@ def rows_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     return items.withColumn("__b", begins).withColumn("row", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
 
 
-def headers(rows: DataFrame, kinds: Mapping[str, Sequence[str]] = HEADERS, share: float = 0.25, least: int = 2) -> DataFrame:
+Kinds = Mapping[str, tuple[Sequence[str], int, Sequence[str], int]]
+
+
+def headers(rows: DataFrame, kinds: Kinds = HEADERS, share: float = 0.25) -> DataFrame:
     """file, page, row, kind and columns, an array of struct<x, label>: the first row of a page that is a kind's header.
 
-    A header has 4 to 25 items and holds at least so many, and such a share, of the
-    kind's labels; of several kinds the first counts.
+    A header has 4 to 25 items and holds enough of the kind's labels, and of those
+    that it needs; the labels are such a share of the items at least. Of several
+    kinds the first counts. Short words of the next row go to the label above them.
     """
-    packed = rows.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("x", F.lower(F.trim("str")).alias("label")))).alias("columns")).where(F.size("columns").between(4, 25))
-    hits = [F.size(F.filter(F.array(*map(F.lit, labels)), lambda want: F.exists(F.col("columns"), lambda c: F.contains(c["label"], want)))) for labels in kinds.values()]
-    kind = F.coalesce(*(F.when((h >= least) & (h / F.size("columns") >= share), F.lit(k)) for k, h in zip(kinds, hits, strict=True)))
+    every = rows.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("x", F.lower(F.trim("str")).alias("label")))).alias("columns"))
+    packed = every.where(F.size("columns").between(4, 25))
+    hits = lambda labels: F.size(F.filter(F.array(*map(F.lit, labels)), lambda want: F.exists(F.col("columns"), lambda c: F.contains(c["label"], want))))
+    fits = lambda labels, least, needed, some: (hits(labels) >= least) & (hits(needed) >= some) & (hits(labels) / F.size("columns") >= share)
+    kind = F.coalesce(*(F.when(fits(*spec), F.lit(k)) for k, spec in kinds.items()))
     w = W.partitionBy(*PAGE).orderBy("row")
-    return packed.withColumn("kind", kind).where("kind is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").withColumnRenamed("row", "header_row")
+    first = packed.withColumn("kind", kind).where("kind is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    below = every.select(*PAGE, (F.col("row") - 1).alias("row"), F.filter("columns", lambda c: F.length(c["label"]) <= 6).alias("__short"), F.size("columns").alias("__items"))
+    met = first.join(below, [*PAGE, "row"], "left")
+    merges = F.col("__items").between(2, F.size("columns") + 4) & (F.size("__short") >= 2)
+
+    def own(c: Column, i: Column) -> Column:
+        far = lambda t: F.transform("columns", lambda o: F.abs(o["x"] - t["x"]))
+        under = F.filter("__short", lambda t: (F.array_position(far(t), F.array_min(far(t))) == i + 1) & (F.abs(c["x"] - t["x"]) <= UNDER))
+        return F.struct(c["x"].alias("x"), F.trim(F.concat_ws(" ", c["label"], F.array_join(F.transform(under, lambda t: t["label"]), " "))).alias("label"))
+
+    return met.withColumn("columns", F.when(merges, F.transform("columns", own)).otherwise(F.col("columns"))).drop("__short", "__items").withColumnRenamed("row", "header_row")
 
 
-def schedule_rows(items: DataFrame, kinds: Mapping[str, Sequence[str]] = HEADERS, margin: float = 50.0) -> DataFrame:
+def schedule_rows(items: DataFrame, kinds: Kinds = HEADERS, margin: float = 50.0) -> DataFrame:
     """file, page, kind, row and cells, a map of label to text: the body rows of each page's schedule.
 
     An item belongs to the nearest column, the first of equally near ones; texts of

@@ -64,7 +64,11 @@ def touch(contacts: DataFrame, messages: DataFrame, key: str, at: str, note: str
 
 def run_status(steps: str, errors: str) -> Column:
     """partial if any step failed, failed if all did, else ok."""
-    return F.when((F.size(errors) > 0) & (F.size(errors) >= F.size(steps)), "failed").when(F.size(errors) > 0, "partial").otherwise("ok")
+    return status_of(F.size(steps), F.size(errors))
+
+
+def status_of(steps: Column, errors: Column) -> Column:
+    return F.when((errors > 0) & (errors >= steps), "failed").when(errors > 0, "partial").otherwise("ok")
 
 
 def events_of_change(df: DataFrame, key: str, old: str, new: str, at: Column) -> DataFrame:

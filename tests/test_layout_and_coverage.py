@@ -10,9 +10,9 @@ def test_schedule_from_items(spark):
     items += [("a.pdf", 1, 99, "title", 900.0, 5.0), ("b.pdf", 1, 1, "no table", 1.0, 1.0)]
     df = spark.createDataFrame(items, "file string, page int, item_idx int, str string, x double, y double")
     rows = layout.schedule_rows(df).orderBy("row").collect()
-    assert [(r["kind"], r["cells"]["mark"], r["cells"]["frame"]) for r in rows] == [("door", "D1", "HM"), ("door", "D2", "AL")]
-    kept = layout.quality(layout.schedule_rows(df), {"door": r"^D\d"})
-    assert kept.count() == 2 and layout.quality(layout.schedule_rows(df), {"door": r"^Z"}).count() == 0
+    assert [(r["kind"], r["cells"]["mark"], r["cells"]["frame"]) for r in rows] == [("door_schedule", "D1", "HM"), ("door_schedule", "D2", "AL")]
+    kept = layout.quality(layout.schedule_rows(df), {"door_schedule": r"^D\d"})
+    assert kept.count() == 2 and layout.quality(layout.schedule_rows(df), {"door_schedule": r"^Z"}).count() == 0
 
 
 def test_references_and_revisions(spark):
