@@ -33,10 +33,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near duplicates, the one with the smallest id. Rows that share an id go or stay together; those without id stay."""
-    found = minhash_dedup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Leaves one document of each group of near duplicates, the one with the smallest id.
+
+    A row without id gets one from its text, larger than all others, so that equal
+    texts without id are one document. Of rows that share an id the one with the
+    longest text stays. Rows without words all stay, but for those that share an id
+    with such rows.
+    """
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", made))
+    found = written(minhash_dedup.near_duplicates(keyed, "__id"), "near-duplicates").withColumnRenamed("doc_id", "__id")
+    gone = found.where("not kept").select("__id").distinct()
+    repeated = found.where("n_shingles > 0").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    stays = keyed.join(gone, "__id", "left_anti")
+    longest = F.max_by(F.struct(*COLUMNS), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.struct(*COLUMNS))).alias("row")
+    once = stays.join(repeated, "__id", "left_semi").groupBy("__id").agg(longest).select("row.*")
+    return stays.join(repeated, "__id", "left_anti").select(COLUMNS).unionByName(once)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

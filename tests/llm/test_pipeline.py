@@ -58,6 +58,17 @@ def test_one_of_each_by_brute_force(spark, docs):
     assert {r["doc_id"] for r in out.collect()} == want
 
 
+def test_one_of_rows_that_share_an_id_or_have_none(spark):
+    one, other = "alpha beta gamma delta epsilon zeta theta iota kappa lambda mu nu", "quite another text of some more words than the first one has got in it"
+    rows = [(1, one), (1, one), (2, other), (2, one + " eta"), (None, other + " so far"), (None, "a text that has no id"), (None, "a text that has no id"), (None, None), (None, None), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, df, SF).collect()), key=repr)
+    # the rows of 2 link it with 1 and with the first text without id
+    assert sorted(t or "" for i, t in got if i is None) == ["", "", "a text that has no id"]
+    assert [i for i, _ in got if i is not None].count(1) == 1 and {3, 4} <= {i for i, _ in got}
+    assert len(got) == 6
+
+
 def test_secrets_are_replaced(spark, docs):
     out = {r["doc_id"]: r for r in corpus_pipeline.without_secrets(spark, docs, SF).collect()}
     assert out[204]["text"] == "[assign] and [access] in this text of ours" and out[204]["n_chars"] == 42
