@@ -32,6 +32,8 @@ FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
 #: Log-odds from which a feature counts as mined for a voter, and from which a beginning stands for the words that begin so.
 MINED_ODDS, PURE_ODDS = 2.0, 4.0
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 0.1
+#: Steps end when no weight moves by more.
+STILL = 2e-4
 #: How often a human label is right, to begin with, and the range in which the estimate stays.
 HUMAN, HUMAN_RANGE = 0.99, (0.98, 0.995)
 #: What a text without a label weighs beside one with a label, in estimates and in training.
@@ -177,7 +179,7 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
     rows = {(m, -1): max(0, times - known.get(m, 0)) for m, times in (counts or {0: 1}).items()} | gold
     masks, labels, weight = (np.array(c) for c in zip(*((m, y, times) for (m, y), times in sorted(rows.items())), strict=True))
     weight = np.where(labels < 0, UNLABELLED if gold else 1.0, 1.0) * weight
-    votes = (masks[:, None] >> np.arange(n)) & 1
+    votes = ((masks[:, None] >> np.arange(n)) & 1).astype(np.float64)
     # a start: labelled combinations by their labels, others by whether more than one voter speaks
     q = np.select([labels == 1, labels == 0], [HUMAN, 1 - HUMAN], np.where(votes.sum(axis=1) >= 2, 0.9, 0.02))
     rates, discount, prior, human = np.zeros((2, n)), np.ones(n), 0.1, [HUMAN, HUMAN]
@@ -188,8 +190,8 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
         rates = (of @ votes + 0.5) / (of.sum(axis=1, keepdims=True) + 1)
         correlation = np.zeros((n, n))
         for y in (0, 1):
-            centred = votes - rates[y]
-            cov = (centred * of[y][:, None]).T @ centred / max(1.0, of[y].sum())
+            mean = of[y] @ votes / max(1.0, of[y].sum())
+            cov = (votes * of[y][:, None]).T @ votes / max(1.0, of[y].sum()) - np.outer(mean, rates[y]) - np.outer(rates[y], mean) + np.outer(rates[y], rates[y])
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             correlation += np.clip(cov / np.outer(spread, spread), -1, 1) * of[y].sum() / max(1.0, of.sum())
         np.fill_diagonal(correlation, 1)
@@ -197,8 +199,8 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
         # ten more labels, HUMAN of them right, steady the human's two accuracies
         human = [float(np.clip((of[y][labels == y].sum() + 10 * HUMAN) / (of[y][labels >= 0].sum() + 10), *HUMAN_RANGE)) for y in (0, 1)]
         # a voter's silence is evidence for clean at most: that the one for clean is silent, others say already. A human's is none
-        silence = np.minimum(0, np.log((1 - rates[1]) / (1 - rates[0])))
-        evidence = np.log(prior / (1 - prior)) + votes @ (np.log(rates[1] / rates[0]) * discount) + (1 - votes) @ (silence * discount)
+        silence = np.minimum(0, np.log((1 - rates[1]) / (1 - rates[0]))) * discount
+        evidence = np.log(prior / (1 - prior)) + silence.sum() + votes @ (np.log(rates[1] / rates[0]) * discount - silence)
         evidence += np.select([labels == 1, labels == 0], [np.log(human[1] / (1 - human[0])), np.log((1 - human[1]) / human[0])], 0)
         q = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
     found = dict(zip(zip(masks.tolist(), labels.tolist(), strict=True), q.tolist(), strict=True))
@@ -206,16 +208,28 @@ def label_model(counts: dict[int, int], gold: dict[tuple[int, int], int], n: int
 
 
 def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels of weighted texts by accelerated gradient steps; rows and at place the features that are there."""
+    """Logistic regression on soft labels of weighted texts by accelerated gradient steps, until they hardly move; rows, in order, and at place the features that are there."""
     n, mean = weight.sum(), np.average(target, weights=weight)
     weights, bias = np.zeros(width), float(np.log(np.clip(mean, 1e-3, 0.999) / np.clip(1 - mean, 1e-3, 0.999)))
     moved, moved_bias = np.zeros(width), 0.0
+    # sums over runs of one text, and of one feature
+    texts, text_starts = np.unique(rows, return_index=True)
+    order = np.argsort(at, kind="stable")
+    of_feature = rows[order]
+    features_here, feature_starts = np.unique(at[order], return_index=True)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights[at], len(target)), -30, 30)))
-        error = (p - target) * weight
-        moved = 0.9 * moved - RATE * (np.bincount(at, error[rows], width) + DECAY * weights) / n
+        linear = np.full(len(target), bias)
+        gradient = DECAY * weights
+        if len(rows):
+            linear[texts] += np.add.reduceat(weights[at], text_starts)
+        error = (1 / (1 + np.exp(-np.clip(linear, -30, 30))) - target) * weight
+        if len(rows):
+            gradient[features_here] += np.add.reduceat(error[of_feature], feature_starts)
+        moved = 0.9 * moved - RATE * gradient / n
         moved_bias = 0.9 * moved_bias - RATE * error.sum() / n
         weights, bias = weights + moved, bias + moved_bias
+        if max(np.abs(moved).max(initial=0), abs(moved_bias)) < STILL:
+            break
     return weights, bias
 
 
