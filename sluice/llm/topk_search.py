@@ -143,7 +143,7 @@ def _batches(queries: DataFrame, count: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             width = max(map(len, vectors))
             matrix = np.stack([np.pad(v, (0, width - len(v))) for v in vectors])
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (at, np.array(ids, "<i8").tobytes(), width, _bytes(matrix))], names=["batch", "qids", "qwidth", "qmatrix"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([x]) for x in (np.array(ids, "<i8").tobytes(), width, _bytes(matrix)))], names=["batch", "qids", "qwidth", "qmatrix"])
 
         for rows in batches:
             for batch, i, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_numpy(zero_copy_only=False), strict=True):
@@ -156,8 +156,9 @@ def _batches(queries: DataFrame, count: int) -> DataFrame:
         if ids:
             yield out()
 
-    dealt = queries.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("batch"), "id", "v")
-    return dealt.repartition("batch").sortWithinPartitions("batch", "id").mapInArrow(run, "batch long, qids binary, qwidth long, qmatrix binary")
+    dealt = queries.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("batch"), "id", "v")
+    # a task for each batch
+    return dealt.repartitionById(count, "batch").sortWithinPartitions("batch", "id").mapInArrow(run, "batch int, qids binary, qwidth long, qmatrix binary")
 
 
 def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -196,13 +197,13 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vec_id:
     for step in range(rounds + 1):
         own = placed.where(F.col("round") == step).drop("round")
         # the stated query set against all rows, in blocks: one row for each part and batch of queries
-        met = own.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("batch")).repartition("part", "batch").join(own, "part").join(asked, "batch")
+        met = own.select("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("batch")).repartition("part", "batch").join(own, "part").join(asked, "batch")
         if best is None:
             met = met.withColumns({"known": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("array<long>")})
         else:
             # of queries with k rows by now, the k-th score; at most BATCH or so in a batch
             full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-            floors = full.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).alias("batch")).agg(F.collect_list(F.struct("query_id", "least")).alias("f"))
+            floors = full.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int").alias("batch")).agg(F.collect_list(F.struct("query_id", "least")).alias("f"))
             met = met.join(floors.select("batch", F.col("f.query_id").alias("known"), F.col("f.least").alias("least")), "batch", "left")
         found = met.select("qids", "qmatrix", "qwidth", "ids", "matrix", "n", "width", "high", "low", "known", "least").mapInArrow(search, "query_id long, vec_id long, score long")
         candidates = found if best is None else best.drop("rank").unionByName(found)
