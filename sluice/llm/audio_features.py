@@ -190,6 +190,31 @@ def audio_features(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] =
     return source.mapInArrow(run, f"{fields}, {RESULT}")
 
 
+TENSOR_ROW = "start_ms float, end_ms float, frames int, log_mel array<float>"
+
+
+def tensor_rows(df: DataFrame, tensors: str = "tensors", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each tensor of a column of streams: the columns keep, its time span, how many of its frames are of the payload, and its SPAN_FRAMES x MELS values row by row.
+
+    A null stream gives no row. A name in keep that is also a result's is an error.
+    """
+    names = [c.split()[0] for c in TENSOR_ROW.split(", ")]
+    if clash := set(keep) & set(names):
+        raise ValueError(f"keep may not name {sorted(clash)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, stream in enumerate(batch.column("__tensors").to_pylist()):
+                for part in pa.ipc.open_stream(stream):
+                    values = part.column("log_mel").storage.cast(pa.list_(pa.float32()))
+                    own = [batch.column(k).take(pa.array([i] * part.num_rows)) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*own, *(part.column(c) for c in names[:3]), values], names=[*keep, *names])
+
+    source = few_rows(df).select(*keep, F.col(tensors).alias("__tensors")).where("__tensors is not null")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{fields}, {TENSOR_ROW}")
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 

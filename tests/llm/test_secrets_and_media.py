@@ -160,3 +160,27 @@ def test_polyphase_is_plain_filtering():
     h = audio_features.low_pass(1, 2)[0][::-1]
     want = np.convolve(x, h)[: len(x)][::2]
     assert np.allclose(audio_features.resample(x), want, atol=1e-5)
+
+
+def test_resampling_at_any_ratio():
+    x = np.random.default_rng(2).normal(size=500).astype(np.float32)
+    for up, down in ((1, 2), (3, 2), (2, 3), (5, 1)):
+        stuffed = np.zeros(len(x) * up)
+        stuffed[::up] = x
+        h = audio_features.low_pass(up, down)[:, ::-1].T.ravel()
+        want = np.convolve(stuffed, h)[::down]
+        got = audio_features.resample(x, up, down)
+        assert len(got) == -(-len(x) * up // down) and np.allclose(got, want[: len(got)], atol=1e-4)
+
+
+def test_tensors_as_rows(odd, empty):
+    found = audio_features.audio_features(odd).select("doc_id", "tensors")
+    rows = audio_features.tensor_rows(found).collect()
+    streams = [r["tensors"] for r in found.collect()]
+    assert len(rows) == sum(audio_features.read_tensors(bytes(s)).num_rows for s in streams)
+    assert {len(r["log_mel"]) for r in rows} == {audio_features.SPAN_FRAMES * audio_features.MELS}
+    own = [r for r in rows if r["doc_id"] == 9]
+    assert all(a["end_ms"] > b["start_ms"] > a["start_ms"] for a, b in zip(own, own[1:], strict=False))
+    first = audio_features.read_tensors(bytes(next(r["tensors"] for r in found.where("doc_id = 9").collect())))
+    assert np.allclose(own[0]["log_mel"], first.column("log_mel").chunk(0).to_numpy_ndarray()[0].ravel())
+    assert audio_features.tensor_rows(audio_features.audio_features(empty)).count() == 0
