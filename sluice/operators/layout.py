@@ -43,7 +43,8 @@ def headers(rows: DataFrame, kinds: Kinds = HEADERS, share: float = 0.25) -> Dat
 
     A header has 4 to 25 items and holds enough of the kind's labels, and of those
     that it needs; the labels are such a share of the items at least. Of several
-    kinds the first counts. Short words of the next row go to the label above them.
+    kinds the first counts. Short words of the next row go to the label above them; those
+    with digits are marks or sizes of a first body row.
     """
     every = rows.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("x", F.lower(F.trim("str")).alias("label")))).alias("columns"))
     packed = every.where(F.size("columns").between(4, 25))
@@ -52,7 +53,7 @@ def headers(rows: DataFrame, kinds: Kinds = HEADERS, share: float = 0.25) -> Dat
     kind = F.coalesce(*(F.when(fits(*spec), F.lit(k)) for k, spec in kinds.items()))
     w = W.partitionBy(*PAGE).orderBy("row")
     first = packed.withColumn("kind", kind).where("kind is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    below = every.select(*PAGE, (F.col("row") - 1).alias("row"), F.filter("columns", lambda c: F.length(c["label"]) <= 6).alias("__short"), F.size("columns").alias("__items"))
+    below = every.select(*PAGE, (F.col("row") - 1).alias("row"), F.filter("columns", lambda c: (F.length(c["label"]) <= 6) & ~c["label"].rlike("[0-9]")).alias("__short"), F.size("columns").alias("__items"))
     met = first.join(below, [*PAGE, "row"], "left")
     merges = F.col("__items").between(2, F.size("columns") + 4) & (F.size("__short") >= 2)
 

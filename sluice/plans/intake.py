@@ -57,9 +57,9 @@ PAGES = {
     "package": "l_orderkey",
     "page": "l_linenumber",
     "filename": "concat('file-', l_linenumber % 4, '.pdf')",
-    "kind": pick("l_orderkey + l_linenumber % 4", "drawing", "specification", "qa_log", "addendum", "raster_scan", "form", "site_markup", "schedule"),
+    "kind": pick("l_orderkey + l_linenumber % 4", "drawing", "specification", "qa_log", "addendum", "raster_scan", "geotech", "site_markup", "schedule"),
     "raster": "l_suppkey % 6 = 0",
-    "discipline": pick(f"{P} + l_suppkey", "structural", "electrical", None, "civil", "architectural"),
+    "discipline": pick(f"{P} + l_suppkey", "structural", "electrical", None, "civil", "architectural", "plumbing"),
     "sheet": f"CASE {P} % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat({pick(P, 'S', 'A', 'M', 'FP', 'Q')}, '-', {P} % 30 + 101) END",
     "items": f"{P} % 120",
     "confidence": f"CASE {P} % 6 WHEN 0 THEN NULL ELSE CAST({P} % 10 AS DOUBLE) / 10 END",
@@ -199,7 +199,7 @@ def friday_reports(spark: SparkSession, sf: str) -> DataFrame:
     return due.groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("n"))
 
 
-REL = """CASE WHEN kind IN ('form', 'photo', 'admin') THEN 'skip' WHEN kind = 'drawing' THEN CASE WHEN discipline IN ('structural', 'architectural') THEN 'high' ELSE 'medium' END
+REL = """CASE WHEN kind IN ('geotech', 'schedule', 'qa_log') THEN 'skip' WHEN kind = 'drawing' THEN CASE WHEN discipline IN ('structural', 'architectural', 'mechanical', 'plumbing') THEN 'high' ELSE 'medium' END
   WHEN kind IN ('specification', 'addendum') THEN 'high' WHEN kind IN ('site_markup', 'raster_scan') THEN 'low' ELSE 'medium' END"""
 
 

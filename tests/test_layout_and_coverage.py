@@ -5,7 +5,7 @@ from sluice.sources import readers, sinks
 
 
 def test_schedule_from_items(spark):
-    grid = [["Mark", "Width", "Height", "Frame"], ["D1", "3-0", "7-0", "HM"], ["D2", "6-0", "7-0", "AL"]]
+    grid = [["Mark", "Width", "Height", "Frame", "Hardware"], ["D1", "3-0", "7-0", "HM", "H1"], ["D2", "6-0", "7-0", "AL", "H2"]]
     items = [("a.pdf", 1, 10 * y + x, s, 100.0 * x + y, 50.0 + 20 * y) for y, row in enumerate(grid) for x, s in enumerate(row)]
     items += [("a.pdf", 1, 99, "title", 900.0, 5.0), ("b.pdf", 1, 1, "no table", 1.0, 1.0)]
     df = spark.createDataFrame(items, "file string, page int, item_idx int, str string, x double, y double")
