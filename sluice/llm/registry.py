@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "packing", "kneser_ney", "minhash_dedup", "secret_scan", "topk_search", "warc_index", "byte_bpe", "audio_features", "language_id", "sharding", "phrases")
+MODULES = ("toxicity", "packing", "kneser_ney", "minhash_dedup", "secret_scan", "topk_search", "warc_index", "byte_bpe", "audio_features", "language_id", "sharding", "phrases", "turn_repair")
 
 
 def _merged(name: str) -> dict:
