@@ -9,7 +9,9 @@ query's k-th score.
 
 Parts of the index are searched in rounds, each of about as many parts as all
 before it; a round starts from the k-th scores that are known by then. So of each
-query a round returns about k rows, however many parts it searches.
+query a round returns about k rows, however many parts it searches. From the second
+round on only the extremes of a part, a few kilobytes, meet each batch of queries:
+where no bound reaches a known k-th score, the part's vectors are not sent at all.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def quantised(vector: str | Column, scale: int = SCALE) -> Column:
 
 
 def _packed(vectors: DataFrame, rows: int, block: int) -> DataFrame:
-    """Consecutive rows (id, v) packed: part, n, width, ids, matrix, and the largest and smallest values of each block; part is unique."""
+    """Consecutive rows (id, v) packed: part, n, width, block, ids, matrix, and the largest and smallest values of each block of rows; part is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, vectors = TaskContext.get().partitionId() << 32, [], []
@@ -49,7 +51,7 @@ def _packed(vectors: DataFrame, rows: int, block: int) -> DataFrame:
             for i, v in enumerate(vectors):
                 matrix[i, : len(v)] = v
             extremes = [_bytes(np.stack([f(matrix[a : a + block], axis=0) for a in range(0, len(ids), block)])) for f in (np.max, np.min)]
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(ids)]), pa.array([width]), *(pa.array([x]) for x in (np.array(ids, "<i8").tobytes(), _bytes(matrix), *extremes))], names=["part", "n", "width", "ids", "matrix", "high", "low"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(ids)]), pa.array([width]), pa.array([block]), *(pa.array([x]) for x in (np.array(ids, "<i8").tobytes(), _bytes(matrix), *extremes))], names=["part", "n", "width", "block", "ids", "matrix", "high", "low"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
@@ -61,7 +63,7 @@ def _packed(vectors: DataFrame, rows: int, block: int) -> DataFrame:
         if ids:
             yield out()
 
-    return vectors.mapInArrow(run, "part long, n long, width long, ids binary, matrix binary, high binary, low binary")
+    return vectors.mapInArrow(run, "part long, n long, width long, block long, ids binary, matrix binary, high binary, low binary")
 
 
 def _bytes(matrix: np.ndarray) -> bytes:
@@ -134,6 +136,42 @@ def search_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
     return row, best_id[row, place], best_score[row, place], scored
 
 
+def _extremes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The largest and smallest values of a part's blocks; how large its blocks are the part says itself."""
+    blocks = -(-row["n"] // row["block"])
+    return _matrix(row["high"], blocks, row["width"]), _matrix(row["low"], blocks, row["width"])
+
+
+def _floors(row: dict, query_ids: np.ndarray) -> np.ndarray:
+    """The known k-th score of each query of a batch; the least number where none is known."""
+    floor = np.full(len(query_ids), np.iinfo(np.int64).min)
+    for i, least in zip(row["known"] or (), row["least"] or (), strict=True):
+        floor[np.searchsorted(query_ids, i)] = least
+    return floor
+
+
+def promising(pairs: DataFrame, index: DataFrame, asked: DataFrame, floors: DataFrame) -> DataFrame:
+    """Of pairs (part, batch) those in which some block's bound reaches some query's known k-th score. Vectors of parts are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for r in batch.to_pylist():
+                query_ids = np.frombuffer(r["qids"], "<i8")
+                queries, (high, low) = _matrix(r["qmatrix"], len(query_ids), r["qwidth"]), _extremes(r)
+                width = max(queries.shape[1], high.shape[1])
+                queries, high, low = (_padded(m, width) for m in (queries, high, low))
+                kind = _exact(queries, np.concatenate([high, low]))
+                queries, high, low = (m.astype(kind) for m in (queries, high, low))
+                bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+                if (bounds.max(axis=1) >= _floors(r, query_ids)).any():
+                    kept.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in (("part", pa.int64()), ("batch", pa.int32()))], names=["part", "batch"])
+
+    met = pairs.join(index.select("part", "n", "width", "block", "high", "low"), "part").join(asked, "batch").join(floors, "batch", "left")
+    return met.select("part", "batch", "qids", "qmatrix", "qwidth", "n", "width", "block", "high", "low", "known", "least").mapInArrow(run, "part long, batch int")
+
+
 def _batches(queries: DataFrame, count: int) -> DataFrame:
     """Queries (id, v) in count batches by a hash of their ids: batch, qids, qwidth, qmatrix."""
 
@@ -185,27 +223,24 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vec_id:
         for batch in batches:
             for r in batch.to_pylist():
                 query_ids = np.frombuffer(r["qids"], "<i8")
-                floor = np.full(len(query_ids), np.iinfo(np.int64).min)
-                for i, least in zip(r["known"] or (), r["least"] or (), strict=True):
-                    floor[np.searchsorted(query_ids, i)] = least
-                blocks = -(-r["n"] // BLOCK)
-                extremes = tuple(_matrix(r[m], blocks, r["width"]) for m in ("high", "low"))
-                row, name, score, _ = search_part(query_ids, _matrix(r["qmatrix"], len(query_ids), r["qwidth"]), np.frombuffer(r["ids"], "<i8"), _matrix(r["matrix"], r["n"], r["width"]), k, extremes=extremes, floor=floor)
+                queries, own = _matrix(r["qmatrix"], len(query_ids), r["qwidth"]), _matrix(r["matrix"], r["n"], r["width"])
+                row, name, score, _ = search_part(query_ids, queries, np.frombuffer(r["ids"], "<i8"), own, k, r["block"], extremes=_extremes(r), floor=_floors(r, query_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(name), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     best = None
     for step in range(rounds + 1):
         own = placed.where(F.col("round") == step).drop("round")
         # the stated query set against all rows, in blocks: one row for each part and batch of queries
-        met = own.select("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("batch")).repartition("part", "batch").join(own, "part").join(asked, "batch")
+        pairs = own.select("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("batch")).repartition("part", "batch")
         if best is None:
-            met = met.withColumns({"known": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("array<long>")})
+            met = pairs.join(own, "part").join(asked, "batch").withColumns({"known": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("array<long>")})
         else:
             # of queries with k rows by now, the k-th score; at most BATCH or so in a batch
             full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
             floors = full.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int").alias("batch")).agg(F.collect_list(F.struct("query_id", "least")).alias("f"))
-            met = met.join(floors.select("batch", F.col("f.query_id").alias("known"), F.col("f.least").alias("least")), "batch", "left")
-        found = met.select("qids", "qmatrix", "qwidth", "ids", "matrix", "n", "width", "high", "low", "known", "least").mapInArrow(search, "query_id long, vec_id long, score long")
+            floors = written(floors.select("batch", F.col("f.query_id").alias("known"), F.col("f.least").alias("least")), "floors")
+            met = promising(pairs, own, asked, floors).repartition("part", "batch").join(own, "part").join(asked, "batch").join(floors, "batch", "left")
+        found = met.select("qids", "qmatrix", "qwidth", "ids", "matrix", "n", "width", "block", "high", "low", "known", "least").mapInArrow(search, "query_id long, vec_id long, score long")
         candidates = found if best is None else best.drop("rank").unionByName(found)
         ranked = candidates.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         best = ranked if step == rounds else written(ranked, "best")

@@ -159,6 +159,35 @@ def test_rounds_start_from_known_scores(spark, monkeypatch):
     assert got == plain_top(whole, [w for w in whole if w[0] % 20 == 0], 5)
 
 
+def test_several_blocks_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 32)
+    monkeypatch.setattr(topk_search, "PART", 5)
+    monkeypatch.setattr(topk_search, "BATCH", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=8) * (1 + i % 9))]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in topk_search.top_k_search(df, df.where("vec_id % 20 = 0"), 20).collect())
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v in rows]
+    assert got == plain_top(whole, [w for w in whole if w[0] % 20 == 0], 20)
+
+
+def test_parts_out_of_reach_are_not_sent(spark):
+    rng = np.random.default_rng(9)
+    # ever smaller vectors, so that only the first parts can hold high scores
+    rows = [(i, (rng.integers(1, 10, 4) + (40 if i < 100 else 0)).tolist()) for i in range(1000)]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>").coalesce(1).sortWithinPartitions("id")
+    index = topk_search._packed(vectors, 50, 10)
+    asked = topk_search._batches(vectors.where("id < 8"), 1)
+    floors = spark.createDataFrame([(0, list(range(8)), [4 * 40 * 40] * 8)], "batch int, known array<long>, least array<long>")
+    pairs = index.select("part").withColumn("batch", F.lit(0))
+    kept = {r["part"] for r in topk_search.promising(pairs, index, asked, floors).collect()}
+    reach = {i // 50 for i, v in rows if any(np.dot(v, q) >= 4 * 40 * 40 for _, q in rows[:8])}
+    assert len(kept) == 2 and reach <= kept
+    # one query without a known score needs every part
+    unknown = spark.createDataFrame([(0, [0], [10**9])], floors.schema)
+    assert topk_search.promising(pairs, index, asked, unknown).count() == 20
+
+
 def test_search_bears_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 0.0]), (5, [1.0]), (6, [0.5, 0.5, 0.5]), (6, [0.25, 0.5, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
