@@ -18,6 +18,7 @@ import shutil
 import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ PIECE_END = r"[.,;:!?\x0A-\x0D]"
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Levels: the orders that are counted, and the order whose frequent n-grams they must be made of.
-LEVELS = (((1,), 0), ((2,), 1), (tuple(range(3, LONGEST + 1)), 2))
+LEVELS = (((1,), 0), ((2,), 1), ((3,), 2), (tuple(range(4, LONGEST + 1)), 3))
 #: Bits of the bitmap of frequent n-grams, which bounds what is broadcast to 2 MB. Where it fills up, more is counted than need be, nothing is lost.
 SLOTS = 1 << 24
 #: What duckdb may hold in a task; the rest spills.
@@ -188,7 +189,7 @@ def collocations(df: DataFrame, *, text: str = "text", lang: str = "lang", least
         counted = written(count_grams(unique, orders, base, frequent, least), f"phrase-counts-{orders[0]}")
         frequent = bitmap(counted, SLOTS) if len(orders) == 1 else None
         levels.append(counted)
-    counts = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    counts = reduce(DataFrame.unionByName, levels)
     found = counts.where("words > 1").withColumnRenamed("f", "a")
 
     # two requests for each cut go to the buckets of the parts, and the answers back to the phrase
