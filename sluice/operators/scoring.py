@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,57 +41,68 @@ OTHER_TRADES = (
 )
 
 
+def holds(lowered: Column, words: Sequence[str]) -> Column:
+    """Whether a text in lower case holds any of words, which are too."""
+    return reduce(Column.__or__, (F.contains(lowered, F.lit(w)) for w in words), F.lit(False))
+
+
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """Whether text holds any of words, in any case; false for null."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(lowered, F.lit(w.lower()))
-    return out
+    return holds(F.lower(F.coalesce(text, F.lit(""))), [w.lower() for w in words])
+
+
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with values as columns that are worked out once, however often they are used: a generator keeps projections from being merged."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(name) for name, v in values.items())))))
+
+
+def _near(lowered: Column, tokens: Sequence[str]) -> Column:
+    looks_like_one = F.contains(lowered, F.lit(",")) | lowered.rlike(r"\b[a-z]{2}\b")
+    return F.when(lowered == "", F.lit(None).cast("boolean")).when(holds(lowered, tokens), F.lit(True)).when(looks_like_one, F.lit(False))
 
 
 def near(place: Column, tokens: Sequence[str] = (*NEAR_CITIES, *NEAR_STATES)) -> Column:
     """True for a place that holds a token anywhere, false for another that looks like a place (a comma, or two letters alone), null otherwise."""
-    looks_like_one = F.contains(place, F.lit(",")) | F.lower(place).rlike(r"\b[a-z]{2}\b")
-    return F.when(F.coalesce(place, F.lit("")) == "", F.lit(None).cast("boolean")).when(any_of(place, tokens), F.lit(True)).when(looks_like_one, F.lit(False))
+    return _near(F.lower(F.coalesce(place, F.lit(""))), tokens)
 
 
 def signals(df: DataFrame, config: Mapping = CONFIG, *, code: str, low: str, high: str, title: str, description: str, place: str) -> DataFrame:
     """df with signals, an array of struct<label, delta, fired> in a fixed order, and score: the fired deltas' sum within 0 and 100.
 
     Texts are a title and a description; nulls say nothing, a null place counts as
-    on the mainland and as unknown.
+    on the mainland and as unknown. Text and place are put in lower case once.
     """
-    text = F.concat_ws(" ", title, description)
-    name = F.trim(F.coalesce(title, F.lit("")))
-    vmax, vmin = F.coalesce(high, low), F.coalesce(low, high)
-    is_near = near(F.col(place))
+    lowered = once(df, __text=F.lower(F.concat_ws(" ", title, description)), __place=F.lower(F.coalesce(F.col(place), F.lit(""))), __name=F.trim(F.coalesce(F.col(title), F.lit(""))))
+    text, name = F.col("__text"), F.col("__name")
+    found = once(lowered, __near=_near(F.col("__place"), (*NEAR_CITIES, *NEAR_STATES)), __home=~holds(F.col("__place"), OVERSEAS), __visit=holds(text, VISIT), __drawn=holds(text, DRAWINGS))
+    is_near, domestic, visit, drawn = (F.col(c) for c in ("__near", "__home", "__visit", "__drawn"))
     far = F.coalesce(~is_near, F.lit(False))
-    domestic = ~any_of(F.col(place), OVERSEAS)
-    visit, drawn = any_of(text, VISIT), any_of(text, DRAWINGS)
+    vmax, vmin = F.coalesce(high, low), F.coalesce(low, high)
     catalog = name.rlike(CATALOG_NUMBER) | (name.rlike(CATALOG_TITLE) & (F.length(name) < 40))
+    own = {k: [w.lower() for w in config[k]] for k in ("primary", "secondary", "disqualify")}
     rules = [
         ("code", 30, F.col(code).isin(*config["codes"])),
         ("value", 20, vmax.between(config["low"], config["high"])),
-        ("primary", 20, any_of(text, config["primary"])),
-        ("secondary", 10, any_of(text, config["secondary"])),
+        ("primary", 20, holds(text, own["primary"])),
+        ("secondary", 10, holds(text, own["secondary"])),
         ("domestic", 10, domestic),
         ("near", config["near_bonus"], is_near),
         ("out_of_region", -config["far_penalty"], far & domestic),
-        ("payroll", -15, any_of(text, PAYROLL)),
+        ("payroll", -15, holds(text, PAYROLL)),
         ("too_small", -25, vmax < 5000),
         ("too_large", -20, vmin > 2_000_000),
-        ("supply_only", -20, any_of(text, SUPPLY)),
-        ("disqualified", -15, any_of(text, config["disqualify"])),
-        ("parts", -30, any_of(text, PARTS) | catalog),
+        ("supply_only", -20, holds(text, SUPPLY)),
+        ("disqualified", -15, holds(text, own["disqualify"])),
+        ("parts", -30, holds(text, PARTS) | catalog),
         ("far_site_visit", -20, far & visit & ~drawn),
         ("far_with_drawings", -5, far & visit & drawn),
         ("far", -5, far & ~visit),
-        ("other_trade", -20, any_of(text, OTHER_TRADES)),
+        ("other_trade", -20, holds(text, OTHER_TRADES)),
     ]
-    found = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(delta).alias("delta"), F.coalesce(fired, F.lit(False)).alias("fired")) for label, delta, fired in rules))
+    each = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(delta).alias("delta"), F.coalesce(fired, F.lit(False)).alias("fired")) for label, delta, fired in rules))
+    summed = once(found, signals=each)
     total = F.aggregate("signals", F.lit(0), lambda acc, s: acc + F.when(s["fired"], s["delta"]).otherwise(0))
-    return df.withColumn("signals", found).withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
+    return summed.select(*df.columns, "signals", F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("score"))
 
 
 def changed(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import details, estimates, intake, packages, relational
+from sluice.plans import details, estimates, intake, packages, page_items, relational
 from sluice.streaming import arrivals
 
-MODULES = (relational, estimates, packages, intake, details, arrivals)
+MODULES = (relational, estimates, packages, intake, details, page_items, arrivals)
 
 
 def queries() -> dict:

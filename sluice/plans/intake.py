@@ -37,15 +37,15 @@ NOTICES = {
     "code": pick(K, "332312", "332323", "238120", "541511", None),
     "low": f"CASE {K} % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(3000 AS DOUBLE) WHEN 2 THEN CAST(2500000 AS DOUBLE) ELSE o_totalprice END",
     "high": f"CASE {K} % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(4000 AS DOUBLE) ELSE o_totalprice * 2 END",
-    "title": pick(f"{K} + o_custkey", "Handrail welding at depot", "VALVE,GATE", "53--BEARING, ROLLER", "Roof replacement, hangar 4", "Steel fabrication of a canopy", "RFP #202601", "Ladder repair", "2026-UWMSN-01287-RFB", "  ", "Mowing services", "WA20451:", "26-557THA-ENGCO-B-50362", "437004-M26-0002692", "Illinois Bid 26-557", "202604023901", "15027-0-2026-BG", None),
+    "title": pick(f"{K} + o_custkey", "Handrail welding at depot", "VALVE,GATE", "53--BEARING, ROLLER", "Roof replacement, hangar 4", "Steel fabrication of a canopy", "RFP #310001", "Ladder repair", "2031-QRSTV-00417-ABC", "  ", "Mowing services", "WQ70331:", "31-204XYZ-NOPQ7-K-40815", "900112-Z31-0000045", "Illinois Bid 31-204", "203100770011", "70001-3-2031-XY", None),
     "description": pick(f"{K} + o_custkey % 3", "A site visit is required", "Mandatory walk on Monday; shop drawings come later", "Prevailing wage applies", "Supply only, no labor", "National stock number 1234", "See attached prints", None, "Certified payroll and a pre-bid conference", "NADCAP shops only", "Asphalt and repaving", "About 12,500 SF of floor", "", "Site visit; 900 sq. ft. mezzanine"),
-    "place": pick(f"{K} + o_custkey % 7", "Chicago, IL", "Tionesta, PA", "Guam", "Yard 7", None, "", "somewhere", "Honolulu, Hawaii", "Bay 4 TX", "Racine", "Denver, CO"),
+    "place": pick(f"{K} + o_custkey % 7", "Chicago, IL", "Elmville, PA", "Guam", "Yard 7", None, "", "somewhere", "Honolulu, Hawaii", "Bay 4 TX", "Racine", "Denver, CO"),
     "type": pick(K, "Solicitation", "Award Notice", "Sole Source intent", "Combined Synopsis", "Special Notice", None, "Intent to Bundle Requirements", "Presolicitation (draft)"),
     "active": f"CASE {K} % 9 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END",
     "cancelled": f"CASE {K} % 12 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END",
     "state": pick(K, "WI", "IL", "PA", None, "MN", "TX", "IA", "wi"),
-    "notes": pick(K, "good METALFAB job", "", None, "salvage and metalfab", "none"),
-    "business": pick(K, "metalfab", None, "salvage"),
+    "notes": pick(K, "good BLUE job", "", None, "salvage and blue", "none"),
+    "business": pick(K, "blue", None, "salvage"),
     "url": f"CASE {K} % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('https://sam.gov/opp/', lpad(CAST({K} AS VARCHAR(20)), 32, 'a'), '/view') WHEN 2 THEN concat('https://SAM.gov/workspace/contract/opp/', lpad(CAST({K} AS VARCHAR(20)), 32, '0')) WHEN 3 THEN 'https://sam.gov/opp/short' ELSE 'https://example.org/x' END",
     "recommendation": pick(K, "bid", "pass", "clarify", None),
     "documents": f"CASE {K} % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE {K} % 4 END",
@@ -155,9 +155,9 @@ def biddable_in_region(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(F.coalesce("type", F.lit("?")).alias("type"), "state").agg(F.count("*").alias("n"))
 
 
-@query(f"{N} SELECT opp_id, created FROM notices WHERE status NOT IN ('passed', 'lost') AND (notes ILIKE '%metalfab%' OR business = 'metalfab') ORDER BY created, opp_id LIMIT 25")
+@query(f"{N} SELECT opp_id, created FROM notices WHERE status NOT IN ('passed', 'lost') AND (notes ILIKE '%blue%' OR business = 'blue') ORDER BY created, opp_id LIMIT 25")
 def tagged_notices(spark: SparkSession, sf: str) -> DataFrame:
-    return notices(spark, sf).where(~F.col("status").isin("passed", "lost") & intake.tagged(F.col("notes"), F.col("business"), "metalfab")).orderBy("created", "opp_id").limit(25).select("opp_id", "created")
+    return notices(spark, sf).where(~F.col("status").isin("passed", "lost") & intake.tagged(F.col("notes"), F.col("business"), "blue")).orderBy("created", "opp_id").limit(25).select("opp_id", "created")
 
 
 @query(f"""{N}, t AS (SELECT trim(title) AS t FROM notices)
