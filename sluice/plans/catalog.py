@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.plans import details, estimates, intake, packages, page_items, relational
-from sluice.streaming import arrivals
+from sluice.streaming import arrivals, correlate
 
-MODULES = (relational, estimates, packages, intake, details, page_items, arrivals)
+MODULES = (relational, estimates, packages, intake, details, page_items, arrivals, correlate)
 
 
 def queries() -> dict:

@@ -20,22 +20,66 @@ def append_absent(spark: SparkSession, rows: DataFrame, path: str, key: Sequence
     return int(seen.get["n"])
 
 
-def upsert_version(spark: SparkSession, changes: DataFrame, path: str, version: int, key: Sequence[str], order: Sequence[Column]) -> None:
-    """Merges changes with the version before and writes path/v=<version>: a repeated version replaces itself."""
-    old = latest(spark, path, before=version)
-    merged = merge_latest(old, changes, key, order) if old is not None else merge_latest(changes.limit(0), changes, key, order)
-    merged.write.mode("overwrite").parquet(f"{path}/v={version:09d}")
-
-
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last version of a table that upsert_version writes."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+def upsert_version(spark: SparkSession, changes: DataFrame, path: str, version: int, key: Sequence[str], order: Sequence[Column], buckets: int = 64) -> list[int]:
+    """Merges changes into a table of buckets by key, and returns the buckets that were written anew.
+
+    Only buckets with a change are read and rewritten, as path/data/v=<version>/b=<bucket>;
+    the commit path/commits/v=<version> then says in which version each bucket lies. So
+    what is written grows with the batch, not with the table. A repeated version starts
+    from the commits before it and replaces itself; without its commit it was never
+    there. buckets is part of the table: take as many as make a bucket a task's work.
+    """
+    base = _buckets(spark, path, before=version)
+    dealt = changes.withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+    try:
+        # at most as many rows as there are buckets
+        touched = sorted(r["b"] for r in dealt.select("b").distinct().collect())
+        held = [f"{path}/data/v={base[b]:09d}/b={b}" for b in touched if b in base]
+        old = spark.read.schema(changes.schema).parquet(*held) if held else changes.limit(0)
+        merged = merge_latest(old, dealt.drop("b"), key, order).withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        if touched:
+            merged.repartition(max(1, len(touched)), "b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/data/v={version:09d}")
+    finally:
+        dealt.unpersist()
+    rows = sorted((base | dict.fromkeys(touched, version)).items())
+    spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version:09d}")
+    return touched
+
+
+def _buckets(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The version in which each bucket of a table lies, as the last commit says."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
+        return {}
     names = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     names = [n for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before)]
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{path}/commits/{names[-1]}").collect()} if names else {}
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_version writes, as of its last commit; None where it holds nothing."""
+    found = _buckets(spark, path, before)
+    return spark.read.parquet(*(f"{path}/data/v={v:09d}/b={b}" for b, v in sorted(found.items()))) if found else None
+
+
+def drop_unused(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Removes versions of buckets, and commits, that the last keep commits do not name; returns the folders removed. For when no reader holds older ones."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = jvm.Path(path).getFileSystem(conf)
+    commits = sorted(s.getPath().getName() for s in fs.listStatus(jvm.Path(f"{path}/commits")))
+    used: set[str] = set()
+    for name in commits[-keep:]:
+        used |= {f"v={v:09d}/b={b}" for b, v in _buckets(spark, path, before=int(name[2:]) + 1).items()}
+    gone = [f"{path}/commits/{c}" for c in commits[:-keep]]
+    for version in fs.listStatus(jvm.Path(f"{path}/data")):
+        for bucket in fs.listStatus(version.getPath()):
+            name = f"{version.getPath().getName()}/{bucket.getPath().getName()}"
+            if bucket.isDirectory() and name not in used:
+                gone.append(f"{path}/data/{name}")
+    for folder in gone:
+        fs.delete(jvm.Path(folder), True)
+    return gone
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from sluice.sources.sinks import latest, upsert_version
 
@@ -29,11 +30,12 @@ def arriving(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
-    """Processes all that has arrived, with its state under folder/state; appends to folder/out, or calls each for every batch."""
+def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> StreamingQuery:
+    """Processes all that has arrived, with its state under folder/state; appends to folder/out, or calls each for every batch. Returns the ended query, whose progress says what its state held."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(f"{folder}/out")
     query.awaitTermination()
+    return query
 
 
 def once_per_key(stream: DataFrame, key: Sequence[str], at: str, within: str) -> DataFrame:
@@ -47,7 +49,7 @@ def windowed(stream: DataFrame, at: str, length: str, late: str, key: Sequence[s
 
 
 def keep_latest(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[Column]) -> Callable[[DataFrame, int], None]:
-    """For run_available: merges each batch into a versioned table, so that a batch that is repeated changes nothing."""
+    """For run_available: merges each batch into a table of buckets, of which it rewrites those that it touches; a batch that is repeated changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
         upsert_version(spark, batch, path, number, key, order)
