@@ -8,38 +8,123 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: File categories by name, the first that fits, with their priority.
-CATEGORIES = (("spec", r"(?i)spec|manual|division"), ("drawing", r"(?i)drawing|plan|sheet|dwg"), ("addendum", r"(?i)addend|revision"), ("form", r"(?i)form|proposal"), ("general", r"."))
-STAGES = (("permit", r"(?i)permit"), ("bid", r"(?i)\bbid\b|ifb|tender"), ("design", r"(?i)schematic|design development|\bdd\b"))
+#: Categories of files by their name in lower case, the first that fits, and how early each is read.
+CATEGORIES = (
+    ("specification", r"spec|specification|specs\b|scope\s*of\s*work|sow\b"),
+    ("drawing", r"drawing|plan|blueprint|sheet|civil|arch|structural|detail|rfp"),
+    ("addendum", r"addendum|amendment|revision|rev\b"),
+    ("form", r"form|checklist|affidavit|certification|bid\s*form|submittal"),
+)
+PRIORITIES = {"specification": 1, "drawing": 2, "addendum": 3, "general": 4, "form": 5}
+#: Kinds of documents by file name, the first that fits, and by what their first pages say, with its weight.
+NAME_KINDS = (
+    ("geotech", r"geotech|soil[s]?\s*report|boring"),
+    ("schedule", r"\bschedule|gantt|timeline|milestone"),
+    ("qa_log", r"\bq(?:uestion)?[\s_-]*&?[\s_-]*a(?:nswer)?\b|\brfp[_-]?question|\bclarifications?\b"),
+    ("addendum", r"addend|amendment|revision"),
+    ("specification", r"\bspecs?\b|specification|project[\s_-]?manual|statement[\s_-]?of[\s_-]?work|\bsow\b|scope[\s_-]?of[\s_-]?work|bid[\s_-]?scope"),
+    ("drawing", r"\bplan[\s_-]?sheet|drawing|elevation|section|detail|\bsheet\b|permit[\s_-]?set|bid[\s_-]?permit|construction[\s_-]?(?:set|documents?)|\bcd[\s_-]?set"),
+    ("site_markup", r"markup|aerial|site[\s_-]?plan"),
+    ("proposal_form", r"proposal[\s_-]?form|bid[\s_-]?form"),
+)
+TEXT_KINDS = (
+    ("geotech", 3, r"geotechnical engineering|standard penetration|soil borin|boring log|atterberg|n[- ]value"),
+    ("schedule", 2, r"\b(task name|gantt|predecessors|critical path)\b"),
+    ("qa_log", 3, r"question (and|&) answer|response status|clarifications? log"),
+    ("specification", 2, r"section \d{2}\s\d{2}\s\d{2}\b|csi format|division \d{2}\b"),
+    ("drawing", 2, r"\bsheet (no|number|#)|\bscale[: ]+1[/=]|\b(plan|elevation|section|detail) view\b"),
+)
+#: What file names and texts say about how far a package has come. Texts of these kinds count.
+NAME_STAGES = {
+    "pre_gmp_rfp": r"\b(?:draft|pre[\s_-]?gmp|rfp|preliminary|progress[\s_-]?print|design[\s_-]?development|dd\b|95[\s_-]?%)",
+    "final_cd": r"\b(?:final|issued[\s_-]?for[\s_-]?(?:construction|bid|permit)|ifc\b|ifb\b|construction[\s_-]?documents?|cd[\s_-]?set|100[\s_-]?%|bid[\s_-]?permit|permit[\s_-]?set|bidding[\s_-]?set)",
+}
+TEXT_STAGES = {
+    "pre_gmp_rfp": (
+        r"(?i)construction\s+(?:docs?|documents?)\s+(?:to\s+(?:be\s+)?(?:provide|update|reflect|have)|will\s+(?:be\s+)?(?:provide|include))",
+        r"(?i)please\s+(?:make|carry|use)\s+(?:a\s+)?reasonable\s+assumption",
+        r"(?i)(?:specs|specifications)\s+(?:will\s+be\s+|to\s+be\s+)?(?:updated|provided|added)",
+        r"(?i)to\s+be\s+(?:provided\s+)?(?:in|with)\s+(?:the\s+)?(?:final|construction)\s+(?:cd|documents?)",
+        r"(?i)pre[\s-]?gmp\s+cost\s+commitment",
+        r"(?i)final\s+gmp\s+based\s+on\s+100\s*%",
+    ),
+    "final_cd": (r"(?i)\bissued\s+for\s+construction\b", r"\bIFC\b", r"(?i)\bbidding\s+set\b"),
+}
+STAGE_TEXTS = ("qa_log", "specification")
+#: What rows of door schedules say, by whose work the door is; the first that fits counts.
+DOORS = (
+    ("etr", r"\betr\b|existing.to.remain"),
+    ("aluminum", r"\balum"),
+    ("frp", r"\bfrp\b"),
+    ("hm_glass", r"(?=.*(?:\bhm\b|hollow.metal)).*(?:\bfg\b|hm/?glass|sidelight|full.glass)"),
+    ("hm_f1", r"(?=.*(?:\bhm\b|hollow.metal)).*(?:\bf1\b|standard|flush|\bf\s)"),
+    ("hm_other", r"\bhm\b|hollow.metal"),
+)
+OUR_DOORS = ("hm_f1", "hm_glass", "hm_other")
 
 
 def file_category(name: Column) -> Column:
-    return F.coalesce(*(F.when(name.rlike(p), F.lit(c)) for c, p in CATEGORIES))
+    lowered = F.lower(F.coalesce(name, F.lit("")))
+    return F.coalesce(*(F.when(lowered.rlike(p), F.lit(c)) for c, p in CATEGORIES), F.lit("general"))
 
 
 def file_priority(category: Column) -> Column:
-    return F.coalesce(*(F.when(category == c, F.lit(i)) for i, (c, _) in enumerate(CATEGORIES)), F.lit(len(CATEGORIES)))
+    return F.coalesce(*(F.when(category == c, F.lit(i)) for c, i in PRIORITIES.items()), F.lit(PRIORITIES["general"]))
 
 
-def stage(df: DataFrame, key: str, name: str, text: str) -> DataFrame:
-    """key, stage and confidence of each package: two for each file whose name says so, one for each whose text does; a tie goes to the first stage."""
-    sums = [F.sum(2 * F.col(name).rlike(p).cast("int") + F.coalesce(F.col(text).rlike(p).cast("int"), F.lit(0))).alias(s) for s, p in STAGES]
-    best = F.greatest(*(F.col(s) for s, _ in STAGES))
-    named = F.when(best > 0, F.coalesce(*(F.when(F.col(s) == best, F.lit(s)) for s, _ in STAGES))).otherwise("unknown")
-    return df.groupBy(key).agg(*sums).select(key, named.alias("stage"), F.when(best > 0, F.least(F.lit(95), 50 + 8 * best)).otherwise(40).cast("int").alias("confidence"))
+def document_kind(filename: Column, hint: Column, text: Column, raster: Column) -> Column:
+    """struct<kind, confidence>: by the text where it says enough, else by the name, else by the uploader's hint, else raster_scan or unknown.
 
+    Text is what the first pages hold; a raster document has none.
+    """
+    said = F.lower(F.coalesce(text, F.lit("")))
+    weights = [(kind, weight, said.rlike(p) & ~raster) for kind, weight, p in TEXT_KINDS]
+    heaviest = sorted(weights, key=lambda w: -w[1])
+    answer = lambda kind, confidence: F.struct(kind.alias("kind"), F.lit(confidence).alias("confidence"))
+    by_text = [F.when(hit, answer(F.lit(kind), min(95, 50 + 10 * weight))) for kind, weight, hit in heaviest]
+    name = F.lower(F.coalesce(filename, F.lit("")))
+    by_name = [F.when(name.rlike(p), answer(F.lit(kind), 60)) for kind, p in NAME_KINDS]
+    by_hint = F.when(F.coalesce(hint, F.lit("general")) != "general", answer(hint, 50))
+    return F.coalesce(*by_text, *by_name, by_hint, F.when(raster, answer(F.lit("raster_scan"), 0)), answer(F.lit("unknown"), 0))
+
+
+def stage(df: DataFrame, key: str, name: str, kind: str, text: str) -> DataFrame:
+    """key, stage and confidence of each package.
+
+    Two for each file whose name speaks for a stage, one for each marker in a text of
+    the kinds that tell. The stage with more counts if that is 2 at least, with a
+    confidence that grows with it; less, or a tie, gives 40, and a tie pre_gmp_rfp.
+    Without any sign the stage is unknown with 0.
+    """
+    tells = F.coalesce(F.col(kind).isin(*STAGE_TEXTS), F.lit(False))
+    hit = lambda c, p: F.coalesce(c.rlike(p), F.lit(False)).cast("int")
+    points = {s: 2 * hit(F.lower(name), NAME_STAGES[s]) + F.when(tells, sum((hit(F.col(text), p) for p in TEXT_STAGES[s]), F.lit(0))).otherwise(0) for s in NAME_STAGES}
+    sums = df.groupBy(key).agg(*(F.sum(c).alias(s) for s, c in points.items()))
+    rfp, cd = F.col("pre_gmp_rfp"), F.col("final_cd")
+    best, clear = F.greatest(rfp, cd), rfp != cd
+    named = F.when(best == 0, "unknown").when(rfp >= cd, "pre_gmp_rfp").otherwise("final_cd")
+    sure = F.when(clear & (best >= 2), F.least(F.lit(95), 50 + 8 * best)).when(best > 0, 40).otherwise(0)
+    return sums.select(key, named.alias("stage"), sure.cast("int").alias("confidence"))
 
-def readiness(stage_name: Column, has_section: Column, missing: Column, usable: Column) -> Column:
-    return F.when(~usable, "no_drawings").when(~has_section, "no_sections").when(missing > 0, "missing_sheets").when(stage_name == "bid", "ready").otherwise("preliminary")
 
+def door_class(row: Column) -> Column:
+    """Whose work a row of a door schedule is, the first that fits; other for none."""
+    t = F.lower(F.coalesce(row, F.lit("")))
+    return F.coalesce(*(F.when(t.rlike(p), F.lit(c)) for c, p in DOORS), F.lit("other"))
 
-def door_class(row: Column, excluded: Sequence[str] = ("shaft", "chase")) -> Column:
-    """What kind of door a row of a schedule is, the first that fits."""
-    t = F.lower(row)
-    out = t.isNull()
-    for w in excluded:
-        out = out | F.contains(t, F.lit(w))
-    return F.when(out, "excluded").when(t.rlike(r"\betr\b|existing"), "existing").when(t.rlike(r"\bal(um)?\b|alumin"), "aluminium").when(F.contains(t, F.lit("frp")), "frp").when(t.rlike("glass|glaz"), "hm_glass").when(t.rlike(r"\bhm\b"), "hm").otherwise("other")
+
+def door_counts(rows: DataFrame, key: str, same: Sequence[str], number: str, text: str, excluded: DataFrame) -> DataFrame:
+    """key, doors by class, those in excluded rooms and ours: each door once, however many sheets show it.
+
+    same names the columns that make a door; excluded (key, number) are doors of rooms
+    that the scope leaves out. Of rows for one door the least text counts.
+    """
+    once = rows.groupBy(key, *same).agg(F.min(text).alias(text))
+    out = excluded.select(key, F.trim(F.col(number).cast("string")).alias("__n")).distinct().withColumn("__out", F.lit(True))
+    marked = once.withColumn("__n", F.trim(F.col(number).cast("string"))).join(out, [key, "__n"], "left")
+    kind = F.when(F.col("__out"), "excluded_by_room").otherwise(door_class(F.col(text)))
+    counts = [F.count_if(F.col("__k") == c).alias(c) for c in ("excluded_by_room", *(c for c, _ in DOORS))]
+    return marked.withColumn("__k", kind).groupBy(key).agg(F.count("*").alias("total"), *counts, F.count_if(F.col("__k").isin(*OUR_DOORS)).alias("ours"))
 
 
 def first_page(pages: DataFrame, key: str, page: str, text: str, patterns: Mapping[str, str]) -> DataFrame:
@@ -110,11 +195,6 @@ def place_of(raw: Column) -> Column:
     return F.nullif(F.concat_ws(", ", city, state), F.lit(""))
 
 
-def level_of(hierarchy: Column, level: int) -> Column:
-    """The name of the first entry of a level in an array of struct<level, name>."""
-    return F.try_element_at(F.filter(hierarchy, lambda h: h["level"] == level), F.lit(1))["name"]
-
-
 def reflowed(text: Column, labels: Sequence[str]) -> Column:
     """Breaks as lines, other tags and entities gone, each known label on a line of its own, no more than one empty line."""
     out = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")

@@ -116,12 +116,25 @@ def revision(text: Column) -> Column:
     return F.when(text.rlike(number), F.struct(F.lit("number").alias("kind"), F.regexp_extract(text, number, 1).alias("value"), F.regexp_extract(text, number, 0).alias("raw"))).when(text.rlike(date), F.struct(F.lit("date").alias("kind"), F.regexp_extract(text, date, 1).alias("value"), F.regexp_extract(text, date, 0).alias("raw"))).otherwise(F.struct(F.lit("none").alias("kind"), F.lit("").alias("value"), F.lit("").alias("raw")))
 
 
+#: How texts state a weight of steel; the number, and whether it is in tons.
+WEIGHTS = (
+    (r"(?i)(?:approximately|approx\.?|about|min(?:imum)?|max(?:imum)?|\x{b1})\s*([\d.]+)\s*(?:tons?|t)\b\s*(?:of\s+)?(?:structural\s+)?(?:steel|metal|fabrication)", 2000),
+    (r"(?i)(?:(?:approximately|approx\.?|about|min(?:imum)?|max(?:imum)?|\x{b1})?\s*)([\d,]+)\s*(?:lbs?|pounds?)\s*(?:of\s+)?(?:structural\s+)?(?:steel|metal|fabrication)", 1),
+    (r"(?i)(?:estimated|est\.?)\s+(?:weight|tonnage)[:\s]+([\d.]+)\s*(?:tons?|t)\b", 2000),
+)
+
+
+def tonnages(text: Column) -> Column:
+    """Pounds of steel that a page states: the first match of each of three ways to say so, as an array; numbers that are none, or 0, are left out."""
+    number = lambda p: F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("double")
+    found = F.array(*(number(p) * factor for p, factor in WEIGHTS))
+    return F.filter(found, lambda x: F.coalesce(x > 0, F.lit(False)))
+
+
 def tonnage(text: Column) -> Column:
-    """Pounds that a text asserts: tons x 2000, or pounds; null if it asserts none."""
-    tons = F.regexp_extract(text, r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*tons?\b", 1)
-    pounds = F.regexp_extract(text, r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:lbs?|pounds)\b", 1)
-    number = lambda s: F.regexp_replace(s, ",", "").try_cast("double")
-    return F.coalesce(number(tons) * 2000, number(pounds))
+    """The middle between the least and the most pounds of steel that a text states; null if it states none."""
+    said = tonnages(text)
+    return F.when(F.size(said) > 0, (F.array_min(said) + F.array_max(said)) / 2)
 
 
 def tonnage_verdict(asserted: Column, priced: Column, within: float = 0.2) -> Column:

@@ -98,11 +98,32 @@ def grade_check(df: DataFrame) -> DataFrame:
     return _add(df, wrong & F.col("material_grade").isNotNull(), "warning", "grade_mismatch", "the grade does not suit the shape")
 
 
-def bracket(df: DataFrame, priors: DataFrame) -> DataFrame:
-    """A quantity over 1.5 times the largest usual one, or under half of the smallest. priors: category, low, high."""
-    out = df.join(priors.select("category", F.col("low").alias("__low"), F.col("high").alias("__high")), "category", "left")
-    out = _add(out, F.col("quantity") > 1.5 * F.col("__high"), "warning", "above_bracket", "more than 1.5 times the usual most")
-    return _add(out, F.col("quantity") < 0.5 * F.col("__low"), "info", "below_bracket", "less than half of the usual least").drop("__low", "__high")
+def prior_for(priors: DataFrame, building: str | None) -> DataFrame:
+    """One prior for each category: of the building's type, else of any type, else without one; of several the least row."""
+    kind = F.col("building_type")
+    place = F.when(kind.eqNullSafe(F.lit(building)) & kind.isNotNull(), 0).when(F.coalesce(kind, F.lit("")) != "", 1).otherwise(2)
+    return priors.groupBy("category").agg(F.min(F.struct(place.alias("place"), F.struct(*(c for c in priors.columns if c != "category")).alias("row"))).alias("p")).select("category", "p.row.*")
+
+
+def bracket(df: DataFrame, priors: DataFrame, building: str | None = None, hours: str = "iron_hrs") -> DataFrame:
+    """A quantity over 1.5 times the largest usual one, or, above 0, under half of the smallest; hours for each unit over twice the most or under 0.4 of the least usual.
+
+    priors: category, low, high, and where known building_type, hours_low and hours_high.
+    """
+    known = priors
+    for column, kind in (("building_type", "string"), ("hours_low", "double"), ("hours_high", "double")):
+        known = known if column in known.columns else known.withColumn(column, F.lit(None).cast(kind))
+    one = prior_for(known, building).select("category", *(F.col(c).alias(f"__{c}") for c in ("low", "high", "hours_low", "hours_high")))
+    out = df.join(one, "category", "left")
+    quantity = F.coalesce("quantity", F.lit(0.0))
+    out = _add(out, quantity > 1.5 * F.col("__high"), "warning", "above_bracket", "more than 1.5 times the usual most")
+    out = _add(out, (quantity > 0) & (quantity < 0.5 * F.col("__low")), "info", "below_bracket", "less than half of the usual least")
+    if hours in df.columns:
+        each = F.when((quantity > 0) & (F.col(hours) > 0) & F.col("__hours_high").isNotNull(), F.col(hours) / quantity)
+        above = each > 2 * F.col("__hours_high")
+        out = _add(out, above, "warning", "labor_above_bracket", "more than twice the usual hours for each unit")
+        out = _add(out, ~above & (each < 0.4 * F.col("__hours_low")), "warning", "labor_below_bracket", "under 0.4 of the usual hours for each unit")
+    return out.drop("__low", "__high", "__hours_low", "__hours_high")
 
 
 def cold_formed(df: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import details, estimates, intake, packages, page_items, relational, sorting
+from sluice.plans import details, estimates, intake, kinds, packages, page_items, relational, sorting
 from sluice.streaming import arrivals, correlate
 
-MODULES = (relational, estimates, packages, intake, details, page_items, sorting, arrivals, correlate)
+MODULES = (relational, estimates, packages, intake, details, kinds, page_items, sorting, arrivals, correlate)
 
 
 def queries() -> dict:

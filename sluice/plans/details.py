@@ -45,7 +45,6 @@ expected("referenced_sheets", [("see A-101 and S201, also a-101", "A101|S201"),
 expected("revisions", [("REV 3 of 1/2/2024", "number:3:REV 3"), ("Addendum #2", "number:2:Addendum #2"), ("issued 12/31/2023", "date:12/31/2023:12/31/2023"), ("as bid", "none::"), ("Revision 12", "number:12:Revision 12")], lambda t: F.concat_ws(":", layout.revision(t)["kind"], layout.revision(t)["value"], layout.revision(t)["raw"]))
 expected("sheet_disciplines", [("S-101", "structural"), ("a201", "architectural"), ("FP-1", "fire_protection"), ("E1", "electrical"), ("X9", "other"), ("D-2", "demolition")], layout.discipline_of)
 expected("section_codes", [("SECTION 05 50 00 and Section 051200", "05 50 00|05 12 00"), ("DOCUMENT 00-11-13", "00 11 13"), ("section five", ""), ("05 50 00 alone", "")], lambda t: _joined(layout.section_headers(t)))
-expected("stated_tonnage", [("about 12.5 tons of steel", 25000.0), ("1,250 lbs total", 1250.0), ("3 tons, 500 lbs", 6000.0), ("nothing", None), ("900 pounds", 900.0)], layout.tonnage, kind="DOUBLE")
 expected("scope_parts", [("Furnish all handrail. Painting is by others; Install the bollards.", "Furnish all handrail.:true|Painting is by others;:false|Install the bollards.:true"), ("Short. No.", ""), ("Ladders are excluded from work", "Ladders are excluded from work:false")], lambda t: _joined(F.transform(documents.scope_sentences(t), lambda s: F.concat_ws(":", s["text"], s["included"].cast("string")))))
 expected("guessed_deadlines", [("Bids due by 3/4/2024 noon", "2024-03-04"), ("Deadline: 2024-11-05", "2024-11-05"), ("posted 1/1/2024", None), ("Closing on 12/31/2023, opened 1/1/2023", "2023-12-31")], lambda t: documents.deadline_guess(t).cast("string"))
 expected("payload_places", [('{"placeOfPerformance": {"city": {"name": "Gary"}, "state": {"code": "IN"}}}', "Gary, IN"), ('{"officeAddress": {"city": "Racine", "state": "WI"}}', "Racine, WI"), ('{"placeOfPerformance": {"state": {"code": "OH"}}}', "OH"), ("{}", None), ("no json", None)], documents.place_of)

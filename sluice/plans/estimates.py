@@ -173,14 +173,6 @@ def labor_floors(spark, sf):
     return validate.labor_floor(own, usual, ("fab_hrs",)).where(F.size("findings") > 0).groupBy("category").agg(F.count("*").alias("raised"))
 
 
-@query(f"{L} SELECT category, count(*) FILTER (WHERE quantity > 45) AS above_bracket, count(*) FILTER (WHERE quantity < 5) AS below_bracket FROM lines GROUP BY 1")
-def quantity_brackets(spark, sf):
-    own = validate.begin(lines(spark, sf))
-    priors = own.select("category").distinct().withColumns({"low": F.lit(10.0), "high": F.lit(30.0)})
-    named = validate.bracket(own, priors).withColumn("c", F.transform("findings", lambda f: f["category"]))
-    return named.groupBy("category").agg(*(F.count_if(F.array_contains("c", c)).alias(c) for c in ("above_bracket", "below_bracket")))
-
-
 @query(f"{L}, q AS (SELECT opp_id, line_no, part_id, row_number() OVER (PARTITION BY opp_id ORDER BY line_no, part_id, quantity) AS question_no FROM lines WHERE confidence < 0.7 OR flagged) SELECT opp_id, count(*) AS questions, max(question_no) AS last_no FROM q GROUP BY 1")
 def questions_per_run(spark, sf):
     return validate.questions(lines(spark, sf), "opp_id").groupBy("opp_id").agg(F.count("*").alias("questions"), F.max("question_no").alias("last_no"))

@@ -24,24 +24,6 @@ def query(sql: str):
 O, L = cte("opportunities"), cte("lines")
 
 
-@query("SELECT category, priority, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(f, 'spec|manual|division', 'i') THEN 'spec' WHEN regexp_matches(f, 'drawing|plan|sheet|dwg', 'i') THEN 'drawing' WHEN regexp_matches(f, 'addend|revision', 'i') THEN 'addendum' WHEN regexp_matches(f, 'form|proposal', 'i') THEN 'form' ELSE 'general' END AS category, CASE WHEN regexp_matches(f, 'spec|manual|division', 'i') THEN 0 WHEN regexp_matches(f, 'drawing|plan|sheet|dwg', 'i') THEN 1 WHEN regexp_matches(f, 'addend|revision', 'i') THEN 2 WHEN regexp_matches(f, 'form|proposal', 'i') THEN 3 ELSE 4 END AS priority FROM (SELECT CASE p_type WHEN 'SMALL' THEN 'Spec ' WHEN 'LARGE' THEN 'A-plan ' WHEN 'PROMO' THEN 'Addendum ' WHEN 'MEDIUM' THEN 'bid FORM ' ELSE 'x ' END || p_name AS f FROM part)) GROUP BY 1, 2")
-def file_categories(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat(F.expr("case p_type when 'SMALL' then 'Spec ' when 'LARGE' then 'A-plan ' when 'PROMO' then 'Addendum ' when 'MEDIUM' then 'bid FORM ' else 'x ' end"), "p_name")
-    found = table(spark, sf, "part").select(documents.file_category(name).alias("category"))
-    return found.withColumn("priority", documents.file_priority(F.col("category"))).groupBy("category", "priority").agg(F.count("*").alias("n"))
-
-
-@query("WITH s AS (SELECT p_brand AS pkg, sum(2 * CASE WHEN regexp_matches(p_type, 'permit', 'i') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(p_name, 'permit', 'i') THEN 1 ELSE 0 END) AS permit, sum(2 * CASE WHEN regexp_matches(p_type, 'bid', 'i') THEN 1 ELSE 0 END) AS bid FROM part GROUP BY 1) SELECT pkg, CASE WHEN greatest(permit, bid) > 0 THEN 'x' ELSE 'unknown' END AS stage, 40 AS confidence FROM s")
-def package_stages(spark, sf):
-    return documents.stage(table(spark, sf, "part").withColumnRenamed("p_brand", "pkg"), "pkg", "p_type", "p_name")
-
-
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN t LIKE '%shaft%' OR t LIKE '%chase%' THEN 'excluded' WHEN regexp_matches(t, '(^|[^a-z0-9_])etr([^a-z0-9_]|$)|existing') THEN 'existing' WHEN regexp_matches(t, 'alumin') THEN 'aluminium' WHEN t LIKE '%frp%' THEN 'frp' WHEN regexp_matches(t, 'glass|glaz') THEN 'hm_glass' WHEN t LIKE '%hm %' THEN 'hm' ELSE 'other' END AS kind FROM (SELECT lower(CASE p_type WHEN 'SMALL' THEN 'hm ' WHEN 'LARGE' THEN 'glazed ' WHEN 'PROMO' THEN 'existing ' WHEN 'MEDIUM' THEN 'FRP ' WHEN 'ECONOMY' THEN 'shaft ' ELSE 'alumin. ' END || p_name) AS t FROM part)) GROUP BY 1")
-def door_classes(spark, sf):
-    row = F.concat(F.expr("case p_type when 'SMALL' then 'hm ' when 'LARGE' then 'glazed ' when 'PROMO' then 'existing ' when 'MEDIUM' then 'FRP ' when 'ECONOMY' then 'shaft ' else 'alumin. ' end"), "p_name")
-    return table(spark, sf, "part").groupBy(documents.door_class(row).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("WITH p(code, pattern) AS (VALUES ('en', '(^|[^a-z])the([^a-z]|$)'), ('fr', '(^|[^a-z])les([^a-z]|$)'), ('de', '(^|[^a-z])und([^a-z]|$)')) SELECT conv_id, code, min(turn) AS first_page FROM conversations JOIN p ON regexp_matches(lower(text), pattern) GROUP BY 1, 2")
 def first_page_of_code(spark, sf):
     pages = table(spark, sf, "conversations").withColumn("t", F.lower("text"))
