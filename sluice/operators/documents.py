@@ -181,10 +181,10 @@ def scope_sentences(text: Column, least: int = 12) -> Column:
 
 
 def deadline_guess(text: Column, most: int = 4000) -> Column:
-    """The first date near a word for when something is due, in the first characters of a text."""
+    """The first date near a word for when something is due, in the first characters of a text: 3/4/2024, 2024-03-04 or March 4, 2024."""
     head = F.substring(text, 1, most)
-    near = F.regexp_extract(head, r"(?i)(?:due|deadline|closing|no later than|by)\D{0,40}?(\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2})", 1)
-    return F.coalesce(F.try_to_date(near, "M/d/yyyy"), F.try_to_date(near, "yyyy-MM-dd"))
+    near = F.regexp_extract(head, r"(?i)(?:due|deadline|closing|no later than|by)\D{0,40}?(\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}|(?:january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2},? \d{4})", 1)
+    return F.coalesce(F.try_to_date(near, "M/d/yyyy"), F.try_to_date(near, "yyyy-MM-dd"), F.try_to_date(F.initcap(F.replace(near, F.lit(","), F.lit(""))), "MMMM d yyyy"))
 
 
 def place_of(raw: Column) -> Column:

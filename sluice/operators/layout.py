@@ -24,7 +24,18 @@ HEADERS = {
     "beam_schedule": (("mark", "beam", "size", "span", "reaction", "camber", "shape"), 3, ("beam", "reaction", "camber"), 1),
     "equipment_schedule": (("mark", "description", "manufacturer", "model", "item", "quantity", "qty", "remarks", "equipment"), 3, ("mark", "description"), 2),
 }
-PREFIXES = {"A": "architectural", "S": "structural", "M": "mechanical", "E": "electrical", "P": "plumbing", "C": "civil", "D": "demolition", "FP": "fire_protection"}
+#: Disciplines by the letters that sheets begin with.
+PREFIXES = {
+    "A": "architectural", "S": "structural", "M": "mechanical", "E": "electrical", "P": "plumbing", "C": "civil", "D": "demolition", "G": "general", "L": "landscape",
+    "T": "telecom", "I": "interior", "FP": "fire_protection", "FA": "fire_alarm",
+}
+#: Standards that look like sheets, and the bodies whose standards they are.
+STANDARDS = (
+    "A036", "A123", "A153", "A307", "A325", "A490", "A500", "A529", "A563", "A572", "A588", "A615", "A653", "A706", "A780", "A847", "A992", "A1011", "A1085",
+    "C150", "C270", "C476", "E84", "E119", "E330",
+)
+BODIES = "ASTM|AISI|AWS|AISC|ANSI"
+SHEET_LETTERS = "FP|FA|[ASMPECLTGID]"
 PAGE = ("file", "page")
 
 
@@ -97,18 +108,43 @@ def section_headers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:SECTION|DOCUMENT)\s+(\d{2})[ -]?(\d{2})[ -]?(\d{2})"), F.lit(0)), lambda s: F.regexp_replace(F.regexp_replace(s, r"[^0-9]", ""), r"^(\d{2})(\d{2})(\d{2}).*$", "$1 $2 $3"))
 
 
+def references(text: Column, kind: Column) -> Column:
+    """struct<callouts, sheets, sections, disciplines> that a text refers to, each distinct and in order.
+
+    A callout is a detail of a sheet, 3/A400. A sheet has three digits; it is none
+    after the name of a body of standards, before the metric twin of a standard
+    (/A123M), or where it is a well-known standard itself. Specifications are full of
+    standards, so only sections are read there. Sections are three pairs of digits.
+    """
+    spec = F.coalesce(kind == "specification", F.lit(False))
+    none = F.array().cast("array<string>")
+    tight = lambda found: F.transform(found, lambda s: F.regexp_replace(s, r"[\s-]", ""))
+    each = lambda found: F.array_sort(F.array_distinct(found))
+    callouts = tight(F.regexp_extract_all(text, F.lit(r"\b[A-Z0-9]{1,3}\s*/\s*[A-Z]{1,3}-?\d{1,3}(?:\.\d{1,2})?\b"), F.lit(0)))
+    bare = tight(F.regexp_extract_all(text, F.lit(rf"(?<!\b(?:{BODIES})\s{{1,8}})\b(?:{SHEET_LETTERS})-?\d{{3}}(?:\.\d{{1,2}})?\b(?!\s*/\s*A\d{{2,4}}M\b)"), F.lit(0)))
+    sheets = each(F.concat(F.transform(callouts, lambda c: F.substring_index(c, "/", -1)), F.filter(bare, lambda s: ~s.isin(*STANDARDS))))
+    sections = each(F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{2}\s+\d{2}\s+\d{2}\b"), F.lit(0)), lambda s: F.regexp_replace(s, r"\s+", " ")))
+    own = F.when(spec, none).otherwise(sheets)
+    return F.struct(F.when(spec, none).otherwise(each(callouts)).alias("callouts"), own.alias("sheets"), sections.alias("sections"), each(F.transform(own, discipline_of)).alias("disciplines"))
+
+
 def sheet_references(text: Column) -> Column:
-    """Sheets that a text refers to, such as A-101 or S201, without spaces and dashes, distinct. Standards such as ASTM A36 are none."""
-    plain = F.regexp_replace(text, r"(?i)\b(ASTM|AISC|ANSI|AWS)\s+[A-Z]-?\d+(/[A-Z]\d+)?", " ")
-    found = F.regexp_extract_all(F.upper(plain), F.lit(r"(?<![A-Z0-9])(FP|[ASMEPCD])[ -]?(\d{1,3}(?:\.\d{1,2})?)(?![0-9\"'/])"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, "[ -]", "")))
+    """Sheets that a text refers to, whatever its kind."""
+    return references(text, F.lit(None).cast("string"))["sheets"]
 
 
 def discipline_of(sheet: Column) -> Column:
-    letters = F.regexp_extract(F.upper(sheet), r"^(FP|[A-Z])", 1)
+    letters = F.regexp_extract(F.upper(sheet), r"^([A-Z]{1,2})", 1)
     return F.coalesce(*(F.when(letters == k, F.lit(v)) for k, v in PREFIXES.items()), F.lit("other"))
 
 
+def missing_sheets(referenced: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """key and sheet: sheets that a package refers to and does not hold. Both: key, sheet; spaces, dashes and case do not tell sheets apart."""
+    plain = F.upper(F.regexp_replace("sheet", r"[\s-]", ""))
+    there = covered.select(key, plain.alias("__s")).distinct()
+    return referenced.select(key, "sheet").distinct().withColumn("__s", plain).join(there, [key, "__s"], "left_anti").select(key, "sheet")
+
+
 def revision(text: Column) -> Column:
     """struct<kind, value, raw>: a number after REV, R or Addendum, else a date, else none."""
     number = r"(?i)\b(?:REV(?:ISION)?\.?|ADDENDUM)\s*#?\s*(\d{1,3})\b"

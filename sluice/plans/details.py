@@ -1,15 +1,10 @@
-"""References, revisions, amounts, schedules and records of documents as queries.
-
-Texts are picked from a few by the keys of lines; what each must give is written
-out in the SQL, by hand.
-"""
+"""Schedules and records of documents as queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions import dates, text
 from sluice.operators import aggregates, documents, layout, review
 from sluice.plans.relations import table
 from sluice.sources import sinks
@@ -18,56 +13,6 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _quoted(v) -> str:
-    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-
-
-def expected(name: str, cases: list[tuple[str, object]], f, n: str = "l_partkey + l_suppkey", kind: str = "VARCHAR") -> None:
-    """A query that counts what f gives for texts, and SQL that says what it must be."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        # the texts as a small table, met by number: an expression would be folded away
-        texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string")
-        rows = table(spark, sf, "lineitem").select(F.expr(f"({n}) % {len(cases)}").alias("i"))
-        return rows.join(texts, "i").groupBy(F.col("i").cast("int").alias("i"), f(F.col("t")).alias("found")).agg(F.count("*").alias("n"))
-
-    run.__name__ = name
-    whens = " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, (_, v) in enumerate(cases))
-    QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT CAST(({n}) % {len(cases)} AS INTEGER) AS i, CAST(CASE ({n}) % {len(cases)} {whens} END AS {kind}) AS found, count(*) AS n FROM lineitem GROUP BY 1, 2"
-
-
-def _joined(c: Column) -> Column:
-    return F.array_join(c, "|")
-
-
-expected("referenced_sheets", [("see A-101 and S201, also a-101", "A101|S201"), ("ASTM A36 and ASTM A572/A992", ""), ("detail 3/S5.1, FP-12", "S51|FP12".replace("S51", "S5.1")), ("no sheet", ""), ("plate A12\" thick, M 4", "M4")], lambda t: _joined(layout.sheet_references(t)))
-expected("revisions", [("REV 3 of 1/2/2024", "number:3:REV 3"), ("Addendum #2", "number:2:Addendum #2"), ("issued 12/31/2023", "date:12/31/2023:12/31/2023"), ("as bid", "none::"), ("Revision 12", "number:12:Revision 12")], lambda t: F.concat_ws(":", layout.revision(t)["kind"], layout.revision(t)["value"], layout.revision(t)["raw"]))
-expected("sheet_disciplines", [("S-101", "structural"), ("a201", "architectural"), ("FP-1", "fire_protection"), ("E1", "electrical"), ("X9", "other"), ("D-2", "demolition")], layout.discipline_of)
-expected("section_codes", [("SECTION 05 50 00 and Section 051200", "05 50 00|05 12 00"), ("DOCUMENT 00-11-13", "00 11 13"), ("section five", ""), ("05 50 00 alone", "")], lambda t: _joined(layout.section_headers(t)))
-expected("scope_parts", [("Furnish all handrail. Painting is by others; Install the bollards.", "Furnish all handrail.:true|Painting is by others;:false|Install the bollards.:true"), ("Short. No.", ""), ("Ladders are excluded from work", "Ladders are excluded from work:false")], lambda t: _joined(F.transform(documents.scope_sentences(t), lambda s: F.concat_ws(":", s["text"], s["included"].cast("string")))))
-expected("guessed_deadlines", [("Bids due by 3/4/2024 noon", "2024-03-04"), ("Deadline: 2024-11-05", "2024-11-05"), ("posted 1/1/2024", None), ("Closing on 12/31/2023, opened 1/1/2023", "2023-12-31")], lambda t: documents.deadline_guess(t).cast("string"))
-expected("payload_places", [('{"placeOfPerformance": {"city": {"name": "Gary"}, "state": {"code": "IN"}}}', "Gary, IN"), ('{"officeAddress": {"city": "Racine", "state": "WI"}}', "Racine, WI"), ('{"placeOfPerformance": {"state": {"code": "OH"}}}', "OH"), ("{}", None), ("no json", None)], documents.place_of)
-expected("payload_awards", [('{"award": {"awardee": {"name": "Acme"}, "amount": "$1,200.50"}}', "Acme:1200.5"), ('{"awardee": "Zed", "amount": "0"}', "Zed"), ('{"award": {"awardee": "Bo", "value": 7}}', "Bo:7.0"), ("{}", "")], lambda t: F.concat_ws(":", documents.award(t)["name"], documents.award(t)["amount"].cast("string")))
-expected("reflowed_texts", [("Scope: weld<br/>Due Date: May &amp; June<b>x</b>", "Scope: weld\n\nDue Date: May   Junex"), ("plain", "plain"), ("a<br><br><br><br>b", "a\n\nb")], lambda t: documents.reflowed(t, ("Due Date", "Scope", "Date")))
-expected("plain_quotes", [("  “Steel’s” –  OK ", "\"steel's\" - ok"), ("A\t\tB", "a b"), ("", "")], text.plain_punctuation)
-expected("found_emails", [("Write A.B@Example.org or a.b@example.org, c@d.co.uk", "a.b@example.org|c@d.co.uk"), ("none @ all", ""), ("x_y+z@q-r.com.", "x_y+z@q-r.com")], lambda t: _joined(text.emails(t)))
-expected("ascii_texts", [("caf\u00e9 \u201cx\u201d \u2013 1", 'caf "x" - 1'), ("plain", "plain")], text.ascii_only)
-expected("escaped_texts", [("<a href=\"x\">R&D's</a>", "&lt;a href=&quot;x&quot;&gt;R&amp;D&#39;s&lt;/a&gt;"), ("1 < 2", "1 &lt; 2"), ("&amp;", "&amp;amp;")], text.escape_html)
-expected("file_titles", [("Door_Schedule-rev2.PDF", "Door Schedule rev2"), ("a.b.c", "a.b"), ("noext", "noext"), ("__x__.txt", "x")], text.title_of)
-expected("cut_texts", [("abcdefghij", "abcde..."), ("abcdefgh", "abcdefgh"), ("", "")], lambda t: text.truncated(t, 8))
-expected("run_states", [("2,0", "ok"), ("2,1", "partial"), ("2,2", "failed"), ("0,1", "failed")], lambda t: _status(t))
-expected("approved_scenarios", [("100", "low"), ("150", "expected"), ("200", "high"), ("7", "expected")], lambda t: review.approved_scenario(t.cast("int"), {"low": F.lit(100), "expected": F.lit(150), "high": F.lit(200)}))
-expected("friday_gates", [("2024-03-01 12:00:00", "true"), ("2024-03-02 03:00:00", "true"), ("2024-03-02 12:00:00", "false"), ("2024-03-01 03:00:00", "false")], lambda t: dates.is_friday(t.cast("timestamp")).cast("string"))
-
-
-def _status(t: Column) -> Column:
-    """run_status over arrays of as many steps and errors as the text says."""
-    some = lambda k: F.when(F.split(t, ",")[k].cast("int") > 0, F.sequence(F.lit(1), F.split(t, ",")[k].cast("int"))).otherwise(F.array().cast("array<int>"))
-    n, e = F.size(some(0)), F.size(some(1))
-    return sinks.status_of(n, e)
-
-
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -79,7 +24,7 @@ def query(sql: str):
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Positioned items of a page for each order line: a header row, words under it, two body rows and a title block."""
-    cells = "array(struct('MARK' as str, 10D as x, 100D as y), struct('FRAME' as str, 110D as x, 100D as y), struct('TYPE' as str, 210D as x, 101D as y), struct('PROVIDED' as str, 310D as x, 100D as y), struct('SIZE' as str, 410D as x, 100D as y), struct('BY' as str, 312D as x, 115D as y), struct('IN' as str, 412D as x, 115D as y), struct(concat('F', l_partkey % 7) as str, 12D as x, 140D as y), struct('HM' as str, 112D as x, 140D as y), struct('A' as str, 212D as x, 141D as y), struct('GC' as str, 305D as x, 140D as y), struct('3x7' as str, 400D as x, 140D as y), struct('stray' as str, 15D as x, 165D as y), struct(' a-10 ' as str, 700D as x, 900D as y), struct(concat('S', l_suppkey % 5, '01') as str, 720D as x, 880D as y))"
+    cells = "array(struct('MARK' as str, 10D as x, 100D as y), struct('FRAME' as str, 110D as x, 100D as y), struct('TYPE' as str, 210D as x, 101D as y), struct('PROVIDED' as str, 310D as x, 100D as y), struct('SIZE' as str, 410D as x, 100D as y), struct('BY' as str, 312D as x, 115D as y), struct('IN' as str, 412D as x, 115D as y), struct(concat('F', l_partkey % 7) as str, 12D as x, 140D as y), struct(concat('HM', l_suppkey % 11) as str, 105D + l_partkey % 9 as x, 140D as y), struct(concat('T', l_partkey % 5) as str, 212D as x, 141D as y), struct(concat('by ', l_suppkey % 3) as str, 305D as x, 140D as y), struct(concat(l_partkey % 9, 'x7') as str, 400D as x, 140D as y), struct('stray' as str, 15D as x, 165D as y), struct(concat(' a-', 10 + l_partkey % 90, ' ') as str, 700D as x, 900D as y), struct(concat('S', l_suppkey % 5, '01') as str, 720D as x, 880D as y))"
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
     each = lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("page"), F.posexplode(F.expr(cells)).alias("item_idx", "c"))
     return each.select("file", "page", "item_idx", "c.*")
@@ -88,14 +33,14 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 PAGES_SQL = "WITH l AS (SELECT l_orderkey AS file, l_linenumber AS page, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"{PAGES_SQL} SELECT file, page, 'frame_schedule' AS kind, 'frame=HM,mark=F' || p % 7 || ',provided by=GC,size in=3x7,type=A' AS cells FROM l")
+@query(f"{PAGES_SQL} SELECT file, page, 'frame_schedule' AS kind, 'frame=HM' || s % 11 || ',mark=F' || p % 7 || ',provided by=by ' || s % 3 || ',size in=' || p % 9 || 'x7,type=T' || p % 5 AS cells FROM l")
 def frame_schedules(spark: SparkSession, sf: str) -> DataFrame:
     rows = layout.quality(layout.schedule_rows(_items(spark, sf)), {"frame_schedule": r"^F\d"})
     cells = F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return rows.where(F.col("cells")["mark"] != "stray").where("size(cells) = 5").select("file", "page", "kind", cells.alias("cells"))
 
 
-@query(f"{PAGES_SQL} SELECT file, page, 'A10' AS sheet FROM l")
+@query(f"{PAGES_SQL} SELECT file, page, 'A' || (10 + p % 90) AS sheet FROM l")
 def title_block_sheets(spark: SparkSession, sf: str) -> DataFrame:
     return documents.sheet_id(_items(spark, sf).withColumns({"w": F.lit(1000.0), "h": F.lit(1000.0)}), ["file", "page"], "w", "h")
 

@@ -16,7 +16,7 @@ def test_schedule_from_items(spark):
 
 
 def test_references_and_revisions(spark):
-    text = "See A-101 and S 201, ASTM A36 steel. SECTION 05 50 00 - METAL. REV 3 dated 1/2/2024, about 12 tons of steel"
+    text = "See A-101 and S201, ASTM A572 steel, A992, A123/A123M. SECTION 05 50 00 - METAL. REV 3 dated 1/2/2024, about 12 tons of steel"
     df = spark.createDataFrame([(text,)], "t string")
     r = df.select(layout.sheet_references(F.col("t")), layout.section_headers(F.col("t")), layout.revision(F.col("t"))["value"], layout.tonnage(F.col("t")), layout.discipline_of(F.lit("S201"))).first()
     assert tuple(r) == (["A101", "S201"], ["05 50 00"], "3", 24000.0, "structural")
