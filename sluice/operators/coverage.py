@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 INCLUDED, EXCLUDED, NOT_APPLICABLE, JUDGMENT = "included", "excluded", "n_a", "judgment"
@@ -86,7 +86,33 @@ def uncovered(entries: DataFrame, covered: DataFrame, excluded: DataFrame, key:
     return open_.select(key, F.lit("error").alias("severity"), F.concat(F.lit("uncovered_"), "kind").alias("category"), "ref")
 
 
-def rank_sources(entries: DataFrame, key: list[str], source: str, order: list[str]) -> DataFrame:
-    """Of entries that several sources give, those of the first source in order."""
-    place = F.coalesce(*(F.when(F.col(source) == s, F.lit(i)) for i, s in enumerate(order)), F.lit(len(order)))
-    return entries.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(place))).where("__n = 1").drop("__n")
+def cascade(sources: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """One row for each key, from the first source that has the key; fields that are null there fall through to the next.
+
+    sources have the columns of the first one, in order of precedence. A source that
+    gives a key several times counts with its least row, so that the order is total;
+    source names, from 1, the first one that has the key. Rows with a null in the key
+    are left out.
+    """
+    fields = [c for c in sources[0].columns if c not in key]
+    ranked = [df.select(*key, *fields).withColumn("__rank", F.lit(i)) for i, df in enumerate(sources, 1)]
+    every = reduce(DataFrame.unionByName, ranked).dropna(subset=list(key))
+    # per source one row, then per field the first source that says something
+    one = every.groupBy(*key, "__rank").agg(F.min(F.struct(*fields)).alias("__row")) if fields else every.distinct()
+    pick = [F.min_by(F.col("__row")[f], F.when(F.col("__row")[f].isNotNull(), F.col("__rank"))).alias(f) for f in fields]
+    return one.groupBy(*key).agg(F.min("__rank").alias("source"), *pick)
+
+
+def package_manifest(sections: Sequence[DataFrame], sheets: Sequence[DataFrame], schedules: DataFrame, key: str) -> DataFrame:
+    """The manifest of packages whose sections and sheets several sources name, in order of precedence.
+
+    sections: key, code, title, page each; sheets: key, sheet, items, raster each. An
+    index comes before an older list, and that before what the pages themselves say.
+    """
+    spaced = [s.withColumn("code", section_code(F.col("code"))) for s in sections]
+    known = cascade(spaced, [key, "code"])
+    plain = [s.withColumn("sheet", F.upper(F.regexp_replace("sheet", r"[\s-]", ""))) for s in sheets]
+    drawn = cascade(plain, [key, "sheet"])
+    entries = manifest(known.select(key, "code"), drawn.select(key, "sheet", "items", "raster"), schedules, key)
+    titles = known.select(key, F.lit("section").alias("kind"), F.col("code").alias("ref"), "title", "page", "source").unionByName(drawn.select(key, F.lit("sheet").alias("kind"), F.col("sheet").alias("ref"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("long").alias("page"), "source"))
+    return entries.join(titles, [key, "kind", "ref"], "left")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import details, estimates, intake, kinds, packages, page_items, relational, sorting, texts
+from sluice.plans import details, digests, estimates, intake, kinds, packages, page_items, relational, sorting, texts
 from sluice.streaming import arrivals, correlate
 
-MODULES = (relational, estimates, packages, intake, details, kinds, page_items, sorting, texts, arrivals, correlate)
+MODULES = (relational, estimates, packages, intake, details, kinds, page_items, sorting, texts, digests, arrivals, correlate)
 
 
 def queries() -> dict:

@@ -53,8 +53,7 @@ def file_categories(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("priority", documents.file_priority(F.col("category"))).groupBy("category", "priority").agg(F.count("*").alias("n"))
 
 
-@query(rf"""{FILES}, t AS (SELECT *, CASE WHEN raster THEN '' ELSE lower(text) END AS t, lower(filename) AS f FROM files)
-SELECT doc_id, CASE
+KIND = r"""CASE
   WHEN regexp_matches(t, 'geotechnical engineering|standard penetration|soil borin|boring log|atterberg|n[- ]value') THEN 'geotech'
   WHEN regexp_matches(t, 'question (and|&) answer|response status|clarifications? log') THEN 'qa_log'
   WHEN regexp_matches(t, '\b(task name|gantt|predecessors|critical path)\b') THEN 'schedule'
@@ -62,7 +61,11 @@ SELECT doc_id, CASE
   WHEN regexp_matches(t, '\bsheet (no|number|#)|\bscale[: ]+1[/=]|\b(plan|elevation|section|detail) view\b') THEN 'drawing'
   WHEN regexp_matches(f, 'geotech') THEN 'geotech' WHEN regexp_matches(f, '\bq(uestion)?[\s_-]*&?[\s_-]*a(nswer)?\b') THEN 'qa_log' WHEN regexp_matches(f, 'addend|revision') THEN 'addendum'
   WHEN regexp_matches(f, '\bspecs?\b|project[\s_-]?manual|\bsow\b') THEN 'specification' WHEN regexp_matches(f, '\bsheet\b|permit[\s_-]?set|section|detail') THEN 'drawing' WHEN regexp_matches(f, 'aerial') THEN 'site_markup'
-  WHEN regexp_matches(f, 'bid[\s_-]?form') THEN 'proposal_form' WHEN coalesce(hint, 'general') <> 'general' THEN hint WHEN raster THEN 'raster_scan' ELSE 'unknown' END AS kind,
+  WHEN regexp_matches(f, 'bid[\s_-]?form') THEN 'proposal_form' WHEN coalesce(hint, 'general') <> 'general' THEN hint WHEN raster THEN 'raster_scan' ELSE 'unknown' END"""
+
+
+@query(rf"""{FILES}, t AS (SELECT *, CASE WHEN raster THEN '' ELSE lower(text) END AS t, lower(filename) AS f FROM files)
+SELECT doc_id, {KIND} AS kind,
   CAST(CASE WHEN regexp_matches(t, 'geotechnical engineering|standard penetration|soil borin|boring log|atterberg|n[- ]value|question (and|&) answer|response status|clarifications? log') THEN 80
   WHEN regexp_matches(t, '\b(task name|gantt|predecessors|critical path)\b|section \d\d\s\d\d\s\d\d\b|csi format|division \d\d\b|\bsheet (no|number|#)|\bscale[: ]+1[/=]|\b(plan|elevation|section|detail) view\b') THEN 70
   WHEN regexp_matches(f, 'geotech|\bq(uestion)?[\s_-]*&?[\s_-]*a(nswer)?\b|addend|revision|\bspecs?\b|project[\s_-]?manual|\bsow\b|\bsheet\b|permit[\s_-]?set|aerial|bid[\s_-]?form') THEN 60
