@@ -32,7 +32,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
-KEEP, KEEP_CHARS = 450_000, 64
+KEEP, KEEP_CHARS = 300_000, 64
 #: The normalizer and the cut into words that are known: words of Latin-1 letters need no more of them than str.lower() does.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
