@@ -35,3 +35,8 @@ def reminder_due(deadline: Column, now: Column) -> Column:
 
 def is_friday(now: Column, zone: str = "America/Chicago") -> Column:
     return F.dayofweek(F.from_utc_timestamp(now, zone)) == 6
+
+
+def us_date(day: Column) -> Column:
+    """MM/dd/yyyy; null stays null."""
+    return F.date_format(day, "MM/dd/yyyy")

@@ -18,6 +18,19 @@ def dollar_range(text: Column) -> Column:
     return F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high"))
 
 
+def award_range(raw: Column, text: Column) -> Column:
+    """struct(low, high) of a notice: what the first field of its payload says that holds a number, else the least and most amounts of its text.
+
+    A range may have one end; a missing upper end is the lower one.
+    """
+    at = lambda path: parse_money(F.get_json_object(raw, path))
+    pairs = [(at("$.award.floor"), at("$.award.ceiling")), (at("$.awardFloor"), at("$.awardCeiling"))]
+    singles = [at(p) for p in ("$.award.amount", "$.estimatedTotalValue", "$.baseAndAllOptionsValue")]
+    both = lambda low, high: F.struct(low.alias("low"), F.coalesce(high, low).alias("high"))
+    steps = [F.when(low.isNotNull() | high.isNotNull(), both(low, high)) for low, high in pairs] + [F.when(v.isNotNull(), both(v, v)) for v in singles]
+    return F.coalesce(*steps, dollar_range(F.coalesce(text, F.lit(""))))
+
+
 def compact_money(value: Column) -> Column:
     """$1.2M, $15K or $900; null stays null."""
     return (

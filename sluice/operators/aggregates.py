@@ -15,12 +15,6 @@ def zero_filled_counts(df: DataFrame, column: str, domain: Sequence[str]) -> Dat
     return values.join(counted, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at half the size of the sorted array, 0 for an empty one: the upper of two middles."""
-    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    return F.coalesce(F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")), F.lit(0.0))
-
-
 def upper_median_by(df: DataFrame, key: Sequence[str], value: str, width: float = 1.0) -> DataFrame:
     """key, n and upper median by exact rank. Equal values are counted first; then ranges of width find the range of the middle, and only its values are put in order."""
     from pyspark.sql import Window as W
@@ -57,3 +51,8 @@ def densest(df: DataFrame, key: Sequence[str], group: str) -> DataFrame:
 
     counted = df.groupBy(*key, group).agg(F.count("*").alias("n"))
     return first_by(counted, key, [F.desc("n"), group])
+
+
+def weight_scale(df: DataFrame, key: str, weight: str, least: int = 5) -> DataFrame:
+    """key, samples and scale: the mean weight in hundreds, where more than so many rows have one; null for fewer."""
+    return df.where(F.col(weight).isNotNull()).groupBy(key).agg(F.count("*").alias("samples"), (F.avg(weight) / 100).alias("__mean")).select(key, "samples", F.when(F.col("samples") > least, F.col("__mean")).alias("scale"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,3 +73,27 @@ def gated(df: DataFrame, condition: Column, most: int = 50, force: bool = False)
     if n > most and not force:
         raise ValueError(f"more than {most} rows would go; give force=True to let them")
     return found
+
+
+def patch_reminders(reminders: DataFrame, command: str, days: str, now: Column) -> DataFrame:
+    """reminders with completed_at or snoozed_until by their command: complete, or snooze for so many days. Other commands and nulls change nothing."""
+    done, later = F.coalesce(F.col(command) == "complete", F.lit(False)), F.coalesce((F.col(command) == "snooze") & (F.col(days) > 0), F.lit(False))
+    until = F.timestamp_add("DAY", F.col(days).cast("int"), now)
+    return reminders.withColumns({"completed_at": F.when(done, now).otherwise(F.col("completed_at")), "snoozed_until": F.when(later, until).otherwise(F.col("snoozed_until"))})
+
+
+def completion_events(reminders: DataFrame, key: str, command: str, now: Column) -> DataFrame:
+    """An event for each reminder that is completed now; one that was completed before gives none."""
+    return reminders.where((F.col(command) == "complete") & F.col("completed_at").isNull()).select(key, F.lit("reminder_completed").alias("event_type"), now.alias("ts"))
+
+
+def high_issues(*issues: str) -> Column:
+    """How many issues of severity high there are in several arrays; a null array has none."""
+    each = [F.size(F.filter(F.coalesce(F.col(c), F.array().cast("array<struct<severity:string>>")), lambda i: i["severity"] == "high")) for c in issues]
+    return reduce(Column.__add__, each)
+
+
+def find_first(documents: str, category: str, path: Column, name: str) -> Column:
+    """The first document of a category; else the one at path; else the one of a fixed name; null for none."""
+    first = lambda test: F.get(F.filter(F.col(documents), test), F.lit(0))
+    return F.coalesce(first(lambda d: d["category"] == category), first(lambda d: d["path"] == path), first(lambda d: d["name"] == name))

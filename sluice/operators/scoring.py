@@ -129,8 +129,18 @@ def weighted_class(text: Column, patterns: Sequence[tuple[str, Sequence[tuple[st
     return F.when(best >= least, F.struct(name.alias("name"), F.least(F.lit(95), 50 + 10 * best).alias("confidence")))
 
 
-def token_similarity(asked: Column, own: Column, confidence: Column) -> Column:
-    """0.7 of the share of asked that own holds, and 0.3 of the confidence, raised by 0.3 up to 1."""
-    overlap = F.size(F.array_intersect(asked, own))
-    share = F.when(F.size(asked) > 0, overlap / F.size(asked)).otherwise(0.0)
+def similarity(shared: Column, asked: Column, confidence: Column) -> Column:
+    """0.7 of the share of the asked tokens that are shared, and 0.3 of the confidence, raised by 0.3 up to 1; an unknown confidence, or 0, is 0.5."""
+    share = F.when(asked > 0, shared / asked).otherwise(0.0)
     return 0.7 * share + 0.3 * F.least(F.lit(1.0), F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(0.5)) + 0.3)
+
+
+def auto_pass(df: DataFrame, old: str, status: str, other_trade: Column) -> DataFrame:
+    """Scored notices whose score differs from the old one, or that are passed over now: status is passed where a new notice is for parts, or of another trade and under 30.
+
+    Notices that are not new keep their status.
+    """
+    fired = lambda label: F.exists("signals", lambda s: (s["label"] == label) & s["fired"])
+    over = (F.col(status) == "new") & (fired("parts") | ((other_trade | fired("other_trade")) & (F.col("score") < 30)))
+    out = df.withColumn("new_status", F.when(F.coalesce(over, F.lit(False)), "passed").otherwise(F.col(status)))
+    return changed(out, [(old, "score"), (status, "new_status")])

@@ -190,3 +190,35 @@ def questions(lines: DataFrame, key: str, least: float = 0.7) -> DataFrame:
     placed = asked.withColumn("question_no", F.row_number().over(W.partitionBy(key).orderBy("line_no", "part_id") if "part_id" in lines.columns else W.partitionBy(key).orderBy("line_no")))
     reason = F.when(F.col("flagged"), "flagged for review").otherwise("low confidence")
     return placed.select(key, "question_no", "line_no", F.concat(F.lit("RFI "), F.lpad(F.col("question_no").cast("string"), 3, "0"), F.lit(": confirm "), "category", F.lit(" ("), reason, F.lit(")")).alias("question"))
+
+
+def request_texts(lines: DataFrame, key: str, topics: Mapping[str, str], least: float = 0.7) -> DataFrame:
+    """key, question_no, line_no, topic, context, source_cited, asked_for and copy_text of the questions on unsure or flagged lines.
+
+    lines: category, description, quantity, quantity_unit, quantity_band (point, range
+    or assumed_typical), quantity_min, quantity_max, source_kind, source_section,
+    source_page, assumptions, confidence, flagged. What is asked for depends on where
+    the number comes from.
+    """
+    asked = lines.where((F.coalesce("confidence", F.lit(0.0)) < least) | F.col("flagged"))
+    placed = asked.withColumn("question_no", F.row_number().over(W.partitionBy(key).orderBy("line_no", "description")))
+    number = lambda c: F.col(c).cast("string")
+    some, unit = F.concat_ws(" ", number("quantity"), "quantity_unit"), F.col("quantity_unit")
+    span = F.concat(number("quantity_min"), F.lit(" to "), number("quantity_max"), F.lit(" "), unit)
+    ranged = F.coalesce((F.col("quantity_band") == "range") & F.col("quantity_min").isNotNull() & F.col("quantity_max").isNotNull(), F.lit(False))
+    amount = F.when(F.col("quantity_band") == "point", some).when(ranged, F.concat(span, F.lit(" (assumed "), some, F.lit(")"))).otherwise(F.concat(some, F.lit(" (assumed)")))
+    page = F.when(F.col("source_page").isNotNull(), F.concat(F.lit("page "), number("source_page")))
+    cited = F.nullif(F.concat_ws(", ", "source_section", page), F.lit(""))
+    context = F.concat_ws(" ", F.concat(F.lit("The documents show "), F.lower("description"), F.lit(".")), F.concat(F.lit("Source: "), cited, F.lit(".")), F.concat(F.lit("Quantity: "), amount, F.lit(".")), F.concat(F.lit("Assumed: "), F.col("assumptions")))
+    what = F.replace(F.col("category"), F.lit("_"), F.lit(" "))
+    guess = F.coalesce(F.col("source_kind").isin("assumption", "industry_default"), F.lit(False))
+    asks = (
+        F.when(guess, F.concat(F.lit("Confirm quantity, sizes and places of "), what, F.lit(", or that it is excluded.")))
+        .when(F.col("flagged") & (F.col("quantity_band") == "assumed_typical"), F.concat(F.lit("Confirm the quantity of "), what, F.lit("; "), some, F.lit(" are assumed as usual for such a building.")))
+        .when(F.col("flagged") & ranged, F.concat(F.lit("Confirm the count of "), what, F.lit(" between "), span, F.lit(".")))
+        .otherwise(F.concat(F.lit("Confirm quantity and sizes of "), what, F.lit(".")))
+    )
+    topic = F.coalesce(*(F.when(F.col("category") == k, F.lit(v)) for k, v in topics.items()), F.concat(what, F.lit(" scope and quantity")))
+    named = placed.select(key, "question_no", "line_no", topic.alias("topic"), context.alias("context"), F.coalesce(cited, F.concat(F.lit("inferred from "), "source_kind")).alias("source_cited"), asks.alias("asked_for"))
+    lines_of = F.concat_ws("\n", F.concat(F.lit("Q"), number("question_no"), F.lit(": "), "topic"), F.concat(F.lit("Context: "), "context"), F.concat(F.lit("Source: "), "source_cited"), F.concat(F.lit("Request: "), "asked_for"))
+    return named.withColumn("copy_text", lines_of)

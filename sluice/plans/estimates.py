@@ -148,7 +148,7 @@ def json_paths(spark, sf):
 m AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 6)) AS own FROM conversations),
 a AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(asked) AS w FROM q)), o AS (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(own) AS w FROM m)),
 c AS (SELECT item_id, conv_id, turn, count(*) AS shared FROM a JOIN o USING (w) GROUP BY 1, 2, 3),
-s AS (SELECT item_id, conv_id, turn, round(0.7 * shared / len(asked) + 0.3 * 0.8, 6) AS score FROM c JOIN q USING (item_id))
+s AS (SELECT item_id, conv_id, turn, round(0.7 * shared / len(asked) + 0.3 * least(1.0, CASE turn % 4 WHEN 0 THEN 0.5 ELSE turn % 4 * 0.25 END + 0.3), 6) AS score FROM c JOIN q USING (item_id))
 SELECT item_id, conv_id, turn, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) AS n FROM s) WHERE n <= 5""")
 def similar_messages(spark, sf):
     asked = table(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text"), 6).alias("asked"))
@@ -159,7 +159,7 @@ def similar_messages(spark, sf):
     shared = asked.join(own.withColumn("part", F.pmod(F.hash("conv_id", "turn"), F.lit(parts))), ["w", "part"]).groupBy("item_id", "size", "conv_id", "turn").agg(F.count("*").alias("shared"))
     from sluice.operators.windows import numbered
 
-    scored = shared.withColumn("score", F.round(0.7 * F.col("shared") / F.col("size") + 0.3 * 0.8, 6))
+    scored = shared.withColumn("score", F.round(scoring.similarity(F.col("shared"), F.col("size"), F.col("turn") % 4 * 0.25), 6))
     return numbered(scored, ["item_id"], [F.desc("score"), "conv_id", "turn"]).where("n <= 5").select("item_id", "conv_id", "turn", "score")
 
 

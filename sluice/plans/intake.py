@@ -93,12 +93,64 @@ def _has(text: str, *words: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
+# what the SQL looks for, written out apart from the code that it checks
+SQL_NEAR = (
+    "chicago", "milwaukee", "madison", "green bay", "racine", "kenosha", "rockford", "peoria", "springfield", "indianapolis", "detroit", "grand rapids",
+    "minneapolis", "st. paul", "des moines", "st. louis", "fort wayne", "south bend", "gary", "joliet", "aurora", "naperville", "great lakes", "waukegan",
+    "duluth", "lansing", "ann arbor", "davenport", "quad cities", "dubuque", "cedar rapids", "champaign", "kalamazoo", "bloomington", "normal", "elgin",
+    "cicero", "evanston", "oak park", "wisconsin", "wi", "illinois", "il", "indiana", "in", "michigan", "mi", "iowa",
+    "ia", "minnesota", "mn", "missouri", "mo", "ohio", "oh", "kentucky", "ky",
+)
+SQL_OVERSEAS = (
+    "japan", "korea", "germany", "overseas", "foreign", "oconus", "far east", "pacific", "europe", "middle east", "guam", "puerto rico",
+    "hawaii", "alaska",
+)
+SQL_VISIT = (
+    "site visit", "pre-bid conference", "pre-proposal conference", "mandatory walk", "mandatory inspection",
+)
+SQL_DRAWINGS = (
+    "drawings", "prints", "blueprints", "shop drawings", "specifications attached", "see attached", "per plans", "per specification", "scope of work attached", "sow attached",
+)
+SQL_PARTS = (
+    "proposed procurement for nsn", "national stock number", "dla troop support", "dla land and maritime", "dla aviation", "in repair/modification of",
+)
+SQL_TRADES = (
+    "concrete pour", "repaving", "asphalt", "roofing", "roof replacement", "hvac", "plumbing", "electrical contractor", "painting services", "janitorial", "landscaping", "mowing",
+    "demolition only", "fall protection engineering", "fall protection program",
+)
+SQL_OPAQUE = (
+    r"(?i)^\d{4}-[A-Z]{2,}[-\d]+(-[A-Z]+)?$",
+    r"(?i)^[\d]+-[\d]+-[\d]+-[A-Z]+$",
+    r"(?i)^\d{6}-[A-Z]\d{2}-\d+$",
+    r"(?i)^[A-Z]{2,4}-?(?:RFP|RFB|BID)-?\d{4}-\d+$",
+    r"(?i)^RFP\s*#\d+$",
+    r"^W[A-Z]\d{4,}:?\s*$",
+    r"^\d{10,}$",
+    r"^\d{4}[A-Z]{3,}-\d+\s+\d+",
+    r"^\d{2}-\d{3}[A-Z]{2,6}-[A-Z0-9]+-[A-Z]-\d{4,6}$",
+    r"^Illinois Bid \d{2}-\d{3}",
+)
+SQL_EQUIPMENT = (
+    r"(?i)\bbollard",
+    r"(?i)\bladder",
+    r"(?i)\brailing",
+    r"(?i)\bhandrail",
+    r"(?i)\bguardrail",
+    r"(?i)\blintel",
+    r"(?i)\bembed",
+    r"(?i)\bshelf\s+angle",
+    r"(?i)\bsteel\s+(?:plate|frame|angle|gate|stair)",
+    r"(?i)\bmetal\s+(?:plate|frame|panel|gate|stair)",
+    r"(?i)\bhollow\s+metal",
+)
+SQL_ASSEMBLIES = (("stair", "pan_stair"), ("handrail", "wall_handrail_run"), ("guardrail", "guardrail_run"), ("railing", "guardrail_run"), ("lintel", "lintel_set"), ("bollard", "bollard_set"), ("mezzanine", "mezzanine"), ("hss", "hss_framing"), ("frame", "w_framing"), ("partition", "hss_framing"))
+
 # the scorer, as plain SQL over the words that it is documented to look for
 TXT, PLACE = "lower(concat_ws(' ', title, description))", "lower(coalesce(place, ''))"
-NEAR = f"CASE WHEN {PLACE} = '' THEN NULL WHEN {_has(PLACE, *scoring.NEAR_CITIES, *scoring.NEAR_STATES)} THEN true WHEN contains({PLACE}, ',') OR regexp_matches({PLACE}, '\\b[a-z]{{2}}\\b') THEN false END"
-FAR, HOME = f"coalesce(NOT ({NEAR}), false)", f"(NOT {_has(PLACE, *scoring.OVERSEAS)})"
+NEAR = f"CASE WHEN {PLACE} = '' THEN NULL WHEN {_has(PLACE, *SQL_NEAR)} THEN true WHEN contains({PLACE}, ',') OR regexp_matches({PLACE}, '\\b[a-z]{{2}}\\b') THEN false END"
+FAR, HOME = f"coalesce(NOT ({NEAR}), false)", f"(NOT {_has(PLACE, *SQL_OVERSEAS)})"
 VMAX, VMIN = "coalesce(high, low)", "coalesce(low, high)"
-VISITS, DRAWN = _has(TXT, *scoring.VISIT), _has(TXT, *scoring.DRAWINGS)
+VISITS, DRAWN = _has(TXT, *SQL_VISIT), _has(TXT, *SQL_DRAWINGS)
 NAME = "trim(coalesce(title, ''))"
 FIRED = {
     "code": (30, "code IN ('332312', '332323', '238120')"),
@@ -113,11 +165,11 @@ FIRED = {
     "too_large": (-20, f"{VMIN} > 2000000"),
     "supply_only": (-20, _has(TXT, "supply only", "supply-only", "supplies only", "material supply")),
     "disqualified": (-15, _has(TXT, "nadcap")),
-    "parts": (-30, f"({_has(TXT, *scoring.PARTS)} OR regexp_matches({NAME}, '^\\d{{2}}--') OR (regexp_matches({NAME}, '^[A-Z][A-Z ,\\-/]{{3,}}$') AND length({NAME}) < 40))"),
+    "parts": (-30, f"({_has(TXT, *SQL_PARTS)} OR regexp_matches({NAME}, '^\\d{{2}}--') OR (regexp_matches({NAME}, '^[A-Z][A-Z ,\\-/]{{3,}}$') AND length({NAME}) < 40))"),
     "far_site_visit": (-20, f"{FAR} AND {VISITS} AND NOT {DRAWN}"),
     "far_with_drawings": (-5, f"{FAR} AND {VISITS} AND {DRAWN}"),
     "far": (-5, f"{FAR} AND NOT {VISITS}"),
-    "other_trade": (-20, _has(TXT, *scoring.OTHER_TRADES)),
+    "other_trade": (-20, _has(TXT, *SQL_TRADES)),
 }
 SCORE = f"CAST(least(100, greatest(0, {' + '.join(f'CASE WHEN {c} THEN {d} ELSE 0 END' for d, c in FIRED.values())})) AS INTEGER)"
 
@@ -161,7 +213,7 @@ def tagged_notices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{N}, t AS (SELECT trim(title) AS t FROM notices)
-SELECT coalesce(t, '?') AS title, coalesce({" OR ".join(f"regexp_matches(t, '{p}')" for p in intake.OPAQUE)}, false) AS opaque, count(*) AS n FROM t GROUP BY 1, 2""")
+SELECT coalesce(t, '?') AS title, coalesce({" OR ".join(f"regexp_matches(t, '{p}')" for p in SQL_OPAQUE)}, false) AS opaque, count(*) AS n FROM t GROUP BY 1, 2""")
 def opaque_titles(spark: SparkSession, sf: str) -> DataFrame:
     return notices(spark, sf).groupBy(F.coalesce(F.trim("title"), F.lit("?")).alias("title"), intake.opaque(F.col("title")).alias("opaque")).agg(F.count("*").alias("n"))
 
@@ -268,7 +320,7 @@ CELLS = "trim(concat(coalesce(description, ''), ' ', mark, ' ', coalesce(qty, ''
 SMALL = CELLS.replace("description", "c.description")
 
 
-@query(f"""{G}, c AS (SELECT *, {CELLS} AS cells FROM pages_of), h AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(cells, '{p}') THEN {i}" for i, p in enumerate(intake.EQUIPMENT, 1))} END AS hint FROM c)
+@query(f"""{G}, c AS (SELECT *, {CELLS} AS cells FROM pages_of), h AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(cells, '{p}') THEN {i}" for i, p in enumerate(SQL_EQUIPMENT, 1))} END AS hint FROM c)
 SELECT hint, cells, count(*) AS n FROM h WHERE hint IS NOT NULL GROUP BY 1, 2""")
 def equipment_rows(spark: SparkSession, sf: str) -> DataFrame:
     row = F.create_map(F.lit("a"), "description", F.lit("b"), "mark", F.lit("c"), "qty")
@@ -281,7 +333,7 @@ def gate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).groupBy("kind").agg(F.count_if(F.lower("description").rlike(r"\bgate\b")).alias("gates"), F.count("*").alias("rows_of"))
 
 
-@query(f"""{G} SELECT CASE {" ".join(f"WHEN contains(lower(description), '{w}') THEN '{k}'" for w, k in intake.ASSEMBLIES)} ELSE 'misc' END AS assembly,
+@query(f"""{G} SELECT CASE {" ".join(f"WHEN contains(lower(description), '{w}') THEN '{k}'" for w, k in SQL_ASSEMBLIES)} ELSE 'misc' END AS assembly,
   CASE WHEN upper(item) LIKE 'W%' THEN 'W' WHEN upper(item) LIKE 'HSS%' THEN 'HSS' WHEN contains(upper(item), 'PIPE') THEN 'PIPE' WHEN upper(item) LIKE 'L%' OR contains(upper(item), 'ANGLE') THEN 'ANGLE'
        WHEN upper(item) LIKE 'C%' OR contains(upper(item), 'CHANNEL') THEN 'CHANNEL' WHEN contains(upper(item), 'PL') THEN 'PLATE' WHEN contains(upper(item), 'BAR') THEN 'BAR' ELSE 'CUSTOM' END AS shape,
   CASE WHEN weight < 200 THEN 'small' WHEN weight < 1500 THEN 'medium' WHEN weight IS NOT NULL THEN 'large' END AS band, count(*) AS n FROM pages_of GROUP BY 1, 2, 3""")

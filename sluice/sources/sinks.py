@@ -46,6 +46,38 @@ def upsert_version(spark: SparkSession, changes: DataFrame, path: str, version:
     return touched
 
 
+def delete_rows(spark: SparkSession, doomed: DataFrame, path: str, audit: str, version: int, key: Sequence[str], at: Column, buckets: int = 64) -> DataFrame:
+    """Deletes rows from a table of upsert_version by key, and returns the audit rows of this version.
+
+    The audit comes first: what goes is written to audit/v=<version>, whole and with
+    the time, before any bucket is rewritten without it. A repeated version starts
+    from the commits before it, so it writes the same and nothing goes twice.
+    """
+    table, base = latest(spark, path, before=version), _buckets(spark, path, before=version)
+    if table is None:
+        raise ValueError(f"there is no table at {path}")
+    gone = table.join(doomed.select(*key).distinct(), list(key), "left_semi").withColumn("deleted_at", at)
+    gone.write.mode("overwrite").parquet(f"{audit}/v={version:09d}")
+    gone = spark.read.schema(gone.schema).parquet(f"{audit}/v={version:09d}")
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    touched = sorted(r["b"] for r in gone.select(bucket.alias("b")).distinct().collect())
+    if touched:
+        held = spark.read.schema(table.schema).parquet(*(f"{path}/data/v={base[b]:09d}/b={b}" for b in touched))
+        kept = held.join(gone.select(*key).distinct(), list(key), "left_anti").select(*table.columns).withColumn("b", bucket)
+        kept.repartition(len(touched), "b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/data/v={version:09d}")
+    # a bucket that is empty now has no folder
+    left = {int(n[2:]) for n in _names(spark, f"{path}/data/v={version:09d}") if n.startswith("b=")} if touched else set()
+    moved = {b: v for b, v in base.items() if b not in touched} | dict.fromkeys(sorted(left & set(touched)), version)
+    spark.createDataFrame(sorted(moved.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version:09d}")
+    return gone
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _buckets(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
     """The version in which each bucket of a table lies, as the last commit says."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
