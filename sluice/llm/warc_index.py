@@ -31,6 +31,8 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_ROWS = 200_000
 #: Bytes of an archive that a task reads at least.
 READ_BYTES = 8 << 20
+#: Slots of the bitmap of repeated digests. Where they fill up, more pages are shuffled than have copies.
+SLOTS = 1 << 23
 RECORD = "urn:sluice:page:"
 EPOCH = 1_704_067_200
 
@@ -129,6 +131,28 @@ def _id(reference: str) -> int | None:
     return int(found) if found else None
 
 
+def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """pages with __first, the smallest page_id with the same payload, where several have it; null else.
+
+    Groups are found by digest and id alone. A bitmap of their digests, of at most
+    SLOTS / 64 rows, then parts the pages: those whose digest is not in it stay where
+    they are read, and only the others are shuffled with their payload to their group.
+    """
+    sized = pages.withColumn("__sha", F.sha1(F.col("html").cast("binary")))
+    sound = sized.where(f"octet_length(html) >= {int(min_bytes)} and page_id is not null")
+    groups = sound.groupBy("__sha").agg(F.min("page_id").alias("__first"), F.max("page_id").alias("__last")).where("__last > __first").select("__sha", "__first")
+    groups = written(groups, "copies")
+    slot = F.pmod(F.xxhash64("__sha"), F.lit(SLOTS))
+    word, bit = F.floor(slot / 64).cast("int"), (slot % 64).cast("int")
+    marks = groups.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__marks"))
+    marked = sized.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(marks), "__word", "left")
+    likely = F.coalesce(F.call_function("bit_get", F.col("__marks"), F.col("__bit")) == 1, F.lit(False))
+    alone = marked.where(~likely).select(*pages.columns, F.lit(None).cast("long").alias("__first"))
+    # a merge join at every size: payloads are never broadcast, and groups grow with the pages
+    grouped = marked.where(likely).hint("merge").join(groups, "__sha", "left").select(*pages.columns, "__first")
+    return alone.unionByName(grouped)
+
+
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html, ts) as records under folder; returns their captures, a sorted run for each task.
 
@@ -136,9 +160,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
     page_id is a response and the others revisit it; a smaller payload is always
     a response, and so is a page without id. A null html is an empty payload.
     """
-    sized = pages.withColumn("__sha", F.sha1(F.col("html").cast("binary")))
-    groups = sized.where(f"octet_length(html) >= {int(min_bytes)} and page_id is not null").groupBy("__sha").agg(F.min("page_id").alias("__first"), F.max("page_id").alias("__last")).where("__last > __first").select("__sha", "__first")
-    joined = sized.join(groups, "__sha", "left").select("page_id", "url", "html", "ts", F.expr("case when page_id > __first then __first end").alias("refers_to"))
+    joined = with_first(pages, min_bytes).select("page_id", "url", "html", "ts", F.expr("case when page_id > __first then __first end").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = file_system(folder)

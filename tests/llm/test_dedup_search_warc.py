@@ -208,6 +208,35 @@ def test_url_keys():
     assert warc_index.url_key(None) == "" and warc_index.url_key("http://[bad") == "http://[bad"
 
 
+def shuffled_rows(df):
+    """Rows that exchanges of a plan that has run have written."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+    return total
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 23])
+def test_only_copies_are_shuffled(spark, monkeypatch, slots):
+    monkeypatch.setattr(warc_index, "SLOTS", slots)
+    rows = [(i, f"http://x/{i}", f"page {i if i % 10 else 'same'} of some", i) for i in range(400)] + [(None, None, "page same of some", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, ts long").repartition(4)
+    found = warc_index.with_first(df)
+    got = {r["page_id"]: r["__first"] for r in found.collect()}
+    assert got == {i: 0 if i is None or i % 10 == 0 else None for i, *_ in rows}
+    # of 401 rows 41 have copies; a bitmap of 64 slots marks a few more, and each side of the join counts
+    assert 41 <= shuffled_rows(found) - 401 <= 120
+
+
 def test_archives_round_trip(spark, monkeypatch):
     pages = [(1, "http://b.org/x", "same"), (2, "http://a.org/y", "same"), (3, None, None), (4, "http://a.org/y", ""), (5, "http://a.org/y", "é" * 50_000), (5, "http://a.org/y", "é" * 50_000), (6, "u v", "same"), (None, "http://n.org", "same"), (7, "http://a.org/", "other\r\n\r\nWARC/1.1")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, urlkey string").repartition(4)
