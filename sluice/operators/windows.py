@@ -26,13 +26,9 @@ def numbered_in_buckets(df: DataFrame, key: Sequence[str], bucket: Column, order
     """
     placed = df.withColumn("__bucket", bucket)
     sizes = placed.groupBy(*key, "__bucket").agg(F.count("*").alias("__rows"))
-    before = F.coalesce(F.sum("__rows").over(W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("__before", before).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__bucket").alias("__of"), "__before")
     local = numbered(placed, [*key, "__bucket"], order, "__local")
-    same = F.col("__bucket").eqNullSafe(F.col("__of"))
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return local.join(offsets, same).withColumn(name, (F.col("__local") + F.col("__before")).cast("int")).select(*df.columns, name)
+    met = _met(local, _carried(sizes, key, F.sum("__rows"), "__before"), key)
+    return met.withColumn(name, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("int")).select(*df.columns, name)
 
 
 def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str, bucket: Column) -> DataFrame:
@@ -50,20 +46,58 @@ def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str
     return met.withColumn(value, F.coalesce("__here", "__carried")["value"]).select(*(c for c in rows.columns if c != value), value)
 
 
-def gap_clusters(df: DataFrame, key: Sequence[str], at: Column, gap: float, ties: Sequence[str], name: str = "cluster") -> DataFrame:
-    """Clusters of a key's rows: a new one begins where a row is more than gap after the row before it."""
-    w = W.partitionBy(*key).orderBy(at, *ties)
-    begins = F.when(at - F.lag(at).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__b", begins).withColumn(name, F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
+def _carried(sums: DataFrame, key: Sequence[str], value: Column, name: str) -> DataFrame:
+    """For (key, __bucket): what value gives over all earlier buckets of the key, with the names that _met joins by."""
+    before = value.over(W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    return sums.withColumn(name, before).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__bucket").alias("__of"), name)
+
 
+def _met(rows: DataFrame, carried: DataFrame, key: Sequence[str]) -> DataFrame:
+    same = F.col("__bucket").eqNullSafe(F.col("__of"))
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(carried, same).drop("__of", *(f"__k{i}" for i in range(len(key))))
 
-def phases(df: DataFrame, key: Sequence[str], order: Sequence[str], header: Column, total: Column) -> DataFrame:
+
+def running_sum(df: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over a key's rows up to each, bucket by bucket: a bucket starts from the sums of those before it, and its rows are one task's. bucket must not fall along the order."""
+    placed = df.withColumns({"__bucket": bucket, "__v": value})
+    sums = placed.groupBy(*key, "__bucket").agg(F.sum("__v").alias("__s"))
+    local = placed.withColumn("__local", F.sum("__v").over(W.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    met = _met(local, _carried(sums, key, F.sum("__s"), "__before"), key)
+    return met.withColumn(name, F.col("__local") + F.coalesce("__before", F.lit(0))).select(*df.columns, name)
+
+
+def gap_clusters(df: DataFrame, key: Sequence[str], at: Column, gap: float, ties: Sequence[str], name: str = "cluster", bucket: Column | None = None) -> DataFrame:
+    """Clusters of a key's rows: a new one begins where a row is more than gap after the row before it.
+
+    With a bucket, which must not fall along at, no key is one task's: a bucket's first
+    row is compared with the last of those before.
+    """
+    if bucket is None:
+        w = W.partitionBy(*key).orderBy(at, *ties)
+        begins = F.when(at - F.lag(at).over(w) > gap, 1).otherwise(0)
+        return df.withColumn("__b", begins).withColumn(name, F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
+    placed = df.withColumns({"__bucket": bucket, "__at": at})
+    last = _carried(placed.groupBy(*key, "__bucket").agg(F.max("__at").alias("__end")), key, F.max("__end"), "__prev")
+    before = F.coalesce(F.lag("__at").over(W.partitionBy(*key, "__bucket").orderBy("__at", *ties)), F.col("__prev"))
+    marked = _met(placed, last, key).withColumn("__b", F.when(F.col("__at") - before > gap, 1).otherwise(0))
+    return running_sum(marked.select(*df.columns, "__at", "__b"), key, bucket, ["__at", *ties], F.col("__b"), name).select(*df.columns, name)
+
+
+def phases(df: DataFrame, key: Sequence[str], order: Sequence[str], header: Column, total: Column, bucket: Column | None = None) -> DataFrame:
     """Rows with the number of the header before them as phase, for phases that have a row of totals after their header.
 
-    Rows before the first header, and phases that the next header cuts off, are left out.
+    Rows before the first header, and phases that the next header cuts off, are left
+    out. With a bucket, which must not fall along the order, a key's headers are
+    counted bucket by bucket; a phase is one task's.
     """
-    w = W.partitionBy(*key).orderBy(*order)
-    marked = df.withColumn("phase", F.sum(F.when(header, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__t", total)
+    one = F.when(header, 1).otherwise(0)
+    if bucket is None:
+        marked = df.withColumn("phase", F.sum(one).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        marked = running_sum(df, key, bucket, order, one, "phase")
+    marked = marked.withColumn("__t", total)
     inside = W.partitionBy(*key, "phase").orderBy(*order)
     ended = F.coalesce(F.sum(F.col("__t").cast("int")).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     has = F.max(F.col("__t").cast("int")).over(W.partitionBy(*key, "phase"))

@@ -247,14 +247,14 @@ def revision_rank(spark, sf):
 @query("WITH s AS (SELECT *, CASE WHEN epoch(ts) / 3600.0 - lag(epoch(ts) / 3600.0) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 12 THEN 1 ELSE 0 END AS b FROM events), c AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM s) SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n FROM c GROUP BY 1, 2")
 def gap_clusters(spark, sf):
     hours = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1e6D") / 3600.0
-    found = windows.gap_clusters(table(spark, sf, "events"), ["user_id"], hours, 12, ["event_id"])
+    found = windows.gap_clusters(table(spark, sf, "events"), ["user_id"], hours, 12, ["event_id"], bucket=F.to_date("ts"))
     return found.groupBy("user_id", "cluster").agg(F.count("*").alias("n"))
 
 
 @query("WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS phase FROM events), e AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, phase ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, phase) AS has FROM s) SELECT user_id, CAST(phase AS BIGINT) AS phase, count(*) AS n, round(sum(value), 6) AS total FROM e WHERE phase > 0 AND has = 1 AND ended = 0 GROUP BY 1, 2")
 def phase_sessions(spark, sf):
     kind = F.col("event_type")
-    found = windows.phases(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], kind == "signup", kind == "purchase")
+    found = windows.phases(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], kind == "signup", kind == "purchase", F.to_date("ts"))
     return found.groupBy("user_id", "phase").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 

@@ -129,3 +129,23 @@ def test_sites_by_rules(spark):
     pages = [(1, "http://a.x/1", '<li>Home of the town</li><li><a href="/g">Gate work 1/2/2031</a></li><li>Gate awarded to all</li><li>Fence of 2023, long</li><li>short</li>'), (2, "http://a.x/2", "<li>Gate work 1/2/2031</li>"), (3, "https://b.x/", "<p>abc</p><li>no rule for this here</li>"), (4, "none", "<p>abc</p>"), (5, "http://a.x/", None)]
     got = [tuple(r) for r in site_records(spark.createDataFrame(pages, "page_id int, url string, html string"), sites).orderBy("id").collect()]
     assert [(r[0], r[3], r[4], str(r[5])) for r in got] == [("A-Gatework122031", "Gate work 1/2/2031", "/g", "2031-01-02"), ("B-abc", "abc", None, "None")]
+
+
+def test_clusters_and_phases_bucket_by_bucket(spark):
+    from sluice.operators import windows
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "a", "a", None, "b"]), float(rng.randrange(0, 400)), rng.choice(["h", "t", "x", "x"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, v double, kind string").repartition(4)
+    bucket = F.floor(F.col("v") / 20)
+    for made in (lambda b: windows.gap_clusters(df, ["k"], F.col("v"), 3.0, ["id"], bucket=b), lambda b: windows.phases(df, ["k"], ["v", "id"], F.col("kind") == "h", F.col("kind") == "t", b)):
+        whole, parts = (sorted(map(tuple, made(b).collect())) for b in (None, bucket))
+        assert whole == parts and len(whole) > 50
+    # numbers by hand
+    got = {r["id"]: r["cluster"] for r in windows.gap_clusters(df, ["k"], F.col("v"), 3.0, ["id"], bucket=bucket).collect()}
+    for key in ("a", "b", None):
+        own = sorted((v, i) for i, k, v, _ in rows if k == key)
+        cluster, last = 0, own[0][0]
+        for v, i in own:
+            cluster, last = cluster + (v - last > 3.0), v
+            assert got[i] == cluster
