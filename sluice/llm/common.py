@@ -38,8 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+#: Folders that fresh_path has named for each application, until drop_owned removes them.
+_owned: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. Results that are not read yet may lie there: drop_owned removes it when they are."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _owned.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_owned(spark: SparkSession) -> list[str]:
+    """Removes every table, archive and model that this application has written to the shared folder, and returns their paths.
+
+    To be called when results have been read or written elsewhere: frames that are
+    still to be read from there fail afterwards.
+    """
+    paths = _owned.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return paths
 
 
 def file_system(folder: str):

@@ -92,3 +92,15 @@ def test_run_packs_what_is_kept(spark, tmp_path):
 def test_empty_corpus(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_what_was_written_is_dropped(spark, monkeypatch):
+    import os
+
+    from sluice.llm import common
+
+    monkeypatch.setattr(common, "_owned", {})
+    table = common.written(spark.range(3).toDF("n"), "kept")
+    assert table.count() == 3
+    (path,) = common.drop_owned(spark)
+    assert not os.path.exists(path) and common.drop_owned(spark) == []
