@@ -20,7 +20,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sluice-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _owned.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that work_dir has named for each application, until drop_work removes them.
+_owned: dict[str, list[str]] = {}
+
+
+def drop_work(spark: SparkSession) -> list[str]:
+    """Removes the folders that work_dir has given this application, and returns them. For when their results have been read; a stream that is to go on keeps a folder of its own."""
+    paths = _owned.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return paths
 
 
 def arriving(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -102,3 +102,12 @@ def test_an_upsert_writes_what_it_touches(spark, tmp_path):
     assert sinks.upsert_version(spark, batch.where("false"), path, 4, ["id"], order, 32) == [] and table() == want
     assert sinks.drop_unused(spark, path, 1) and table() == want
     assert sinks.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_work_is_dropped(spark, monkeypatch):
+    from sluice.streaming import arrivals
+
+    monkeypatch.setattr(arrivals, "_owned", {})
+    folder = arrivals.work_dir(spark, "kept")
+    spark.range(3).write.parquet(f"{folder}/out")
+    assert arrivals.drop_work(spark) == [folder] and not os.path.exists(folder) and arrivals.drop_work(spark) == []
