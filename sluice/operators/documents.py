@@ -188,11 +188,38 @@ def deadline_guess(text: Column, most: int = 4000) -> Column:
 
 
 def place_of(raw: Column) -> Column:
-    """A place from a payload of JSON: city and state as objects or texts, else the office's, else nothing."""
+    """A place from a payload of JSON: the first of a list of places, else the first office with an address, else a place that is one object, else a state's code; null for none."""
     path = lambda p: F.nullif(F.get_json_object(raw, p), F.lit(""))
-    city = F.coalesce(path("$.placeOfPerformance.city.name"), path("$.placeOfPerformance.city"), path("$.officeAddress.city"))
-    state = F.coalesce(path("$.placeOfPerformance.state.code"), path("$.placeOfPerformance.state"), path("$.officeAddress.state"))
-    return F.nullif(F.concat_ws(", ", city, state), F.lit(""))
+    joined = lambda *parts: F.nullif(F.concat_ws(", ", *parts), F.lit(""))
+    at = lambda root: joined(F.coalesce(path(f"{root}.city.name"), path(f"{root}.city")), F.coalesce(path(f"{root}.state.code"), path(f"{root}.state")), F.coalesce(path(f"{root}.country.code"), path(f"{root}.country")))
+    offices = F.from_json(F.get_json_object(raw, "$.organizationHierarchy"), "array<struct<address:struct<city:string,state:string,country:string>>>")
+    office = F.get(F.filter(offices, lambda o: o["address"].isNotNull()), F.lit(0))["address"]
+    listed = path("$.placeOfPerformance[0]").isNotNull()
+    whole = F.when(~listed, at("$.placeOfPerformance"))
+    return F.coalesce(F.when(listed, at("$.placeOfPerformance[0]")), joined(office["city"], office["state"], office["country"]), whole, path("$['Place of Performance State Code']"), at("$.officeAddress"))
+
+
+#: How a scope of work says that something is left out, and how it names rooms and stations.
+LEFT_OUT = r"(?i)(?:priced separately|to be priced separately|by others|not included|out of scope|excluded|under separate contract|by owner)"
+INCLUDES = r"(?i)^\s*(?:include[ds]?|provide[ds]?|the project includes|scope of work)"
+ROOM, BARE_ROOM, STATION = r"(?i)\b(?:room|rm\.?)\s+(\d{2,3}[A-Za-z]?)\b", r"\b(\d{3}[A-Za-z]?)\b", r"(?i)\b(?:stations?|sta\.?)\s+(?:no\.?\s*)?#?(\d+)\b"
+LEAST_SENTENCE, MOST_NOTE = 12, 200
+
+
+def scope_of_work(text: Column) -> Column:
+    """struct<rooms, stations, excluded, included> of a scope of work.
+
+    Sentences of LEAST_SENTENCE characters or more count. Of those that leave something
+    out, rooms are named as such or by three digits alone, and stations by number;
+    sentences are cut to MOST_NOTE characters.
+    """
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    sentences = F.filter(F.transform(F.split(plain, r"(?<=[.!?:])\s+(?=[A-Z*\u2022])"), lambda s: F.trim(s)), lambda s: F.length(s) >= LEAST_SENTENCE)
+    out = F.filter(sentences, lambda s: s.rlike(LEFT_OUT))
+    within = F.filter(sentences, lambda s: ~s.rlike(LEFT_OUT) & s.rlike(INCLUDES))
+    every = lambda pattern: F.flatten(F.transform(out, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(1))))
+    cut = lambda found: F.transform(found, lambda s: F.substring(s, 1, MOST_NOTE))
+    return F.struct(F.array_sort(F.array_distinct(F.concat(every(ROOM), every(BARE_ROOM)))).alias("rooms"), F.array_sort(F.array_distinct(every(STATION))).alias("stations"), cut(out).alias("excluded"), cut(within).alias("included"))
 
 
 def reflowed(text: Column, labels: Sequence[str]) -> Column:

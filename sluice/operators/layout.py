@@ -152,6 +152,28 @@ def revision(text: Column) -> Column:
     return F.when(text.rlike(number), F.struct(F.lit("number").alias("kind"), F.regexp_extract(text, number, 1).alias("value"), F.regexp_extract(text, number, 0).alias("raw"))).when(text.rlike(date), F.struct(F.lit("date").alias("kind"), F.regexp_extract(text, date, 1).alias("value"), F.regexp_extract(text, date, 0).alias("raw"))).otherwise(F.struct(F.lit("none").alias("kind"), F.lit("").alias("value"), F.lit("").alias("raw")))
 
 
+def latest_revisions(sheets: DataFrame, key: str, text: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """(winners, conflicts) of sheets that a package shows several times.
+
+    sheets: key, sheet, and the text and place of each showing. A numbered revision
+    goes before a dated one and that before none, a later before an earlier, and of
+    equal ones the first by place. A conflict names all showings in that order, as they
+    are written. Sheets without a number are left out.
+    """
+    said = revision(F.coalesce(F.col(text), F.lit("")))
+    day = F.coalesce(F.try_to_date(said["value"], "M/d/yyyy"), F.try_to_date(said["value"], "M/d/yy"))
+    value = F.when(said["kind"] == "number", said["value"].try_cast("long")).otherwise(F.unix_date(day).cast("long"))
+    rank = F.when(said["kind"] == "number", 0).when(said["kind"] == "date", 1).otherwise(2)
+    one = F.struct(rank.alias("rank"), (-F.coalesce(value, F.lit(0))).alias("late"), F.col(place).alias("place"), said["raw"].alias("raw"))
+    # showings of one sheet in one package are few
+    groups = sheets.where("sheet is not null").groupBy(key, "sheet").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    winners = groups.select(key, "sheet", F.get("r", F.lit(0))["place"].alias(place), F.nullif(F.get("r", F.lit(0))["raw"], F.lit("")).alias("revision"), F.size("r").alias("showings"))
+    raws = F.array_join(F.transform("r", lambda x: F.when(x["raw"] == "", "(unrevised)").otherwise(x["raw"])), ", ")
+    text_of = F.concat(F.lit("Sheet "), "sheet", F.lit(" is there "), F.size("r").cast("string"), F.lit(" times: "), raws)
+    conflicts = groups.where(F.size("r") > 1).select(key, F.lit("warning").alias("severity"), F.lit("revision_conflict").alias("category"), text_of.alias("finding"), "sheet")
+    return winners, conflicts
+
+
 #: How texts state a weight of steel; the number, and whether it is in tons.
 WEIGHTS = (
     (r"(?i)(?:approximately|approx\.?|about|min(?:imum)?|max(?:imum)?|\x{b1})\s*([\d.]+)\s*(?:tons?|t)\b\s*(?:of\s+)?(?:structural\s+)?(?:steel|metal|fabrication)", 2000),

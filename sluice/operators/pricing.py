@@ -41,6 +41,28 @@ def priced(lines: DataFrame, rates: Mapping[str, float] = RATES, grade: str | No
     return out.withColumns({"labor": not_zero(labor), "finishing": not_zero(finish), "total": not_zero(zero("material") + labor + finish)})
 
 
+def priced_at_commit(lines: DataFrame, catalog: DataFrame, rates: Mapping[str, float] = RATES) -> DataFrame:
+    """lines with weight, material, labor, finishing and total, as they are priced when a takeoff is committed.
+
+    catalog (designation, unit_weight, unit) fills in a missing unit weight and its unit
+    for lines that name a section. Pounds a foot weigh by LF or FT, pounds each by EA;
+    LBS are their own weight; any other quantity takes the weight as given, or the
+    product. Waste comes on top of every weight, also of one that is given.
+    """
+    r = {k: F.lit(v) for k, v in (RATES | dict(rates)).items()}
+    known = catalog.groupBy("designation").agg(F.min(F.struct("unit_weight", "unit")).alias("__c"))
+    met = lines.join(known, lines["steel_shape_designation"] == known["designation"], "left").drop("designation")
+    each, unit, q, given = F.coalesce("unit_weight", "__c.unit_weight"), F.coalesce("unit_weight_unit", "__c.unit"), F.col("quantity"), F.col("total_weight")
+    fits = ((unit == "lb/ft") & F.col("quantity_unit").isin("LF", "FT")) | ((unit == "lb/ea") & (F.col("quantity_unit") == "EA"))
+    by_unit = F.when(fits, q * each).when(F.col("quantity_unit") == "LBS", q).when(each != 0, F.coalesce(given, q * each))
+    weight = F.when(each.isNotNull() & q.isNotNull(), by_unit).otherwise(given) * (1 + r["waste"])
+    rate = F.when(F.coalesce(F.upper("material_grade").rlike("STAINLESS|316|304"), F.lit(False)), r["stainless"]).otherwise(r["steel"])
+    out = met.withColumn("weight", weight).withColumn("material", F.col("weight") * rate)
+    labor = zero("fab_hrs") * r["fab"] + zero("iron_hrs") * r["iron"]
+    finish = F.when(F.col("finish") == "galvanized", zero("weight") * r["galvanize"]).when(F.col("finish").isin("shop_primer", "powder_coat") & F.col("weight").isNotNull(), zero("material") * r["paint_factor"]).otherwise(F.lit(0.0))
+    return out.withColumns({"labor": not_zero(labor), "finishing": not_zero(finish), "total": not_zero(zero("material") + labor + finish)}).drop("__c")
+
+
 def totals(pre: Column, rates: Mapping[str, float] = RATES) -> dict[str, Column]:
     """subtotal, overhead, profit, bond and bid, from the sum before tax."""
     r = RATES | dict(rates)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import actions, details, digests, estimates, intake, kinds, packages, page_items, relational, sites, sorting, texts
+from sluice.plans import actions, commits, details, digests, estimates, intake, kinds, packages, page_items, relational, sites, sorting, texts
 from sluice.streaming import arrivals, correlate
 
-MODULES = (relational, estimates, packages, intake, details, kinds, page_items, sorting, texts, digests, actions, sites, arrivals, correlate)
+MODULES = (relational, estimates, packages, intake, details, kinds, page_items, sorting, texts, digests, actions, commits, sites, arrivals, correlate)
 
 
 def queries() -> dict:

@@ -131,10 +131,11 @@ def sheet_disciplines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(layout.discipline_of(sheet).alias("discipline")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN n_name || ', ' || c_mktsegment WHEN 1 THEN n_name || ', ST' WHEN 2 THEN c_mktsegment END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query("""SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN n_name || ', ' || c_mktsegment WHEN 1 THEN n_name || ', ST' WHEN 2 THEN c_mktsegment WHEN 3 THEN n_name || ', ST, USA' WHEN 4 THEN 'Office ' || c_nationkey || ', US' WHEN 5 THEN 'S' || c_nationkey END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def payload_places(spark: SparkSession, sf: str) -> DataFrame:
-    raw = """case c_custkey % 4 when 0 then concat('{"placeOfPerformance": {"city": {"name": "', n_name, '"}, "state": {"code": "', c_mktsegment, '"}}}') when 1 then concat('{"officeAddress": {"city": "', n_name, '", "state": "ST"}}')
-      when 2 then concat('{"placeOfPerformance": {"state": {"code": "', c_mktsegment, '"}}}') else concat('{"title": "', c_name, '"}') end"""
+    raw = """case c_custkey % 7 when 0 then concat('{"placeOfPerformance": {"city": {"name": "', n_name, '"}, "state": {"code": "', c_mktsegment, '"}}}') when 1 then concat('{"officeAddress": {"city": "', n_name, '", "state": "ST"}}')
+      when 2 then concat('{"placeOfPerformance": {"state": {"code": "', c_mktsegment, '"}}}') when 3 then concat('{"placeOfPerformance": [{"city": "', n_name, '", "state": "ST", "country": "USA"}, {"city": "other"}]}')
+      when 4 then concat('{"placeOfPerformance": {"city": "late"}, "organizationHierarchy": [{"name": "x"}, {"address": {"city": "Office ', c_nationkey, '", "country": "US"}}]}') when 5 then concat('{"Place of Performance State Code": "S', c_nationkey, '"}') else concat('{"title": "', c_name, '"}') end"""
     named = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return named.select(F.col("c_custkey").alias("k"), documents.place_of(F.expr(raw)).alias("place"))
 

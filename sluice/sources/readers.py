@@ -54,3 +54,29 @@ def objects(spark: SparkSession, path: str, most: int | None = None) -> DataFram
 def attachment_candidates(df: DataFrame, links: str, source: str, login: tuple[str, ...] = ()) -> DataFrame:
     """A row for each link of a record, with whether its source asks for a login."""
     return df.withColumn("candidate", F.explode_outer(links)).withColumns({"auth_required": F.col(source).isin(*login) if login else F.lit(False), "reason": F.when(F.size(links) > 0, F.lit(None).cast("string")).otherwise(F.lit("no_links"))})
+
+
+#: How long a subject and a description may be.
+MOST_SUBJECT, MOST_DESCRIPTION = 300, 10_000
+ITEM = "struct<MessageId:string,From:struct<Address:string,Name:string>,Subject:string,RawTextBody:string,RawHtmlBody:string,SentAtDate:string>"
+
+
+def inbound_items(posts: DataFrame, body: str, received: Column) -> DataFrame:
+    """message_id, title, description, sender and sender_name of the mail in posts of JSON {"items": [..]}, each message once.
+
+    A message without text has that of its HTML; descriptions begin with who sent it
+    and when, by default received, and are cut to MOST_DESCRIPTION characters. A
+    message without id gets one from its contents. Of messages that share an id the
+    least row stays. Posts that are no such JSON give nothing.
+    """
+    from sluice.functions.text import strip_html
+
+    each = posts.select(F.explode(F.from_json(body, f"struct<items:array<{ITEM}>>")["items"]).alias("m"), received.cast("string").alias("__at"))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    text = F.coalesce(F.nullif(F.col("m.RawTextBody"), F.lit("")), strip_html(plain("m.RawHtmlBody")))
+    head = F.concat(F.lit("From: "), plain("m.From.Name"), F.lit(" <"), plain("m.From.Address"), F.lit(">\nReceived: "), F.coalesce("m.SentAtDate", "__at"), F.lit("\n\n"))
+    made = F.concat(F.lit("inbound-"), F.substring(F.sha2(F.to_json("m"), 256), 1, 16))
+    subject = F.coalesce(F.nullif(F.col("m.Subject"), F.lit("")), F.lit("(no subject)"))
+    rows = each.select(F.coalesce(F.nullif(F.col("m.MessageId"), F.lit("")), made).alias("message_id"), F.concat(F.lit("[forwarded] "), F.substring(subject, 1, MOST_SUBJECT)).alias("title"), F.substring(F.concat(head, text), 1, MOST_DESCRIPTION).alias("description"), plain("m.From.Address").alias("sender"), plain("m.From.Name").alias("sender_name"))
+    one = rows.groupBy("message_id").agg(F.min(F.struct("title", "description", "sender", "sender_name")).alias("r"))
+    return one.select("message_id", "r.*")

@@ -125,6 +125,24 @@ def replace_document(documents: str | Column, new: Column) -> Column:
     return F.array_append(F.filter(docs, lambda d: d["path"] != new["path"]), new)
 
 
+#: Categories that a document may have, and how large it may be.
+DOCUMENT_CATEGORIES, MOST_BYTES = ("specification", "drawing", "addendum", "form", "general"), 100 << 20
+
+
+def attach_document(df: DataFrame, documents: str, purged: str, new: Column) -> DataFrame:
+    """Rows with a new document struct (name, path, category, size) in place of the one at its path, the mark of a purge cleared, and event for what was attached.
+
+    An unknown category is general. Nothing is attached where the document is null, empty
+    or larger than MOST_BYTES; event is null there.
+    """
+    kind = F.when(new["category"].isin(*DOCUMENT_CATEGORIES), new["category"]).otherwise("general")
+    own = F.struct(new["name"].alias("name"), new["path"].alias("path"), kind.alias("category"), new["size"].alias("size"))
+    fits = F.coalesce(new["size"].between(1, MOST_BYTES), F.lit(False))
+    event = F.when(fits, F.struct(F.lit("doc_uploaded").alias("event_type"), F.concat(kind, F.lit(":"), new["name"]).alias("detail")))
+    given = F.coalesce(F.col(documents), F.array().cast(df.schema[documents].dataType))
+    return df.withColumns({"event": event, documents: F.when(fits, replace_document(given, own)).otherwise(F.col(documents)), purged: F.when(~fits, F.col(purged))})
+
+
 def purge(df: DataFrame, when: Column, documents: str, purged: str, now: Column) -> DataFrame:
     """Rows for which when holds lose their documents and get the time of it; those without documents stay as they are."""
     hit = when & (F.size(documents) > 0)
