@@ -96,9 +96,17 @@ def few_rows(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Memory that is free, of Arrow and of the C library, goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096):
     """Arrow batches cut so that each holds at most max_bytes of text, or one row. At the end, freed memory goes back to the system: workers live on."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -111,6 +119,4 @@ def slices(batches, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096):
             total += n
         if len(sizes) > start:
             yield batch.slice(start, len(sizes) - start)
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()

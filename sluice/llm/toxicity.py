@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import few_rows, load, remainder, slices, written
+from sluice.llm.common import few_rows, give_back, load, remainder, slices, written
 from sluice.llm.words import BASE, SLICE, _power, mix
 
 #: The bound: so many distinct labelled texts, and as many of all texts, those that hash lowest, train the classifier. All are mined and counted.
@@ -216,19 +216,25 @@ def fit_linear(rows: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.
     n, mean = weight.sum(), np.average(target, weights=weight)
     weights, bias = np.zeros(width), float(np.log(np.clip(mean, 1e-3, 0.999) / np.clip(1 - mean, 1e-3, 0.999)))
     moved, moved_bias = np.zeros(width), 0.0
-    # sums over runs of one text, and of one feature
-    texts, text_starts = np.unique(rows, return_index=True)
+    # sums over runs of one text, and of one feature; one buffer holds what is summed
+    begins = lambda runs: np.flatnonzero(np.concatenate([np.ones(min(1, len(runs)), bool), runs[1:] != runs[:-1]]))
+    text_starts = begins(rows)
+    texts = rows[text_starts]
     order = np.argsort(at, kind="stable")
-    of_feature = rows[order]
-    features_here, feature_starts = np.unique(at[order], return_index=True)
+    of_feature, in_order = rows[order], at[order]
+    del order
+    feature_starts = begins(in_order)
+    features_here = in_order[feature_starts]
+    del in_order
+    buffer = np.empty(len(rows))
     for _ in range(STEPS):
         linear = np.full(len(target), bias)
         gradient = DECAY * weights
         if len(rows):
-            linear[texts] += np.add.reduceat(weights[at], text_starts)
+            linear[texts] += np.add.reduceat(np.take(weights, at, out=buffer, mode="clip"), text_starts)
         error = (1 / (1 + np.exp(-np.clip(linear, -30, 30))) - target) * weight
         if len(rows):
-            gradient[features_here] += np.add.reduceat(error[of_feature], feature_starts)
+            gradient[features_here] += np.add.reduceat(np.take(error, of_feature, out=buffer, mode="clip"), feature_starts)
         moved = 0.9 * moved - RATE * gradient / n
         moved_bias = 0.9 * moved_bias - RATE * error.sum() / n
         weights, bias = weights + moved, bias + moved_bias
@@ -322,10 +328,14 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Toxici
     target = np.array([posterior[key] for key in zip(masks.tolist(), toxic.tolist(), strict=True)])
     lists = placed["at"].combine_chunks() if isinstance(placed["at"], pa.ChunkedArray) else placed["at"]
     at = lists.flatten().to_numpy()
-    rows = np.repeat(np.arange(len(masks)), lists.value_lengths().to_numpy())
+    rows = np.repeat(np.arange(len(masks), dtype=np.int32), lists.value_lengths().to_numpy())
+    weight = np.where(toxic < 0, UNLABELLED if gold else 1.0, 1.0)
+    del placed, lists, masks, toxic
     trained = np.array([int(k) in own for k in keys])[at]
     rows, at = rows[trained], at[trained]
-    learned.weights, learned.bias = fit_linear(rows, at, target, np.where(toxic < 0, UNLABELLED if gold else 1.0, 1.0), len(keys))
+    learned.weights, learned.bias = fit_linear(rows, at, target, weight, len(keys))
+    del rows, at, trained
+    give_back()
     return learned
 
 
