@@ -29,8 +29,8 @@ SAMPLE = 16_000
 SLOTS = 1 << 23
 #: Features kept of those rows, in how many of them one must occur, and how many standard errors its log-odds must be from 0.
 FEATURES, SUPPORT, ERRORS = 4000, 5, 3.0
-#: The same for beginnings that come again in a text: there are few of them, so chance makes few that tell, and few labels will do.
-AGAIN_SUPPORT, AGAIN_ERRORS = 4, 2.7
+#: The same for beginnings that a text has often: there are few of them, so chance makes few that tell, and few labels will do.
+OFTEN_SUPPORT, OFTEN_ERRORS = 4, 2.7
 #: Log-odds from which a feature counts as mined for a voter, and from which a beginning stands for the words that begin so.
 MINED_ODDS, PURE_ODDS = 2.0, 4.0
 ROUNDS, STEPS, RATE, DECAY = 30, 1500, 1.0, 0.1
@@ -162,11 +162,11 @@ def mine(labelled: DataFrame) -> list:
 
     total, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counted = labelled.select("text", "toxic").mapInArrow(run, "feature long, parent long, n long, toxic long").groupBy("feature", "parent").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    again = F.col("feature").bitwiseAND(F.lit(7)) >= KINDS.index("twice")
+    often = F.col("feature").bitwiseAND(F.lit(7)) == KINDS.index("often")
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (F.lit(total - bad) + 1.0))
     # by how many standard errors the log-odds differ from none
     sure = F.abs("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
-    enough = F.when(again, (F.col("n") >= AGAIN_SUPPORT) & (F.col("sure") >= AGAIN_ERRORS)).otherwise((F.col("n") >= SUPPORT) & (F.col("sure") >= ERRORS))
+    enough = F.when(often, (F.col("n") >= OFTEN_SUPPORT) & (F.col("sure") >= OFTEN_ERRORS)).otherwise((F.col("n") >= SUPPORT) & (F.col("sure") >= ERRORS))
     return counted.withColumn("odds", odds).withColumn("sure", sure).where(enough).orderBy(F.desc("sure"), "feature").limit(FEATURES).collect()
 
 
