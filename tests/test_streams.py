@@ -75,6 +75,16 @@ def test_promoted_once(spark, in_files, tmp_path):
     assert held[1] < held[90]
 
 
+def test_days_begin_where_seconds_are_rounded_to(spark, duck, tmp_path):
+    from sluice.plans import estimates
+
+    rows = [("2024-01-30 23:59:59.4", "view", 9.0), ("2024-01-30 23:59:59.7", "purchase", 3.0), ("2024-01-30 12:00:00", "purchase", 1.8)]
+    spark.createDataFrame(rows, "t string, event_type string, value double").selectExpr("cast(t as timestamp_ntz) as ts", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    sql = estimates.ORACLE_SQL["tonnage_verdicts"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, estimates.tonnage_verdicts(spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(sql).fetchall()) and len(got) == 2
+
+
 def written(path, version):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{path}/data/v={version:09d}") for f in names if f.endswith(".parquet"))
 
