@@ -51,7 +51,8 @@ def priced_at_commit(lines: DataFrame, catalog: DataFrame, rates: Mapping[str, f
     """
     r = {k: F.lit(v) for k, v in (RATES | dict(rates)).items()}
     known = catalog.groupBy("designation").agg(F.min(F.struct("unit_weight", "unit")).alias("__c"))
-    met = lines.join(known, lines["steel_shape_designation"] == known["designation"], "left").drop("designation")
+    # a catalog names some hundreds of sections, and lines of one section are too many for a task
+    met = lines.join(F.broadcast(known), lines["steel_shape_designation"] == known["designation"], "left").drop("designation")
     each, unit, q, given = F.coalesce("unit_weight", "__c.unit_weight"), F.coalesce("unit_weight_unit", "__c.unit"), F.col("quantity"), F.col("total_weight")
     fits = ((unit == "lb/ft") & F.col("quantity_unit").isin("LF", "FT")) | ((unit == "lb/ea") & (F.col("quantity_unit") == "EA"))
     by_unit = F.when(fits, q * each).when(F.col("quantity_unit") == "LBS", q).when(each != 0, F.coalesce(given, q * each))
