@@ -75,7 +75,8 @@ def replaced_equipment(df: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 def labor_floor(df: DataFrame, priors: DataFrame, hours: Sequence[str] = ("fab_hrs", "ironworker_hrs"), share: float = 0.5) -> DataFrame:
     """Hours above 0 that are under a share of the category's usual hours are raised to it. priors: category, and a column usual_<hours> each."""
-    out = df.join(priors, "category", "left")
+    # a row for each category: few, and categories are too few to be dealt by
+    out = df.join(F.broadcast(priors), "category", "left")
     for h in hours:
         low = (F.col(h) > 0) & (F.col(h) < share * F.col(f"usual_{h}"))
         out = _add(out.withColumn("__low", F.coalesce(low, F.lit(False))), F.col("__low"), "warning", "labor_floor", f"{h} raised to the usual floor")
@@ -114,7 +115,7 @@ def bracket(df: DataFrame, priors: DataFrame, building: str | None = None, hours
     for column, kind in (("building_type", "string"), ("hours_low", "double"), ("hours_high", "double")):
         known = known if column in known.columns else known.withColumn(column, F.lit(None).cast(kind))
     one = prior_for(known, building).select("category", *(F.col(c).alias(f"__{c}") for c in ("low", "high", "hours_low", "hours_high")))
-    out = df.join(one, "category", "left")
+    out = df.join(F.broadcast(one), "category", "left")
     quantity = F.coalesce("quantity", F.lit(0.0))
     out = _add(out, quantity > 1.5 * F.col("__high"), "warning", "above_bracket", "more than 1.5 times the usual most")
     out = _add(out, (quantity > 0) & (quantity < 0.5 * F.col("__low")), "info", "below_bracket", "less than half of the usual least")
