@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import coverage, intake, scoring, validate
-from sluice.plans.relations import table
+from sluice.plans.relations import dealt, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -454,7 +454,8 @@ man AS (SELECT * FROM sect UNION ALL SELECT package, kind, ref, tag, (tag = 'inc
 
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    found = pages(spark, sf)
+    lines = dealt(spark, sf, "lineitem", "l_orderkey", columns=("l_orderkey", "l_partkey", "l_suppkey"))
+    found = lines.select(*(F.expr(PAGES[n]).alias(n) for n in ("package", "section", "sheet", "items", "raster", "schedule")))
     sheets = found.where("sheet <> ''").select("package", "sheet", "items", "raster")
     return coverage.manifest(found.select("package", F.col("section").alias("code")), sheets, found.select("package", "schedule"), "package")
 
