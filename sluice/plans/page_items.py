@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import page_text
-from sluice.plans.relations import table
+from sluice.plans.relations import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,7 +56,8 @@ ITEMS = rf"""WITH words AS (
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    words = table(spark, sf, "documents").where(plain != "").select("doc_id", F.posexplode(F.split(plain, " ")).alias("i", "w"))
+    # texts are dealt, not their words, which are many times as large: files and pages need no further shuffle
+    words = dealt(spark, sf, "documents", "doc_id", columns=("doc_id", "text")).where(plain != "").select("doc_id", F.posexplode(F.split(plain, " ")).alias("i", "w"))
     return words.select(*(F.expr(e).alias(n) for n, e in ITEM.items()))
 
 
