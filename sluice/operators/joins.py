@@ -86,9 +86,11 @@ def insert_absent(new: DataFrame, existing: DataFrame, key: Sequence[str]) -> Da
     return new.join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
-def merge_latest(target: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row for each key, the latest of both; changes win ties."""
+def merge_latest(target: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[Column], parts: tuple[int, str] | None = None) -> DataFrame:
+    """One row for each key, the latest of both; changes win ties. parts: how many, and the column of the key that deals them; nothing else is shuffled then."""
     both = target.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
+    if parts:
+        both = both.repartition(*parts)
     w = W.partitionBy(*key).orderBy(*order, F.desc("__new"))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import dates, money
 from sluice.operators import filters, review, scoring, validate, workbook
 from sluice.plans.intake import FIRED, N, SCORE, notices, pick
-from sluice.plans.relations import AS_OF, as_of, cte, lines, opportunities, table
+from sluice.plans.relations import AS_OF, as_of, cte, file_bytes, lines, opportunities, table
 from sluice.sources import sinks
 from sluice.streaming.arrivals import work_dir
 
@@ -36,8 +36,10 @@ def deleted_lines(spark: SparkSession, sf: str) -> DataFrame:
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
     # lines that repeat are one row with a number of copies
     whole = table(spark, sf, "lineitem").groupBy(*key).agg(F.count("*").alias("copies"))
-    sinks.upsert_version(spark, whole, f"{folder}/t", 1, key, [F.lit(0)])
-    audit = sinks.delete_rows(spark, whole.where(DOOMED), f"{folder}/t", f"{folder}/audit", 2, key, as_of())
+    # a bucket is about 4 MB of the table's files, however large it is
+    buckets = max(64, file_bytes(spark, sf, "lineitem") >> 22)
+    sinks.upsert_version(spark, whole, f"{folder}/t", 1, key, [F.lit(0)], buckets)
+    audit = sinks.delete_rows(spark, whole.where(DOOMED), f"{folder}/t", f"{folder}/audit", 2, key, as_of(), buckets)
     price = F.col("l_extendedprice") * F.col("copies")
     gone = audit.groupBy("l_orderkey").agg(F.sum("copies").alias("deleted"), F.round(F.sum(price), 4).alias("deleted_price"))
     # only runs that lost a line are rolled up anew

@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def dealt(spark: SparkSession, sf_dir: str, name: str, *key: str, each: int = 4 << 20, columns: Sequence[str] = ("*",)) -> DataFrame:
     """A table's columns, dealt by key so that a part is about each bytes of its files, however large the table is: what is grouped by the key afterwards needs no further shuffle."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-file_bytes(spark, sf_dir, name) // each))
     return table(spark, sf_dir, name).select(*columns).repartition(parts, *key)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.operators.joins import insert_absent, merge_latest
@@ -29,18 +30,23 @@ def upsert_version(spark: SparkSession, changes: DataFrame, path: str, version:
     from the commits before it and replaces itself; without its commit it was never
     there. buckets is part of the table: take as many as make a bucket a task's work.
     """
-    base = _buckets(spark, path, before=version)
-    dealt = changes.withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+    base, bucket = _buckets(spark, path, before=version), _bucket(key, buckets)
+    dealt, folder = changes.withColumn("b", bucket), f"{path}/data/v={version:09d}"
+    if base:
+        dealt = dealt.persist()
     try:
-        # at most as many rows as there are buckets
-        touched = sorted(r["b"] for r in dealt.select("b").distinct().collect())
+        # at most as many rows as there are buckets; a first version has nothing to read, and is made in one pass
+        touched = sorted(r["b"] for r in dealt.select("b").distinct().collect()) if base else list(range(buckets))
         held = [f"{path}/data/v={base[b]:09d}/b={b}" for b in touched if b in base]
-        old = spark.read.schema(changes.schema).parquet(*held) if held else changes.limit(0)
-        merged = merge_latest(old, dealt.drop("b"), key, order).withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        old = spark.read.schema(changes.schema).parquet(*held).withColumn("b", bucket) if held else dealt.limit(0)
         if touched:
-            merged.repartition(max(1, len(touched)), "b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/data/v={version:09d}")
+            # dealt by bucket, rows of a key meet where the bucket is written
+            merge_latest(old, dealt, ["b", *key], order, (_parts(touched), "b")).write.mode("overwrite").partitionBy("b").parquet(folder)
+        if not base:
+            touched = _written_buckets(spark, folder)
     finally:
-        dealt.unpersist()
+        if base:
+            dealt.unpersist()
     rows = sorted((base | dict.fromkeys(touched, version)).items())
     spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version:09d}")
     return touched
@@ -56,22 +62,44 @@ def delete_rows(spark: SparkSession, doomed: DataFrame, path: str, audit: str, v
     table, base = latest(spark, path, before=version), _buckets(spark, path, before=version)
     if table is None:
         raise ValueError(f"there is no table at {path}")
-    gone = table.join(doomed.select(*key).distinct(), list(key), "left_semi").withColumn("deleted_at", at)
-    gone.write.mode("overwrite").parquet(f"{audit}/v={version:09d}")
-    gone = spark.read.schema(gone.schema).parquet(f"{audit}/v={version:09d}")
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    touched = sorted(r["b"] for r in gone.select(bucket.alias("b")).distinct().collect())
-    if touched:
-        held = spark.read.schema(table.schema).parquet(*(f"{path}/data/v={base[b]:09d}/b={b}" for b in touched))
-        kept = held.join(gone.select(*key).distinct(), list(key), "left_anti").select(*table.columns).withColumn("b", bucket)
-        kept.repartition(len(touched), "b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/data/v={version:09d}")
+    bucket, folder = _bucket(key, buckets), f"{path}/data/v={version:09d}"
+
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in key]
+    # null keys are equal to nothing
+    asked = doomed.select(*key).dropna().select(*key, *none).select(*table.columns, F.lit(1).alias("__goes"))
+    both = table.select("*", F.lit(0).alias("__goes")).unionByName(asked).withColumn("b", bucket)
+    # dealt by bucket, rows and keys meet where the bucket is written: the table is shuffled once, for the audit and the rest
+    goes = F.max("__goes").over(W.partitionBy("b", *key)) == 1
+    marked = both.repartition(_parts(base), "b").withColumn("__gone", goes).where("__goes = 0").drop("__goes").persist()
+    try:
+        gone = marked.where("__gone").select(*key, *(c for c in table.columns if c not in key)).withColumn("deleted_at", at)
+        gone.write.mode("overwrite").parquet(f"{audit}/v={version:09d}")
+        gone = spark.read.schema(gone.schema).parquet(f"{audit}/v={version:09d}")
+        touched = sorted(r["b"] for r in gone.select(bucket.alias("b")).distinct().collect())
+        if touched:
+            marked.where(~F.col("__gone") & F.col("b").isin(touched)).select(*table.columns, "b").write.mode("overwrite").partitionBy("b").parquet(folder)
+    finally:
+        marked.unpersist()
     # a bucket that is empty now has no folder
-    left = {int(n[2:]) for n in _names(spark, f"{path}/data/v={version:09d}") if n.startswith("b=")} if touched else set()
+    left = set(_written_buckets(spark, folder)) if touched else set()
     moved = {b: v for b, v in base.items() if b not in touched} | dict.fromkeys(sorted(left & set(touched)), version)
     spark.createDataFrame(sorted(moved.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version:09d}")
     return gone
 
 
+def _bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _parts(buckets: Collection[int]) -> int:
+    """Parts to deal buckets in: so many that few share one."""
+    return max(1, 2 * len(buckets))
+
+
+def _written_buckets(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n[2:]) for n in _names(spark, folder) if n.startswith("b="))
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())

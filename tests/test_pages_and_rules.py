@@ -149,3 +149,31 @@ def test_clusters_and_phases_bucket_by_bucket(spark):
         for v, i in own:
             cluster, last = cluster + (v - last > 3.0), v
             assert got[i] == cluster
+
+
+def test_a_deletion_shuffles_its_table_once(spark, tmp_path):
+    path, audit = str(tmp_path / "t"), str(tmp_path / "a")
+    rows = spark.range(20_000).selectExpr("id", "if(id % 100 = 1, null, id % 7) as run", "sha2(cast(id as string), 256) as v")
+    tracker, seen = spark.sparkContext.statusTracker(), spark.sparkContext.setJobGroup
+
+    def shuffled(group, work):
+        seen(group, group)
+        found = work()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        store = spark._jsc.sc().statusStore()
+        return found, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    key = ["id", "run"]
+    doomed = rows.where("id % 10 = 1").select(*key)
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the keys are many
+    try:
+        _, first = shuffled("upsert", lambda: sinks.upsert_version(spark, rows, path, 1, key, [F.lit(0)], 8))
+        gone, second = shuffled("delete", lambda: sinks.delete_rows(spark, doomed, path, audit, 2, key, F.lit("2024-01-01").cast("timestamp_ntz"), 8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+        seen("", "")
+    assert first <= 20_100 and second <= 22_500
+    # a key with a null is equal to nothing, so those rows stay
+    assert gone.count() == 1_800 and sinks.latest(spark, path).count() == 18_200
+    assert sinks.latest(spark, path).where("run is null").count() == 200 and set(gone.columns) == {"id", "run", "v", "deleted_at"}
