@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import language_id, minhash_dedup, packing, secret_scan, toxicity
-from sluice.llm.common import load, written
+from sluice.llm.common import load, perhaps_among, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language's score below which a text is in none of the known ones.
@@ -45,10 +45,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(minhash_dedup.near_duplicates(keyed, "__id"), "near-duplicates").withColumnRenamed("doc_id", "__id")
     gone = found.where("not kept").select("__id").distinct()
     repeated = found.where("n_shingles > 0").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
-    stays = keyed.join(gone, "__id", "left_anti")
+    # rows whose id a bitmap surely lacks stay where they are read; the others are joined
+    parted = perhaps_among(keyed, "__id", gone.unionByName(repeated))
+    alone = parted.where("not __perhaps").select(COLUMNS)
+    stays = parted.where("__perhaps").drop("__perhaps").join(gone, "__id", "left_anti")
     longest = F.max_by(F.struct(*COLUMNS), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.struct(*COLUMNS))).alias("row")
     once = stays.join(repeated, "__id", "left_semi").groupBy("__id").agg(longest).select("row.*")
-    return stays.join(repeated, "__id", "left_anti").select(COLUMNS).unionByName(once)
+    return alone.unionByName(stays.join(repeated, "__id", "left_anti").select(COLUMNS)).unionByName(once)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Slots of a bitmap of keys.
+SLOTS = 1 << 23
+
+
+def perhaps_among(df: DataFrame, key: str, keys: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """df with __perhaps, false where keys surely do not have the row's key: by a bitmap of slots, sent as at most slots / 64 rows, however many keys there are. So df is not shuffled."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    word, bit = F.floor(slot / 64).cast("int"), (slot % 64).cast("int")
+    marks = keys.select(key).groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__marks"))
+    met = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(marks), "__word", "left")
+    hit = F.coalesce(F.call_function("bit_get", F.col("__marks"), F.col("__bit")) == 1, F.lit(False))
+    return met.withColumn("__perhaps", hit).drop("__word", "__bit", "__marks")
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file lies: $SLUICE_TOKENIZERS, else the installed public_tokenizers package."""
     if folder := os.environ.get("SLUICE_TOKENIZERS"):

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import few_rows, load, slices, written
+from sluice.llm.common import few_rows, load, perhaps_among, slices, written
 from sluice.llm.words import SLICE, mix, shingles
 
 SHINGLE = 5
@@ -126,23 +126,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each linked node reaches, by large and small stars until nothing changes."""
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.expr("xxhash64(a, b) >> 8"))).first())
-
+    state = [F.count("*").alias("n"), F.sum(F.expr("xxhash64(a, b) >> 8")).alias("h")]
     # a > b throughout
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before = state(edges)
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    before = edges.agg(*state).first().asDict()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = written(small, "stars")
-        after = state(edges)
-        if after == before:
+        seen = Observation()
+        edges = written(small.observe(seen, *state), "stars")
+        if seen.get == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = after
+        before = seen.get
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similar: int = SIMILAR) -> DataFrame:
@@ -167,13 +165,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     # rows that repeat an id may repeat here; pairs are made distinct. So a large bucket's rows can be split over tasks
     buckets = written(nodes.join(shared.select("band", "low"), "band").select("band", "node", "low"), "buckets")
 
-    # the texts of all that is compared, fetched once. A merge join at every size: the ids grow with the corpus
-    texts = written(plain.hint("merge").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # the texts of all that is compared, and of few others, where they are read: no text is shuffled before it is asked for
+    texts = written(perhaps_among(plain, "doc_id", buckets.select(F.col("node").alias("doc_id"))).where("__perhaps").drop("__perhaps"), "texts")
     pairs = written(buckets.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links, checked = written(confirm(pairs, texts, similar), "confirmed"), pairs
-    reached, left = components(links), buckets
+    checked = pairs
+    reached, left = components(written(confirm(pairs, texts, similar), "confirmed")), buckets
     for step in range(1, LEADER_ROUNDS + 1):
         left = written(_divided(left, reached), "divided")
+        if left.isEmpty():
+            break
         if step < LEADER_ROUNDS:
             pairs = written(_led(left, step).join(checked, ["a", "b"], "left_anti"), "pairs")
             found = written(confirm(pairs, texts, similar), "confirmed")
@@ -181,8 +181,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         else:
             found = written(compare_blocks(left, full, texts, similar), "confirmed")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            reached = components(links)
+            # from the stars there are, which take fewer rounds than all links anew
+            reached = components(found.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     placed = whole.join(reached, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = docs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
