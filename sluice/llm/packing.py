@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import few_rows, load, slices, tokenizer_file
+from sluice.llm.common import few_rows, give_back, load, slices, tokenizer_file
 
 CAPACITY, END = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -33,6 +33,10 @@ WINDOW = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a worker; longer ones than KEEP_CHARS are encoded each time.
 KEEP, KEEP_CHARS = 300_000, 64
+#: Words that a tokenizer gets at a time.
+AT_ONCE = 16_000
+#: A tokenizer of nothing, from which a cut into words is taken.
+EMPTY = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
 #: The normalizer and the cut into words that are known: words of Latin-1 letters need no more of them than str.lower() does.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -45,26 +49,58 @@ BEFORE_TAIL = r"([a-zA-Z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:;=?@\[-`{}~])"
 WHITE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class Known:
+    """Words and the ids of each, in arrays: a dict of them takes several times the memory."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is, or -1."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+
+
+def taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, one after the other, and where each begins, with the end of the last."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+
+
 class WordIds:
     """Token ids of whole texts. No token of this vocabulary holds or depends on white space, so each word is encoded once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.encoder = Tokenizer.from_file(path)
-        known = spec["normalizer"] == NORMALIZER
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None})) if known else None
+
+        def plain(cut: pre_tokenizers.PreTokenizer | None) -> Tokenizer:
+            """Without normalizer; the vocabulary is in memory once for all."""
+            own = Tokenizer(self.encoder.model)
+            if cut is not None:
+                own.pre_tokenizer = cut
+            return own
+
+        known = spec["normalizer"] == NORMALIZER and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.plain = plain(self.encoder.pre_tokenizer) if known else None
         first, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])
         self.lettered = None
         if known and first == {"type": "Split", "pattern": {"Regex": LETTERS}, "behavior": "Removed", "invert": True}:
-            self.lettered = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
+            cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}
+            self.lettered = plain(Tokenizer.from_str(json.dumps(EMPTY | {"pre_tokenizer": cut})).pre_tokenizer)
         (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
         # words in two generations: when the younger is full it becomes the older
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept, self.older = Known(), Known()
+        del spec
+        give_back()
 
     def encode_words(self, words: list[str], out: dict[str, bytes]) -> None:
         """Puts the ids of words into out. Many are encoded at a time, with a mark between each two."""
@@ -98,12 +134,34 @@ class WordIds:
             return text
         return text.lower()
 
-    def learn(self, words: list[str]) -> None:
-        """Keeps the ids of words in the younger generation."""
-        new = set(words).difference(self.kept)
-        again = {w: self.older[w] for w in new if w in self.older}
-        self.kept.update(again)
-        self.encode_words(list(new.difference(again)), self.kept)
+    def new_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has. So many words are encoded at a time that what they take does not add up."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), AT_ONCE):
+            own = words[start : start + AT_ONCE].to_pylist()
+            out: dict[str, bytes] = {}
+            self.encode_words(own, out)
+            coded = list(map(out.__getitem__, own))
+            ids.append(np.frombuffer(b"".join(coded), "<u4"))
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of these different words where its own begin there, and how many they are. Keeps them in the younger generation."""
+        at = self.kept.places(words)
+        absent = at < 0
+        seen = self.older.places(words)
+        new = absent & (seen < 0)
+        fresh, count = self.new_ids(words.filter(pa.array(new)))
+        at = np.where(absent, len(self.kept.sizes) + seen, at)
+        at[new] = len(self.kept.sizes) + len(self.older.sizes) + np.arange(len(count))
+        pool, sizes = np.concatenate([self.kept.ids, self.older.ids, fresh]), np.concatenate([self.kept.sizes, self.older.sizes, count])
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        keep = absent & (pc.utf8_length(words).to_numpy() <= KEEP_CHARS)
+        self.kept.add(words.filter(pa.array(keep)), taken(pool, starts[keep], sizes[keep])[0], sizes[keep])
+        if len(self.kept.sizes) > KEEP:
+            self.older, self.kept = self.kept, Known()
+        return pool, starts, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
@@ -112,21 +170,10 @@ class WordIds:
             folded = pc.replace_substring_regex(folded, BEFORE_TAIL, r"\1 \2")
         split = pc.ascii_split_whitespace(folded)
         words = split.flatten().dictionary_encode()
-        forms = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(forms)
-        coded = list(map(self.kept.__getitem__, forms))
-        ids = np.frombuffer(b"".join(coded), "<u4")
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        pool, starts, sizes = self.learn(words.dictionary)
         at = words.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])
-        # each word's ids, and where among those of all words they go
-        out = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])]
-        for w in forms:
-            if len(w) > KEEP_CHARS:
-                del self.kept[w]
-        if len(self.kept) > KEEP:
-            self.older, self.kept = self.kept, {}
-        return out, np.diff(ends[split.offsets.to_numpy()])
+        ids, ends = taken(pool, starts[at], sizes[at])
+        return ids, np.diff(ends[split.offsets.to_numpy()])
 
 
 _encoders: dict[str, WordIds] = {}
@@ -214,6 +261,8 @@ def pack_documents(df: DataFrame, text: str = "text", *, key: str = "doc_id", pa
 
         for batch in slices(batches, "__text", 4 << 20):
             keys = batch.column(0)
+            # what the batch before took goes back first: two workers and a full heap are close to an executor's limit
+            give_back()
             ids, counts = encoder.encode(batch.column("__text").to_numpy(zero_copy_only=False).tolist())
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
             tokens = counts + 1

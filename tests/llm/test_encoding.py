@@ -82,6 +82,28 @@ def test_generations_of_packed_words(monkeypatch):
         assert words.encode([text])[0].tolist() == words.encoder.encode(text, add_special_tokens=False).ids
 
 
+def test_kept_words_take_little_memory():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = packing.WordIds(tokenizer_file(packing.VOCABULARY))
+    texts = [" ".join("".join(chr(97 + (i // 26**k + 7 * k) % 26) for k in range(8)) for i in range(1000 * n, 1000 * n + 1000)) for n in range(50)]
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for text in texts:
+        words.encode([text])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    # 50,000 words of 8 letters, with their ids
+    assert held < 80 * 50_000
+    ids, counts = words.encode(texts)
+    assert ids.tolist() == [i for e in words.encoder.encode_batch(texts, add_special_tokens=False) for i in e.ids] and counts.sum() == len(ids)
+
+
 def test_query_packs_the_whole_table(spark):
     from sluice.llm.common import load
 
