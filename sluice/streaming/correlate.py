@@ -101,7 +101,11 @@ def promotions(stream: DataFrame, key: str, at: str, number: str, adds: dict[str
 
     adds: documents and score for each unit of value by kind; closes and opens: kinds
     that shut a key and open it. State is (documents, score, open, done), and goes
-    where nothing has come for forget_days: whatever comes later is a new key.
+    where nothing has come for forget_days: whatever comes later is a new key. The
+    score is a double, added in order of time. A kind without points leaves it as it
+    is, whatever its value; what is not a number is above all numbers, as in SQL.
+    Rows without a time come last of a batch. What comes later than late, or is of
+    before 1970, where watermarks begin, is left out.
     """
     forget = pd.Timedelta(days=forget_days)
 
@@ -113,14 +117,16 @@ def promotions(stream: DataFrame, key: str, at: str, number: str, adds: dict[str
         last = None
         for row in _by_time(frames, "at", "number").itertuples():
             more, points = adds.get(row.kind, (0, 0.0))
-            documents, score = documents + more, score + points * row.value
+            documents, score = documents + more, score + points * row.value if points else score
             is_open = (is_open or row.kind in opens) and row.kind not in closes
-            if not done and is_open and documents >= least[0] and score >= least[1]:
+            if not done and is_open and documents >= least[0] and not score < least[1]:
                 done = True
                 yield pd.DataFrame({"key": [group[0]], "promoted": [row.at], "number": [row.number]})
-            last = row.at
+            last = last if pd.isna(row.at) else row.at
         state.update((int(documents), float(score), bool(is_open), bool(done)))
-        state.setTimeoutTimestamp(max(_ms(last + forget), state.getCurrentWatermarkMs() + 1))
+        watermark = state.getCurrentWatermarkMs()
+        until = watermark + forget // pd.Timedelta(milliseconds=1) if last is None else _ms(last + forget)
+        state.setTimeoutTimestamp(max(until, watermark + 1))
 
     rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(number).alias("number"), F.col(kind).alias("kind"), F.coalesce(value, F.lit(0.0)).alias("value")).withWatermark("at", late)
     of = rows.schema["key"].dataType.simpleString()

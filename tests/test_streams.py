@@ -75,6 +75,41 @@ def test_promoted_once(spark, in_files, tmp_path):
     assert held[1] < held[90]
 
 
+NAN, INF = float("nan"), float("inf")
+VIEWS = [("view", 1.0)] * 3
+HISTORIES = {
+    "values": [
+        [*VIEWS, ("click", NAN), ("purchase", 100.0)],
+        [("view", INF), ("view", NAN), ("view", None), ("purchase", 99.0), ("error", INF), (None, NAN), ("signup", INF), ("purchase", 1.0)],
+        [*VIEWS, ("purchase", NAN), ("view", 1.0)],
+        [*VIEWS, ("purchase", INF), ("purchase", -INF)],
+        [*VIEWS, ("purchase", None), ("purchase", -INF), ("purchase", 200.0)],
+        # 100.00 in cents, 99.99999999999999 as doubles in order of time
+        [*VIEWS, ("purchase", 75.05), ("purchase", 20.97), ("purchase", 0.85), ("purchase", 3.13), ("view", 1.0)],
+    ],
+    "times": [
+        [*VIEWS, ("purchase", 100.0), ("late", 1.0)],
+        [("late", 1.0), *VIEWS[:2], ("purchase", 100.0), ("view", 1.0)],
+        [("late", 1.0), ("late", 100.0), ("late", 1.0)],
+    ],
+}
+
+
+@pytest.mark.parametrize("name", HISTORIES)
+def test_promotions_of_odd_values_and_times_are_those_of_the_sql(spark, duck, tmp_path, name):
+    rows = []
+    for user, events in enumerate(HISTORIES[name]):
+        for hour, (kind, value) in enumerate(events):
+            at = None if kind == "late" else f"2024-01-01 {hour:02}:00:00"
+            rows.append((len(rows), at, user, "view" if kind == "late" else kind, value))
+    schema = "event_id long, t string, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    sql = correlate.ORACLE_SQL["stream_promotions"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duck.sql(sql).fetchall())
+    got = correlate.stream_promotions(spark, str(tmp_path)).select("user_id", "promoted", "event_id").collect()
+    assert sorted(map(tuple, got)) == want and len(want) == {"values": 4, "times": 2}[name]
+
+
 def test_days_begin_where_seconds_are_rounded_to(spark, duck, tmp_path):
     from sluice.plans import estimates
 
