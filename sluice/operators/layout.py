@@ -6,15 +6,20 @@ page, which a window or a small array holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.operators.schedules import ROWS, Kinds, rows_of_schedules
+
 ROW_GAP = 12.0
 #: How far beside a label a word of the next row may stand that belongs to it.
 UNDER = 40.0
+#: Share of a header's items that its labels are at least, and of a schedule's rows that have its mark.
+SHARE, QUALITY = 0.25, 0.4
 #: Kinds of schedules in their order, with the labels that their header rows have, how many at least, those of which some are needed, and how many of these.
 HEADERS = {
     "door_schedule": (("number", "room", "width", "height", "type", "material", "frame", "hardware", "finish"), 4, ("frame", "hardware"), 1),
@@ -46,103 +51,48 @@ def rows_of(items: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     return items.withColumn("__b", begins).withColumn("row", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
 
 
-Kinds = Mapping[str, tuple[Sequence[str], int, Sequence[str], int]]
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def pages_of(items: DataFrame) -> DataFrame:
     """file, page and items: the items of a page as one array, in order of y, x and item_idx."""
     return items.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y", "x", "item_idx", "str"))).alias("items"))
 
 
-def _rows(items: Column, gap: float) -> Column:
-    """A page's items cut in rows, as rows_of numbers them."""
-    begins = lambda i: (i == 0) | (F.get(items, i)["y"] - F.get(items, i - 1)["y"] > gap)
-    cut = lambda starts: F.transform(starts, lambda at, k: F.slice(items, at + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - at))
-    return F.when(F.size(items) > 0, _let(F.filter(F.sequence(F.lit(0), F.size(items) - 1), begins), cut))
-
-
-def headers(pages: DataFrame, kinds: Kinds = HEADERS, share: float = 0.25) -> DataFrame:
-    """file, page, rows, header_row, kind and columns, an array of struct<x, label>: the first row of a page that is a kind's header.
-
-    pages as pages_of gives them. A header has 4 to 25 items and holds enough of the
-    kind's labels, and of those that it needs; the labels are such a share of the items
-    at least. Of several kinds the first counts. Short words of the next row go to the
-    label above them; those with digits are marks or sizes of a first body row.
-    """
-    label = lambda c: F.lower(F.trim(c["str"]))
-    columns_of = lambda row: F.sort_array(F.transform(row, lambda c: F.struct(c["x"].alias("x"), label(c).alias("label"))))
-
-    def kind_of(row: Column) -> Column:
-        def first(said: Column) -> Column:
-            hits = lambda labels: sum((F.contains(said, F.lit(want)).cast("int") for want in labels), F.lit(0))
-            fits = lambda labels, least, needed, some: (hits(labels) >= least) & (hits(needed) >= some) & (hits(labels) / F.size(row) >= share)
-            return F.coalesce(*(F.when(fits(*spec), F.lit(k)) for k, spec in kinds.items()))
-
-        # no label that is looked for has the line end that parts the items
-        return F.when(F.size(row).between(4, 25), _let(F.array_join(F.transform(row, label), "\n"), first))
-
-    def merged(columns: Column, below: Column) -> Column:
-        short = F.filter(below, lambda c: (F.length(c["label"]) <= 6) & ~c["label"].rlike("[0-9]"))
-        nearest = lambda t: _let(F.transform(columns, lambda o: F.abs(o["x"] - t["x"])), lambda far: F.array_position(far, F.array_min(far)))
-        placed = F.transform(short, lambda t: F.struct(t["x"].alias("x"), t["label"].alias("label"), nearest(t).alias("n")))
-
-        def own(words: Column) -> Column:
-            under = lambda c, i: F.filter(words, lambda t: (t["n"] == i + 1) & (F.abs(c["x"] - t["x"]) <= UNDER))
-            joined = lambda c, i: F.trim(F.concat_ws(" ", c["label"], F.array_join(F.transform(under(c, i), lambda t: t["label"]), " ")))
-            return F.when(F.size(words) >= 2, F.transform(columns, lambda c, i: F.struct(c["x"].alias("x"), joined(c, i).alias("label")))).otherwise(columns)
-
-        return F.when(F.size(below).between(2, F.size(columns) + 4), _let(placed, own)).otherwise(columns)
-
-    # a generator's column is worked out once, where a projection's may be repeated for each element that meets it
-    rows = pages.select(*PAGE, F.explode(F.array(_rows(F.col("items"), ROW_GAP))).alias("rows"))
-    kinded = rows.select(*PAGE, "rows", F.explode(F.array(F.transform("rows", kind_of))).alias("__kinds"))
-    first = F.filter(F.transform("__kinds", lambda k, i: F.struct(i.alias("header_row"), k.alias("kind"))), lambda k: k["kind"].isNotNull())
-    found = kinded.select(*PAGE, "rows", F.explode(F.array(F.get(first, F.lit(0)))).alias("__h")).where("__h is not null").select(*PAGE, "rows", "__h.*")
-    both = lambda columns: _let(columns_of(F.get("rows", F.col("header_row") + 1)), lambda below: merged(columns, below))
-    return found.select("*", F.explode(F.array(_let(columns_of(F.get("rows", F.col("header_row"))), both))).alias("columns"))
-
-
 def schedule_rows(items: DataFrame, kinds: Kinds = HEADERS, margin: float = 50.0) -> DataFrame:
     """file, page, kind, row and cells, a map of label to text: the body rows of each page's schedule, from positioned items."""
     return page_schedules(pages_of(items), kinds, margin)
 
 
-def page_schedules(pages: DataFrame, kinds: Kinds = HEADERS, margin: float = 50.0) -> DataFrame:
+def page_schedules(pages: DataFrame, kinds: Kinds = HEADERS, margin: float = 50.0, marks: Mapping[str, str] | None = None) -> DataFrame:
     """schedule_rows of pages whose items are arrays in order of y, x and item_idx: nothing is shuffled.
 
-    An item belongs to the nearest column, the first of equally near ones; texts of
-    a cell stand in order of x. Rows of fewer than three items are dropped where
-    there are more than four columns.
+    The first row of a page that is a kind's header counts: it has 4 to 25 items and
+    holds enough of the kind's labels, and of those that it needs; the labels are such a
+    share of the items at least. Of several kinds the first counts. Short words of the
+    next row go to the label above them; those with digits are marks or sizes of a first
+    body row. An item of the body belongs to the nearest column, the first of equally
+    near ones; texts of a cell stand in order of x. Rows of fewer than three items are
+    dropped where there are more than four columns. With marks, schedules are left out
+    as quality does, where each page is one row.
     """
-    found = headers(pages, kinds)
-    ends = F.transform("columns", lambda c: c["x"])
-    wide = found.select("*", F.explode(F.array(F.struct((F.array_min(ends) - margin).alias("low"), (F.array_max(ends) + margin).alias("high")))).alias("__w"))
 
-    def placed(row: Column) -> Column:
-        label = lambda s: _let(F.transform("columns", lambda c: F.abs(c["x"] - s["x"])), lambda far: F.element_at("columns", F.array_position(far, F.array_min(far)).cast("int"))["label"])
-        near = F.filter(row, lambda s: s["x"].between(F.col("__w.low"), F.col("__w.high")))
-        return F.sort_array(F.transform(near, lambda s: F.struct(label(s).alias("label"), s["x"].alias("x"), s["item_idx"].alias("item_idx"), s["str"].alias("str"))))
+    def rows(items: pa.Array) -> pa.Array:
+        return rows_of_schedules(items, kinds, ROW_GAP, UNDER, margin, SHARE)
+
+    # else the optimiser would work the rows out again for each filter on them
+    found = pages.select(*PAGE, F.arrow_udf(rows, ROWS).asNondeterministic()("items").alias("__rows"))
+    if marks is not None:
+        good = F.filter("__rows", lambda r: F.exists(r["cells"], lambda c: _marked(c["cell"], r["kind"], marks)))
+        found = found.where((F.size("__rows") > 0) & (F.size(good) >= QUALITY * F.size("__rows")))
+    return found.select(*PAGE, F.explode("__rows").alias("r")).select(*PAGE, "r.kind", "r.row", F.map_from_entries("r.cells").alias("cells"))
 
-    def cells(items: Column) -> Column:
-        text = lambda name: F.array_join(F.transform(F.filter(items, lambda s: s["label"].eqNullSafe(name)), lambda s: s["str"]), " ")
-        return F.transform(F.array_distinct(F.transform(items, lambda s: s["label"])), lambda name: F.struct(name.alias("label"), text(name).alias("cell")))
 
-    row = lambda items, k: F.struct((F.col("header_row") + 1 + k).cast("long").alias("row"), F.size(items).alias("n"), cells(items).alias("cells"))
-    body = F.transform(F.slice("rows", F.col("header_row") + 2, F.size("rows")), lambda r, k: _let(placed(r), lambda items: row(items, k)))
-    each = wide.select(*PAGE, "kind", F.size("columns").alias("width"), F.explode(F.array(body)).alias("__rows")).select(*PAGE, "kind", "width", F.explode("__rows").alias("r"))
-    whole = each.where("r.n > 0 and (width <= 4 or r.n >= 3)")
-    return whole.select(*PAGE, "kind", "r.row", F.map_from_entries("r.cells").alias("cells"))
+def _marked(cell: Column, kind: Column, marks: Mapping[str, str]) -> Column:
+    pattern = F.coalesce(*(F.when(kind == k, F.lit(p)) for k, p in marks.items()))
+    return F.coalesce(F.regexp_like(cell, pattern), F.lit(True))
 
 
-def quality(schedules: DataFrame, marks: Mapping[str, str], share: float = 0.4) -> DataFrame:
+def quality(schedules: DataFrame, marks: Mapping[str, str], share: float = QUALITY) -> DataFrame:
     """Schedules of which enough rows have a cell with the kind's mark; kinds without a pattern all stay."""
-    pattern = F.coalesce(*(F.when(F.col("kind") == k, F.lit(p)) for k, p in marks.items()))
-    has = F.exists(F.map_values("cells"), lambda v: F.coalesce(F.regexp_like(v, pattern), F.lit(True)))
+    has = F.exists(F.map_values("cells"), lambda v: _marked(v, F.col("kind"), marks))
     w = W.partitionBy(*PAGE, "kind")
     return schedules.withColumn("__q", F.avg(F.when(has, 1.0).otherwise(0.0)).over(w)).where(F.col("__q") >= share).drop("__q")
 
